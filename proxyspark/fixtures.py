@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from proxyspark.session import pin, shared_dir
 from proxyspark.sources import tables
+from proxyspark.streaming.rollups import run_available
 
 TABLES = (
     "region nation customer supplier part orders lineitem events documents "
@@ -184,13 +185,39 @@ def local_fallback(spark: SparkSession) -> str | None:
     return tempfile.gettempdir() if spark.sparkContext.master.startswith("local") else None
 
 
-def stored_entries(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """``log_entries`` as an ingested table: written once per application with
-    the table layout, then read with pruning like any stored table."""
+def stored(spark: SparkSession, sf_dir: str, name: str, write) -> DataFrame:
+    """An interim table in the shared folder, written once per application by
+    ``write(path)`` and then read with pruning like any stored table."""
     pin(spark)
-    key = (spark.sparkContext.applicationId, sf_dir)
+    key = (spark.sparkContext.applicationId, sf_dir, name)
     if key not in _STORED:
-        path = f"{shared_dir(spark, local_fallback(spark))}/proxyspark-{uuid.uuid4().hex}/entries"
-        tables.write_entries(load(spark, sf_dir, "log_entries"), path, buckets=4)
+        path = f"{shared_dir(spark, local_fallback(spark))}/proxyspark-{uuid.uuid4().hex}/{name}"
+        write(path)
         _STORED[key] = path
     return spark.read.parquet(_STORED[key])
+
+
+def stored_entries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``log_entries`` as an ingested table."""
+    return stored(spark, sf_dir, "entries", lambda path: tables.write_entries(
+        load(spark, sf_dir, "log_entries"), path, buckets=4))
+
+
+def run_stream(spark: SparkSession, sf_dir: str, name: str, source: DataFrame, build) -> DataFrame:
+    """Write ``source`` as files, run the stream ``build`` makes of them until
+    nothing is left, and read what it wrote."""
+    feed = stored(spark, sf_dir, f"{name}_feed", lambda path: source.write.parquet(path))
+
+    def run(path):
+        # One state store per shuffle partition: a few are plenty on one machine.
+        usual = spark.conf.get("spark.sql.shuffle.partitions")
+        if spark.sparkContext.master.startswith("local"):
+            spark.conf.set("spark.sql.shuffle.partitions", "4")
+        try:
+            place = _STORED[(spark.sparkContext.applicationId, sf_dir, f"{name}_feed")]
+            files = spark.readStream.schema(feed.schema).parquet(place)
+            run_available(build(files), path, f"{path}_checkpoint")
+        finally:
+            spark.conf.set("spark.sql.shuffle.partitions", usual)
+
+    return stored(spark, sf_dir, name, run)

@@ -19,51 +19,56 @@ def _v4_number(text: Column) -> Column:
     return F.aggregate(parts, F.lit(0).cast("bigint"), lambda acc, p: acc * 256 + p.try_cast("bigint"))
 
 
+def _let(value: Column, body) -> Column:
+    """Evaluate ``value`` once and use it several times in ``body``."""
+    return F.get(F.transform(F.array(value), body), 0)
+
+
+def _v6_flat(low: Column) -> Column:
+    """A dotted v4 tail written as two hexadecimal groups."""
+    number = _v4_number(F.regexp_extract(low, rf":({_V4})$", 1))
+    as_hex = _let(number, lambda n: F.concat(
+        F.lower(F.hex(F.floor(n / 65536))), F.lit(":"), F.lower(F.hex(n % 65536))))
+    return F.when(low.rlike(rf":{_V4}$"), F.concat(F.regexp_replace(low, rf"{_V4}$", ""), as_hex)).otherwise(low)
+
+
 def _v6_groups(text: Column) -> Column:
     """Eight hexadecimal groups without leading zeros, or NULL when malformed."""
-    low = F.lower(text)
-    tail = F.regexp_extract(low, rf":({_V4})$", 1)
-    number = _v4_number(tail)
-    as_hex = F.concat(
-        F.regexp_replace(low, rf"{_V4}$", ""),
-        F.lower(F.hex(F.floor(number / 65536))), F.lit(":"), F.lower(F.hex(number % 65536)),
-    )
-    flat = F.when(tail != "", as_hex).otherwise(low)
-    gap = F.contains(flat, F.lit("::"))
-    halves = F.split(flat, "::")
-    side = lambda half: F.when(half == "", F.array().cast("array<string>")).otherwise(F.split(half, ":"))
-    left, right = side(F.get(halves, 0)), side(F.coalesce(F.get(halves, 1), F.lit("")))
-    missing = F.lit(8) - F.size(left) - F.size(right)
-    groups = F.concat(left, F.array_repeat(F.lit("0"), F.greatest(missing, F.lit(0))), right)
-    good = (
-        (F.size(halves) <= 2)
-        & F.when(gap, missing >= 1).otherwise(missing == 0)
-        & F.forall(groups, lambda g: g.rlike("^[0-9a-f]{1,4}$"))
-    )
-    return F.when(good, F.transform(groups, lambda g: F.regexp_replace(g, "^0+(?=.)", "")))
+    def side(half):
+        return F.when(half == "", F.array().cast("array<string>")).otherwise(F.split(half, ":"))
+
+    def filled(halves):
+        left, right = side(F.get(halves, 0)), side(F.coalesce(F.get(halves, 1), F.lit("")))
+        return _let(F.struct(left.alias("l"), right.alias("r"), F.size(halves).alias("n")), lambda p: F.when(
+            F.when(p["n"] == 2, F.size(p["l"]) + F.size(p["r"]) <= 7)
+            .otherwise((p["n"] == 1) & (F.size(p["l"]) == 8)),
+            F.concat(p["l"], F.array_repeat(F.lit("0"), 8 - F.size(p["l"]) - F.size(p["r"])), p["r"])))
+
+    groups = _let(F.split(_v6_flat(F.lower(text)), "::"), filled)
+    return _let(groups, lambda g: F.when(
+        F.forall(g, lambda x: x.rlike("^[0-9a-f]{1,4}$")),
+        F.transform(g, lambda x: F.regexp_replace(x, "^0+(?=.)", ""))))
 
 
 def _v6_text(text: Column) -> Column:
-    groups = _v6_groups(text)
-    joined = F.array_join(groups, ":")
-    # Longest run of zero groups, the first one on ties, is written '::'.
-    shortened = [
-        F.when(
-            joined.rlike(rf"(^|:)0(:0){{{run - 1}}}(:|$)"),
-            F.regexp_replace(joined, rf"^(.*?)(?:^|(?<!^):)0(?::0){{{run - 1}}}(?::|$)", "$1::"),
-        )
-        for run in range(8, 1, -1)
-    ]
-    dotted = F.array_join(
-        F.flatten(F.transform(
-            F.slice(groups, 7, 2),
-            lambda g: F.array(
-                F.floor(F.conv(g, 16, 10).try_cast("int") / 256).cast("string"),
-                (F.conv(g, 16, 10).try_cast("int") % 256).cast("string"),
-            ),
-        )), ".")
-    mapped = joined.startswith("0:0:0:0:0:ffff:")
-    return F.when(mapped, F.concat(F.lit("::ffff:"), dotted)).otherwise(F.coalesce(*shortened, joined))
+    def dotted(pair):
+        numbers = F.transform(pair, lambda g: F.conv(g, 16, 10).try_cast("int"))
+        octets = F.flatten(F.transform(numbers, lambda n: F.array(
+            F.floor(n / 256).cast("string"), (n % 256).cast("string"))))
+        return F.concat(F.lit("::ffff:"), F.array_join(octets, "."))
+
+    def written(joined):
+        # Longest run of zero groups, the first one on ties, is written '::'.
+        shortened = [
+            F.when(joined.rlike(rf"(^|:)0(:0){{{run - 1}}}(:|$)"), F.regexp_replace(
+                joined, rf"^(.*?)(?:^|(?<!^):)0(?::0){{{run - 1}}}(?::|$)", "$1::"))
+            for run in range(8, 1, -1)
+        ]
+        return F.coalesce(*shortened, joined)
+
+    return _let(_v6_groups(text), lambda g: F.when(
+        F.array_join(F.slice(g, 1, 6), ":") == "0:0:0:0:0:ffff", dotted(F.slice(g, 7, 2))
+    ).otherwise(_let(F.array_join(g, ":"), written)))
 
 
 def parse_ip(text: Column) -> Column:

@@ -15,24 +15,22 @@ def owners_from_paths(files: DataFrame, org_id: str, user_id: str) -> DataFrame:
         "file", F.sha2("file", 256).alias("upload_id"), F.lit(org_id).alias("org_id"), F.lit(user_id).alias("user_id"))
 
 
-def ingest_files(spark: SparkSession, source, root: str, org_id: str, user_id: str, now: datetime,
-                 run: str, buckets: int = tables.BUCKETS) -> DataFrame:
-    """Parse every log file below ``source`` into the tables under ``root``.
+def ingest_lines(spark: SparkSession, lines: DataFrame, root: str, org_id: str, user_id: str, now: datetime,
+                 run: str, files: int | None = None, buckets: int = tables.BUCKETS) -> tuple[DataFrame, DataFrame]:
+    """Parse scanned lines into the tables under ``root``.
 
     The raw text is read once, into the archive; everything after reads the
     archive, so line numbers and retries see the same lines. Rows and rollups
-    are written before the manifest. Returns the files no format recognised.
+    are written before the manifest. Returns (upload ids, rejected files).
     """
     archive = f"{root}/archive/run={run}"
-    scanned = logs.scan_logs(spark, source)
-    files = len(scanned.inputFiles())
-    tables.archive_raw(scanned, archive)
+    tables.archive_raw(lines, archive, "overwrite")
     raw = spark.read.parquet(archive)
     headers = logs.detect_format(logs.file_headers(raw))
     accepted = headers.where(F.col("format").isNotNull())
     stamp = F.lit(str(now)).cast("timestamp")
     owners = owners_from_paths(accepted, org_id, user_id)
-    entries = logs.normalize_logs(logs.number_lines(raw), headers, now, files, owners)
+    entries = logs.normalize_logs(logs.number_lines(raw, files), headers, now, files, owners)
 
     sizes = raw.groupBy("file").agg(F.max("file_size").alias("byte_size"))
     named = accepted.select("file", "format").join(owners, "file").join(sizes, "file").select(
@@ -47,7 +45,17 @@ def ingest_files(spark: SparkSession, source, root: str, org_id: str, user_id: s
     tables.upsert_rollups(status_rollups(stored), f"{root}/status_rollups", "status_rollups", ids, buckets)
     manifest = logs.upload_manifest(stored, named)
     tables.replace_rows(manifest, f"{root}/uploads", "uploads", "id", ids.select(F.col("upload_id").alias("id")), buckets)
-    return logs.rejected_files(headers)
+    return ids, logs.rejected_files(headers)
+
+
+def ingest_files(spark: SparkSession, source, root: str, org_id: str, user_id: str, now: datetime,
+                 run: str, buckets: int = tables.BUCKETS) -> DataFrame:
+    """Ingest every log file below ``source``; returns the rejected files."""
+    scanned = logs.scan_logs(spark, source)
+    # The file listing bounds the side tables that are broadcast: one row per
+    # file, and a file has at least one split per block.
+    files = len(scanned.inputFiles())
+    return ingest_lines(spark, scanned, root, org_id, user_id, now, run, files, buckets)[1]
 
 
 def reparse(spark: SparkSession, archive: str, now: datetime, owners: DataFrame | None = None) -> DataFrame:

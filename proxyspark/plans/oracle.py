@@ -403,7 +403,7 @@ SELECT id, upload_id, 'u_' || left(sha256('fixture-salt:' || username), 12) AS u
 SQL["upsert_grants"] = _with(f"""
 SELECT org_id, upload_id, subject_user_id, level, {_ts('expires_at')} FROM (
   SELECT first_org AS org_id, upload_id, subject_user_id, arg_max(level, seq) AS level,
-    CASE WHEN max(seq) > 0 AND arg_max(fresh, seq) THEN NULL ELSE arg_max(exp, seq) END AS expires_at
+    CASE WHEN max(seq) >= 0 AND arg_max(fresh, seq) THEN NULL ELSE arg_max(exp, seq) END AS expires_at
   FROM (SELECT *, org_id AS first_org, coalesce(expires_at, NULL) AS exp FROM c) GROUP BY 1, 2, 3)""", ["access_grants"],
     c="""SELECT org_id, upload_id, subject_user_id, level, expires_at, -1 AS seq, false AS fresh FROM (SELECT *, row_number() OVER (
   PARTITION BY subject_user_id, CASE WHEN upload_id IS NULL THEN 'org:' || org_id ELSE 'upload:' || CAST(upload_id AS VARCHAR) END ORDER BY id DESC) AS place
@@ -417,7 +417,7 @@ _STOPS = ", ".join(f"'{w}'" for w in fixed.STOP_WORDS)
 
 
 _WORDS = """SELECT id, field, weight, CAST(unnest(range(len(w))) AS INT) AS pos, unnest(w) AS word FROM (
-  SELECT id, field, weight, list_filter(regexp_split_to_array(lower(text), '[^a-z0-9]+'), x -> x <> '') AS w FROM (
+  SELECT id, field, weight, list_filter(regexp_split_to_array(lower(text), '[^a-z0-9]+'), lambda x: x <> '') AS w FROM (
   SELECT doc_id AS id, 'kind' AS field, 1.0 AS weight, source AS text FROM documents
   UNION ALL SELECT doc_id, 'explanation', 0.4, text FROM documents))"""
 # Each stemming step is its own subquery: nesting the CASEs would repeat them.
@@ -444,8 +444,8 @@ SELECT id AS finding_id, round(CAST(coalesce(z, 0) + coalesce(e, 0) + s AS DOUBL
     0.1 * count(DISTINCT token) FILTER (WHERE form = 'split' AND token IN ('the', 'of', 'zebra', 'or', 'entretre')) AS s
   FROM idx WHERE token IN ('zebra', 'entretre', 'the', 'of', 'or') GROUP BY 1) h USING (id)
 WHERE z IS NULL OR e IS NOT NULL OR k = 5 ORDER BY 2 DESC, 1 LIMIT 100""").replace("+ s AS", "+ coalesce(s, 0) AS")
-_COS = """list_sum(list_transform(list_zip(v.embedding, q.embedding), x -> CAST(x[1] AS DOUBLE) * CAST(x[2] AS DOUBLE)))
-  / (sqrt(list_sum(list_transform(v.embedding, x -> CAST(x AS DOUBLE) * x))) * sqrt(list_sum(list_transform(q.embedding, x -> CAST(x AS DOUBLE) * x))))"""
+_COS = """list_sum(list_transform(list_zip(v.embedding, q.embedding), lambda x: CAST(x[1] AS DOUBLE) * CAST(x[2] AS DOUBLE)))
+  / (sqrt(list_sum(list_transform(v.embedding, lambda x: CAST(x AS DOUBLE) * x))) * sqrt(list_sum(list_transform(q.embedding, lambda x: CAST(x AS DOUBLE) * x))))"""
 SQL["search_findings_vector"] = f"""SELECT v.vec_id, round({_COS}, 6) AS rank FROM embeddings v, (SELECT embedding FROM embeddings WHERE vec_id = 0) q
 ORDER BY {_COS} DESC, 1 LIMIT 20"""
 SQL["search_many"] = f"""SELECT vec_id, query, place, round(r, 6) AS rank FROM (SELECT vec_id, query, r, CAST(row_number() OVER (
@@ -487,7 +487,7 @@ _HELD = f"""SELECT window_start, value FROM (SELECT {_WIN} AS window_start, valu
 _CHECKS = f"""SELECT *, value > threshold AS breached FROM (
   SELECT window_start, 'http_latency_p95' AS alert, p95 AS value, 5000.0::DOUBLE AS threshold FROM ({_nearest(_HELD, 'window_start')}) WHERE count >= 20
   UNION ALL SELECT window_start, 'http_error_rate', errors / requests, 0.2 FROM sums WHERE requests >= 20
-  UNION ALL SELECT window_start, 'llm_fallback_rate', round((calls - calls_ok) / calls, 4), 0.2 FROM sums WHERE calls >= 5
+  UNION ALL SELECT window_start, 'llm_fallback_rate', round_even((calls - calls_ok) / calls, 4), 0.2 FROM sums WHERE calls >= 5
   UNION ALL SELECT window_start, 'cpu_high', value, 85.0 FROM (SELECT {_WIN} AS window_start, arg_max(value, CAST(epoch_us(ts) AS HUGEINT) * 1000000000000 + seq) AS value
     FROM metric_events WHERE name = 'process.cpu_percent' GROUP BY 1) WHERE value > 0)"""
 _WINSUMS = f"SELECT {_WIN} AS window_start, {_SUMS} FROM metric_events GROUP BY 1"
@@ -534,3 +534,27 @@ _RAMP = "CASE WHEN value / 40 <= 3.0 THEN 0.0 ELSE least(CAST(1.0 AS DOUBLE), (v
 SQL["score_from_z"] = f"SELECT event_id, round({_RAMP}, 6) AS score, {_BY_SCORE.format('(' + _RAMP + ')')} AS severity FROM events"
 SQL["kind_labels"] = with_views(f"SELECT id, {_KIND_URGENCY} AS kind_urgency, {_KIND_SEVERITY} AS kind_severity FROM anomalies", "anomalies")
 SQL["status_class"] = _entries(f"SELECT {_CLASS.format('resp_code')} AS class, count(*) AS requests FROM log_entries GROUP BY 1")
+
+# --- streaming -----------------------------------------------------------------------------------
+SQL["stream_rollups"] = _with(f"""SELECT * REPLACE ({_TIME.format('bucket_start')} AS bucket_start) FROM r
+WHERE bucket_start + INTERVAL 1 MINUTE <= (SELECT max(ts) - INTERVAL 1 HOUR FROM log_entries)""", ["log_entries"], r=_rollup("minute"))
+SQL["alert_transitions"] = SQL["alert_changes"]
+SQL["heartbeat_timeouts"] = with_views(f"""
+SELECT account AS analysis_id, {_ts('ts', 'last_seen')}, 'queued' AS status FROM (
+  SELECT account, ts, success, lead(ts) OVER (PARTITION BY account ORDER BY ts) AS following, max(ts) OVER () AS newest FROM auth_events)
+WHERE NOT success AND (following - ts > INTERVAL 300 SECOND OR (following IS NULL AND newest - INTERVAL 60 SECOND > ts + INTERVAL 300 SECOND))""",
+                                       "auth_events")
+SQL["upload_manifest"] = f"""
+SELECT f AS id, 'org0' AS org_id, 'own' AS user_id, f AS filename, CAST(sum(size) + max(head) AS BIGINT) AS byte_size, count(*) + 1 AS line_count,
+  count(*) AS parsed_count, 'nss_web' AS format, 'org0/own/2024/02/01/' || f AS object_key, '2024-02-01 00:00:00' AS created_at
+FROM (SELECT {_FILE} AS f, CASE user_id % 3 WHEN 0 THEN 64 WHEN 1 THEN 60 ELSE 58 END AS head,
+  1 + length(CASE user_id % 3
+    WHEN 0 THEN strftime(ts, '%Y-%m-%d %H:%M:%S') || ',' || ip || ',' || person || ',,' || url || ',' || size_text || ',' || code || ',"' || event_type || ', ""k"" ' || CAST(k AS VARCHAR) || '"'
+    WHEN 1 THEN url || 'xx' || ip || '_1234567890_' || size_text || '_' || code || '_' || person || '_'
+    ELSE strftime(ts, '%d/%b/%Y:%H:%M:%S +0100') || '|bad|' || ip || '|' || person || '|' || url || '|' || size_text END) AS size
+  FROM (SELECT *, '10.' || CAST(user_id % 4 AS VARCHAR) || '.' || CAST(user_id % 200 AS VARCHAR) || '.' || CAST(k AS VARCHAR) AS ip,
+    'https://site' || CAST(k AS VARCHAR) || '.com:8443/' || event_type AS url, CAST(k + 200 AS VARCHAR) AS code,
+    CASE WHEN k % 7 = 0 THEN 'None' ELSE 'user' || CAST(user_id AS VARCHAR) END AS person,
+    CASE WHEN k % 9 = 0 THEN '-' ELSE CAST(k * 10 - 50 AS VARCHAR) || '.75' END AS size_text
+    FROM (SELECT *, {_K} AS k FROM events)))
+GROUP BY 1"""

@@ -10,11 +10,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from proxyspark import fixed
-from proxyspark.fixtures import load, stored_entries
+from proxyspark.fixtures import load, run_stream, stored, stored_entries
 from proxyspark.functions import labels, net, text
 from proxyspark.operators import access, dashboard, detectors, findings, observability, order_stats, rollups, scope, search
 from proxyspark.operators.scope import Caller, Scope
 from proxyspark.sources import logs, tables
+from proxyspark.streaming import rollups as stream_rolls
+from proxyspark.streaming import stateful
 
 QUERIES: dict = {}
 
@@ -268,21 +270,20 @@ def detect_all(spark, sf):
 
 @query
 def finding_entries(spark, sf):
-    entries = stored_entries(spark, sf)
-    return detectors.finding_entries(detectors.detect_all(entries), entries)
+    return detectors.finding_entries(_candidates(spark, sf), stored_entries(spark, sf))
 
 
 # --- findings -----------------------------------------------------------------------
 
 def _candidates(spark, sf):
-    return detectors.detect_all(stored_entries(spark, sf))
+    """Candidates as the analysis stores them; findings start from that table."""
+    return stored(spark, sf, "candidates", lambda path: detectors.detect_all(stored_entries(spark, sf)).write.parquet(path))
 
 
 @query
 def fallback_report(spark, sf):
-    entries = stored_entries(spark, sf)
-    uploads = entries.select("upload_id").distinct()
-    return findings.fallback_report(detectors.detect_all(entries), uploads)
+    uploads = stored_entries(spark, sf).select("upload_id").distinct()
+    return findings.fallback_report(_candidates(spark, sf), uploads)
 
 
 @query
@@ -337,14 +338,14 @@ def upload_overview(spark, sf):
 @query
 def evidence_rows(spark, sf):
     entries = stored_entries(spark, sf)
-    bridge = detectors.finding_entries(detectors.detect_all(entries), entries)
+    bridge = detectors.finding_entries(_candidates(spark, sf), entries)
     return findings.evidence_rows(bridge, entries)
 
 
 @query
 def evidence_packets(spark, sf):
     entries = stored_entries(spark, sf)
-    cands = detectors.detect_all(entries)
+    cands = _candidates(spark, sf)
     samples = findings.evidence_rows(detectors.finding_entries(cands, entries), entries)
     return findings.evidence_packets(cands, findings.upload_overview(entries), samples)
 
@@ -717,3 +718,31 @@ def kind_labels(spark, sf):
 @query
 def status_class(spark, sf):
     return stored_entries(spark, sf).groupBy(labels.status_class(F.col("resp_code")).alias("class")).agg(F.count(F.lit(1)).alias("requests"))
+
+
+# --- streaming: each stream is run over the whole table, then read back ---------------------
+
+@query
+def stream_rollups(spark, sf):
+    out = run_stream(spark, sf, "stream_rollups", stored_entries(spark, sf), stream_rolls.stream_rollups)
+    return _rollup_columns(out)
+
+
+@query
+def alert_transitions(spark, sf):
+    out = run_stream(spark, sf, "alert_transitions", _checks(spark, sf), stateful.alert_transitions)
+    return out.select(_text("window_start"), "alert", "state")
+
+
+@query
+def heartbeat_timeouts(spark, sf):
+    beats = load(spark, sf, "auth_events").select(
+        F.col("account").alias("analysis_id"), "ts", F.when(F.col("success"), "done").otherwise("running").alias("status"))
+    out = run_stream(spark, sf, "heartbeat_timeouts", beats, stateful.heartbeat_timeouts)
+    return out.select("analysis_id", _text("last_seen"), "status")
+
+
+@query
+def login_throttle(spark, sf):
+    out = run_stream(spark, sf, "login_throttle", load(spark, sf, "auth_events"), stateful.login_throttle)
+    return out.withColumn("ts", _text("ts"))

@@ -92,6 +92,10 @@ def file_headers(lines: DataFrame) -> DataFrame:
     return start.groupBy("file").agg(F.min_by("value", "pos").alias("header"))
 
 
+def _is_one_of(names):
+    return lambda cell: cell.isin(names)
+
+
 def detect_format(headers: DataFrame, candidates: list[LogFormat] | None = None) -> DataFrame:
     """Adds ``delimiter``, ``format`` (NULL when unrecognised) and ``cols``."""
     known = candidates if candidates is not None else formats()
@@ -101,7 +105,7 @@ def detect_format(headers: DataFrame, candidates: list[LogFormat] | None = None)
         "_names", F.transform(cells(F.col("header"), F.col("delimiter")), text.normalize_name))
     name, cols = F.lit(None).cast("string"), None
     for f in reversed(known):
-        hits = F.size(F.filter("_sniff", lambda c, f=f: c.isin(f.known_names)))
+        hits = F.size(F.filter("_sniff", _is_one_of(f.known_names)))
         fits = hits >= f.min_known
         name = F.when(fits, f.name).otherwise(name)
         cols = F.when(fits, _positions(F.col("_names"), f)) if cols is None else \

@@ -70,11 +70,11 @@ def write_table(df: DataFrame, path: str, kind: str, buckets: int = BUCKETS, mod
     _write(with_layout(df, kind, buckets), path, kind, mode)
 
 
-def archive_raw(lines: DataFrame, path: str) -> None:
+def archive_raw(lines: DataFrame, path: str, mode: str = "append") -> None:
     """Raw lines, compressed, so history can be parsed again. Keeps each line's
     place, which makes later line numbers reproducible. Needs no shuffle."""
     parts = [c for c in ("org_id", "user_id", "date", "upload_id") if c in lines.columns]
-    out = lines.write.mode("append").option("compression", "zstd")
+    out = lines.write.mode(mode).option("compression", "zstd")
     (out.partitionBy(*parts) if parts else out).parquet(path)
 
 

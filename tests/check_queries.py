@@ -60,7 +60,8 @@ def compare(spark, con, name, sf_dir):
     if mine != types:
         note = f"types {sorted(set(mine.items()) ^ set(types.items()))}"
     if ours != theirs:
-        extra = [r for r in ours if r not in set(theirs)][:2], [r for r in theirs if r not in set(ours)][:2]
+        left, right = set(ours), set(theirs)
+        extra = sorted(left - right)[:2], sorted(right - left)[:2]
         return "DIFF", len(ours), len(theirs), f"{note} {extra}"
     return ("ok" if not note else "TYPES"), len(ours), len(theirs), note
 
