@@ -39,13 +39,16 @@ FIELD_ALIASES = {
     "reason": ["reason", "statusreason", "blockreason", "policyreason"],
 }
 
-# timestamp spellings, tried in this order after integer epochs
-TIMESTAMP_PATTERNS = [
-    "yyyy-MM-dd H:mm:ss[.SSSSSSSSS]",
-    "yyyy-MM-dd'T'H:mm:ss[.SSSSSSSSS][XXX]",
-    "yyyy/MM/dd H:mm:ss[.SSSSSSSSS]",
-    "dd/MMM/yyyy:H:mm:ss[.SSSSSSSSS] xx",
-]
+# timestamp layouts, tried in this order
+_CLOCK = r"\d{1,2}:\d{2}:\d{2}(?:\.\d+)?"
+TIMESTAMP_SHAPES = {
+    "iso": rf"^\d{{4}}-\d{{2}}-\d{{2}}(?: {_CLOCK}|T{_CLOCK}(?:Z|[+-]\d{{2}}:\d{{2}})?)$",
+    "epoch": r"^[+-]?\d{1,18}$",
+    "slashes": rf"^\d{{4}}/\d{{2}}/\d{{2}} {_CLOCK}$",
+    "access_log": r"^\d{2}/[A-Za-z]{3}/\d{4}:",
+    "yearless": r"^[A-Za-z]{3}\s",
+}
+ACCESS_LOG_PATTERN = "dd/MMM/yyyy:H:mm:ss[.SSSSSSSSS] xx"
 YEARLESS_PATTERN = "yyyy MMM d H:mm:ss[.SSSSSSSSS]"
 
 # --- detectors -------------------------------------------------------------------

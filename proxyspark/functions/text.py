@@ -14,27 +14,51 @@ def normalize_name(name: Column) -> Column:
     return F.regexp_replace(F.lower(F.trim(name)), "[^a-z0-9]", "")
 
 
+def strip_cell(value: Column, odd_blanks: Column | None = None) -> Column:
+    """Without surrounding blanks, then without surrounding quotes.
+
+    ``odd_blanks`` tells, once per line, whether it has any blank other than a
+    space; lines without one take the cheap trim.
+    """
+    full = F.trim(F.trim(value, F.lit(_SPACES)), F.lit('"'))
+    if odd_blanks is None:
+        return full
+    bare = F.trim(value)
+    quoted = bare.startswith('"') | bare.endswith('"')
+    return F.when(odd_blanks | quoted, full).otherwise(bare)
+
+
+def has_odd_blanks(line: Column) -> Column:
+    return line.rlike(r"[\t\n\r\x0b\x0c\x85\xa0]")
+
+
+def drop_markers(value: Column) -> Column:
+    """Spellings of 'absent' become NULL."""
+    return F.when(~value.isin(fixed.ABSENT_MARKERS), value)
+
+
 def clean_value(value: Column) -> Column:
-    """Trim blanks, then quotes; spellings of 'absent' become NULL."""
-    bare = F.trim(F.trim(value, F.lit(_SPACES)), F.lit('"'))
-    return F.when(~bare.isin(fixed.ABSENT_MARKERS), bare)
+    return drop_markers(strip_cell(value))
 
 
 def parse_ts(value: Column, now) -> Column:
     """Integer epoch (seconds, or milliseconds when large), else known layouts.
 
-    ``now`` is the ingest time (a ``datetime``): a layout without a year takes
-    its year from there, so a re-run gives the same answer.
+    The layout's shape is checked first, so each cell is parsed once: ISO-like
+    text by the fast cast, the rest by its own pattern. ``now`` is the ingest
+    time (a ``datetime``): a layout without a year takes its year from there,
+    so a re-run gives the same answer.
     """
     epoch = value.try_cast("bigint")
     seconds = F.when(epoch > fixed.EPOCH_MILLIS_ABOVE, F.floor(epoch / F.lit(1000))).otherwise(epoch)
-    from_epoch = F.when(value.rlike(r"^[+-]?\d{1,18}$"), F.timestamp_seconds(seconds))
-    layouts = [F.try_to_timestamp(value, F.lit(p)) for p in fixed.TIMESTAMP_PATTERNS]
     dated = F.concat(F.lit(f"{now.year} "), F.regexp_replace(value, r"\s+", " "))
-    yearless = F.when(
-        value.rlike(r"^[A-Za-z]{3}\s"), F.try_to_timestamp(dated, F.lit(fixed.YEARLESS_PATTERN))
+    return (
+        F.when(value.rlike(fixed.TIMESTAMP_SHAPES["iso"]), value.try_cast("timestamp"))
+        .when(value.rlike(fixed.TIMESTAMP_SHAPES["epoch"]), F.timestamp_seconds(seconds))
+        .when(value.rlike(fixed.TIMESTAMP_SHAPES["slashes"]), F.translate(value, "/", "-").try_cast("timestamp"))
+        .when(value.rlike(fixed.TIMESTAMP_SHAPES["access_log"]), F.try_to_timestamp(value, F.lit(fixed.ACCESS_LOG_PATTERN)))
+        .when(value.rlike(fixed.TIMESTAMP_SHAPES["yearless"]), F.try_to_timestamp(dated, F.lit(fixed.YEARLESS_PATTERN)))
     )
-    return F.coalesce(from_epoch, *layouts, yearless)
 
 
 def parse_long(value: Column) -> Column:
@@ -49,8 +73,9 @@ def parse_int(value: Column) -> Column:
 
 def host_from_url(url: Column) -> Column:
     """Between '://' and the next '/' or ':'. NULL when nothing is left."""
-    rest = F.regexp_replace(url, r"^.*?://", "")
-    host = F.split_part(F.split_part(rest, F.lit("/"), F.lit(1)), F.lit(":"), F.lit(1))
+    at = F.instr(url, "://")
+    rest = F.when(at > 0, F.substr(url, at + 3)).otherwise(url)
+    host = F.substring_index(F.substring_index(rest, "/", 1), ":", 1)
     return F.nullif(host, F.lit(""))
 
 

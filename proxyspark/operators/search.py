@@ -9,6 +9,7 @@ endings only, so ranks approximate a full text engine's.
 
 import re
 from dataclasses import dataclass, field
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -18,24 +19,34 @@ from proxyspark.functions.text import split_words
 from proxyspark.operators.scope import clamp
 
 STEMMED, SPLIT = "stemmed", "split"
-# Endings cut from words of more than three letters; applied in this order.
-_ENDINGS = [("ies$", "y"), ("(ss|sh|ch|x|z)es$", "$1"), ("([^s])s$", "$1"), ("(ing|ed)$", "")]
-
-
-def stem(word: Column) -> Column:
-    out = word
-    for pattern, by in _ENDINGS:
-        out = F.when(F.length(out) > 3, F.regexp_replace(out, pattern, by)).otherwise(out)
-    return out
+# Endings cut from words of more than three letters, step by step: (endings,
+# ending that is exempt, letters cut, letters put back).
+_STEPS = [
+    (["ies"], None, 3, "y"), (["sses", "shes", "ches", "xes", "zes"], None, 2, ""),
+    (["s"], "ss", 1, ""), (["ing"], None, 3, ""), (["ed"], None, 2, ""),
+]
 
 
 def _stem_text(word: str) -> str:
-    for pattern, by in _ENDINGS:
-        if len(word) > 3:
-            word = re.sub(pattern, by.replace("$1", r"\1"), word)
+    for endings, exempt, cut, back in _STEPS:
+        if len(word) > 3 and word.endswith(tuple(endings)) and not (exempt and word.endswith(exempt)):
+            word = word[:-cut] + back
     return word
 
 
+def with_stems(df: DataFrame, column: str) -> DataFrame:
+    """Cut the endings of ``column``, one projection per step, so no step's
+    expression is repeated inside the next."""
+    for endings, exempt, cut, back in _STEPS:
+        word = F.col(column)
+        ends = reduce(lambda a, b: a | b, [word.endswith(e) for e in endings])
+        if exempt:
+            ends = ends & ~word.endswith(exempt)
+        shorter = F.concat(F.left(word, F.length(word) - cut), F.lit(back))
+        df = df.withColumn(column, F.when((F.length(word) > 3) & ends, shorter).otherwise(word))
+    return df
+
+
 def build_finding_index(findings: DataFrame, id_col: str = "id") -> DataFrame:
     """Token rows (finding_id, form, field, pos, token, weight)."""
     fields = [f for f in fixed.SEARCH_WEIGHTS if f in findings.columns]
@@ -45,8 +56,8 @@ def build_finding_index(findings: DataFrame, id_col: str = "id") -> DataFrame:
     ])).alias("p")
     words = findings.select(F.col(id_col).alias("finding_id"), parts).select(
         "finding_id", "p.field", "p.weight", F.posexplode(split_words(F.col("p.text"))).alias("pos", "word"))
-    stemmed = words.where(~F.col("word").isin(fixed.STOP_WORDS)).select(
-        "finding_id", F.lit(STEMMED).alias("form"), "field", "pos", stem(F.col("word")).alias("token"), "weight")
+    stemmed = with_stems(words.where(~F.col("word").isin(fixed.STOP_WORDS)), "word").select(
+        "finding_id", F.lit(STEMMED).alias("form"), "field", "pos", F.col("word").alias("token"), "weight")
     split = words.select(
         "finding_id", F.lit(SPLIT).alias("form"), "field", "pos", F.col("word").alias("token"),
         F.lit(fixed.SPLIT_WEIGHT).alias("weight"))

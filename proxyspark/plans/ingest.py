@@ -6,9 +6,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from proxyspark.operators.rollups import all_rollups, status_rollups
+from proxyspark.session import pin
 from proxyspark.sources import logs, tables
 
 
+_OWNER = ["upload_id", "org_id", "user_id"]
+
+
 def owners_from_paths(files: DataFrame, org_id: str, user_id: str) -> DataFrame:
     """One upload per file, named by the file's path."""
     return files.select(
@@ -23,26 +27,29 @@ def ingest_lines(spark: SparkSession, lines: DataFrame, root: str, org_id: str,
     archive, so line numbers and retries see the same lines. Rows and rollups
     are written before the manifest. Returns (upload ids, rejected files).
     """
-    archive = f"{root}/archive/run={run}"
+    pin(spark)
+    archive, listing = f"{root}/archive/run={run}", f"{root}/archive_files/run={run}"
     tables.archive_raw(lines, archive, "overwrite")
     raw = spark.read.parquet(archive)
-    headers = logs.detect_format(logs.file_headers(raw))
-    accepted = headers.where(F.col("format").isNotNull())
     stamp = F.lit(str(now)).cast("timestamp")
-    owners = owners_from_paths(accepted, org_id, user_id)
-    entries = logs.normalize_logs(logs.number_lines(raw, files), headers, now, files, owners)
-
+    found = logs.detect_format(logs.file_headers(raw))
+    owned = owners_from_paths(found, org_id, user_id)
     sizes = raw.groupBy("file").agg(F.max("file_size").alias("byte_size"))
-    named = accepted.select("file", "format").join(owners, "file").join(sizes, "file").select(
-        "upload_id", "org_id", "user_id", F.element_at(F.split("file", "/"), -1).alias("filename"), "byte_size",
-        "format", stamp.alias("created_at"),
-        logs.object_key(F.col("org_id"), F.col("user_id"), stamp, F.col("upload_id")).alias("object_key"),
-    )
-    ids = owners.select("upload_id")
+    # One small row per file, written once: every later step starts from it.
+    found.join(owned, "file").join(sizes, "file").write.mode("overwrite").parquet(listing)
+    headers = spark.read.parquet(listing)
+    accepted = headers.where(F.col("format").isNotNull())
+    owners, ids = accepted.select("file", *_OWNER), accepted.select("upload_id")
+    entries = logs.normalize_logs(
+        logs.number_lines(raw, files), headers.drop(*_OWNER), now, files, owners)
     tables.replace_rows(entries, f"{root}/entries", "entries", "upload_id", ids, buckets)
+
     stored = spark.read.parquet(f"{root}/entries").join(ids, "upload_id", "left_semi")
     tables.upsert_rollups(all_rollups(stored), f"{root}/entry_rollups", "entry_rollups", ids, buckets)
     tables.upsert_rollups(status_rollups(stored), f"{root}/status_rollups", "status_rollups", ids, buckets)
+    named = accepted.select(
+        *_OWNER, F.element_at(F.split("file", "/"), -1).alias("filename"), "byte_size", "format", stamp.alias("created_at"),
+        logs.object_key(F.col("org_id"), F.col("user_id"), stamp, F.col("upload_id")).alias("object_key"))
     manifest = logs.upload_manifest(stored, named)
     tables.replace_rows(manifest, f"{root}/uploads", "uploads", "id", ids.select(F.col("upload_id").alias("id")), buckets)
     return ids, logs.rejected_files(headers)

@@ -547,7 +547,7 @@ WHERE NOT success AND (following - ts > INTERVAL 300 SECOND OR (following IS NUL
 SQL["upload_manifest"] = f"""
 SELECT f AS id, 'org0' AS org_id, 'own' AS user_id, f AS filename, CAST(sum(size) + max(head) AS BIGINT) AS byte_size, count(*) + 1 AS line_count,
   count(*) AS parsed_count, 'nss_web' AS format, 'org0/own/2024/02/01/' || f AS object_key, '2024-02-01 00:00:00' AS created_at
-FROM (SELECT {_FILE} AS f, CASE user_id % 3 WHEN 0 THEN 64 WHEN 1 THEN 60 ELSE 58 END AS head,
+FROM (SELECT {_FILE} AS f, CASE user_id % 3 WHEN 0 THEN 61 WHEN 1 THEN 55 ELSE 61 END AS head,
   1 + length(CASE user_id % 3
     WHEN 0 THEN strftime(ts, '%Y-%m-%d %H:%M:%S') || ',' || ip || ',' || person || ',,' || url || ',' || size_text || ',' || code || ',"' || event_type || ', ""k"" ' || CAST(k AS VARCHAR) || '"'
     WHEN 1 THEN url || 'xx' || ip || '_1234567890_' || size_text || '_' || code || '_' || person || '_'

@@ -10,8 +10,15 @@ BROADCAST_ROWS = 2_000_000
 
 
 def pin(spark: SparkSession) -> SparkSession:
-    """Times are UTC everywhere; pin the session so buckets and hours agree."""
+    """Settings every job here relies on.
+
+    Times are UTC everywhere, so buckets and hours agree. Generated methods are
+    kept below the size the JVM stops compiling at (8000 bytes of bytecode):
+    parsing one log line is a wide projection that would otherwise run
+    interpreted, at half the speed.
+    """
     spark.conf.set("spark.sql.session.timeZone", "UTC")
+    spark.conf.set("spark.sql.codegen.hugeMethodLimit", "8000")
     return spark
 
 

@@ -155,12 +155,14 @@ def normalize_logs(lines: DataFrame, headers: DataFrame, now: datetime, files: i
     if files is not None and files <= BROADCAST_ROWS:
         side = F.broadcast(side)
     data = lines.where(F.col("line_no") > 1).join(side, "file")
-    split = data.withColumn("_c", cells(F.col("value"), F.col("delimiter")))
-    cell = {f: text.clean_value(F.get(F.col("_c"), F.col(f"cols.{f}"))) for f in _FIELDS}
-    named = split.select(
-        "upload_id", "org_id", "user_id", F.col("line_no").cast("int").alias("line_no"),
-        F.col("value").alias("raw"), *[c.alias(f) for f, c in cell.items()],
-    )
+    # Separate projections, so that no cell is cut or trimmed twice.
+    split = data.withColumns({
+        "_c": cells(F.col("value"), F.col("delimiter")), "_odd": text.has_odd_blanks(F.col("value"))})
+    whole = ["upload_id", "org_id", "user_id", F.col("line_no").cast("int").alias("line_no")]
+    bare = split.select(*whole, F.col("value").alias("raw"), *[
+        text.strip_cell(F.get(F.col("_c"), F.col(f"cols.{f}")), F.col("_odd")).alias(f) for f in _FIELDS])
+    named = bare.select(
+        "upload_id", "org_id", "user_id", "line_no", "raw", *[text.drop_markers(F.col(f)).alias(f) for f in _FIELDS])
     ids = F.xxhash64("upload_id", "line_no").alias("id")
     return named.select(
         ids, "upload_id", "org_id", "user_id", "line_no",

@@ -78,6 +78,12 @@ def archive_raw(lines: DataFrame, path: str, mode: str = "append") -> None:
     (out.partitionBy(*parts) if parts else out).parquet(path)
 
 
+def write_index(index: DataFrame, path: str) -> None:
+    """Store a search index by token range, so a token filter skips files."""
+    index.repartitionByRange("token", "finding_id").sortWithinPartitions("token", "finding_id").write.mode(
+        "overwrite").parquet(path)
+
+
 def append_audit(df: DataFrame, path: str) -> None:
     _write(with_layout(df, "audit"), path, "audit", "append")
 
