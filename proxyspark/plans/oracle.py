@@ -436,14 +436,16 @@ SQL["build_finding_index"] = _search("""SELECT form, field, token, count(*) AS o
 SQL["search_findings_words"] = _search("""
 SELECT id AS finding_id, round(CAST(sum(w) AS DOUBLE), 6) AS rank FROM (SELECT id, token, max(weight) AS w FROM idx
   WHERE form = 'split' AND token IN ('the', 'of', 'with') GROUP BY 1, 2) GROUP BY 1 HAVING count(*) = 3 ORDER BY 2 DESC, 1 LIMIT 50""")
-SQL["search_findings_text"] = _search("""
-SELECT id AS finding_id, round(CAST(coalesce(z, 0) + coalesce(e, 0) + s AS DOUBLE), 6) AS rank FROM (
-  SELECT doc_id AS id FROM documents) d LEFT JOIN (
-  SELECT id, max(weight) FILTER (WHERE form = 'stemmed' AND token = 'zebra') AS z, max(weight) FILTER (WHERE form = 'stemmed' AND token = 'entretre') AS e,
-    count(DISTINCT token) FILTER (WHERE form = 'split' AND token IN ('the', 'of', 'zebra', 'or', 'entretre')) AS k,
-    0.1 * count(DISTINCT token) FILTER (WHERE form = 'split' AND token IN ('the', 'of', 'zebra', 'or', 'entretre')) AS s
-  FROM idx WHERE token IN ('zebra', 'entretre', 'the', 'of', 'or') GROUP BY 1) h USING (id)
-WHERE z IS NULL OR e IS NOT NULL OR k = 5 ORDER BY 2 DESC, 1 LIMIT 100""").replace("+ s AS", "+ coalesce(s, 0) AS")
+_QUERY_WORDS = "'thorreou', 'ndernt', 'zebra', 'or', 'entretre'"
+SQL["search_findings_text"] = _search(f"""
+SELECT id AS finding_id, round(CAST(w AS DOUBLE), 6) AS rank FROM (
+  SELECT id, sum(weight) AS w, count(*) FILTER (WHERE form = 'split') AS k, bool_or(form = 'stemmed' AND token = 'zebra') AS z,
+    bool_or(form = 'stemmed' AND token = 'entretre') AS e
+  FROM (SELECT id, form, token, max(weight) AS weight FROM idx WHERE (form = 'split' AND token IN ({_QUERY_WORDS}))
+    OR (form = 'stemmed' AND token IN ('thorreou', 'ndernt', 'zebra', 'entretre')) GROUP BY 1, 2, 3) GROUP BY 1)
+LEFT JOIN (SELECT DISTINCT a.id AS pid FROM idx a JOIN idx b ON b.id = a.id AND b.field = a.field AND b.pos = a.pos + 1
+  WHERE a.form = 'stemmed' AND b.form = 'stemmed' AND a.token = 'thorreou' AND b.token = 'ndernt') p ON p.pid = id
+WHERE (pid IS NOT NULL AND NOT z) OR e OR k = 5 ORDER BY 2 DESC, 1 LIMIT 100""")
 _COS = """list_sum(list_transform(list_zip(v.embedding, q.embedding), lambda x: CAST(x[1] AS DOUBLE) * CAST(x[2] AS DOUBLE)))
   / (sqrt(list_sum(list_transform(v.embedding, lambda x: CAST(x AS DOUBLE) * x))) * sqrt(list_sum(list_transform(q.embedding, lambda x: CAST(x AS DOUBLE) * x))))"""
 SQL["search_findings_vector"] = f"""SELECT v.vec_id, round({_COS}, 6) AS rank FROM embeddings v, (SELECT embedding FROM embeddings WHERE vec_id = 0) q

@@ -12,6 +12,7 @@ does that.
 
 from functools import reduce
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -97,9 +98,16 @@ def append_status(df: DataFrame, path: str) -> None:
 
 
 def read_if_present(spark: SparkSession, path: str) -> DataFrame | None:
+    """The stored table, or None where nothing was written or nothing is left."""
     jvm = spark._jvm.org.apache.hadoop.fs.Path(path)
-    fs = jvm.getFileSystem(spark._jsc.hadoopConfiguration())
-    return spark.read.parquet(path) if fs.exists(jvm) else None
+    if not jvm.getFileSystem(spark._jsc.hadoopConfiguration()).exists(jvm):
+        return None
+    try:
+        return spark.read.parquet(path)
+    except AnalysisException as err:
+        if err.getCondition() == "UNABLE_TO_INFER_SCHEMA":
+            return None
+        raise
 
 
 def _partitions(df: DataFrame, parts: list[str]) -> set[tuple]:
@@ -183,7 +191,9 @@ def erase_uploads(spark: SparkSession, root: str, ids: DataFrame, org_id: str) -
     ``ids`` has upload_id. Ids of other organizations erase nothing. The
     manifest goes last, so an interrupted erasure can simply be repeated.
     """
-    uploads = spark.read.parquet(f"{root}/uploads")
+    uploads = read_if_present(spark, f"{root}/uploads")
+    if uploads is None:
+        return spark.createDataFrame([], "table_name string, erased long")
     mine = (
         uploads.where(F.col("org_id") == F.lit(org_id)).select(F.col("id").alias("upload_id"))
         .join(ids.select("upload_id").distinct(), "upload_id", "left_semi")
