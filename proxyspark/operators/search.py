@@ -19,31 +19,38 @@ from proxyspark.functions.text import split_words
 from proxyspark.operators.scope import clamp
 
 STEMMED, SPLIT = "stemmed", "split"
-# Endings cut from words of more than three letters, step by step: (endings,
-# ending that is exempt, letters cut, letters put back).
+# Endings cut from words of more than three letters, step by step; within a step
+# the first that fits: (endings, ending that is exempt, letters cut, put back).
 _STEPS = [
-    (["ies"], None, 3, "y"), (["sses", "shes", "ches", "xes", "zes"], None, 2, ""),
-    (["s"], "ss", 1, ""), (["ing"], None, 3, ""), (["ed"], None, 2, ""),
+    [(["ies"], None, 3, "y")],
+    [(["sses", "shes", "ches", "xes", "zes"], None, 2, "")],
+    [(["s"], "ss", 1, "")],
+    [(["ing"], None, 3, ""), (["ed"], None, 2, "")],
 ]
 
 
 def _stem_text(word: str) -> str:
-    for endings, exempt, cut, back in _STEPS:
-        if len(word) > 3 and word.endswith(tuple(endings)) and not (exempt and word.endswith(exempt)):
-            word = word[:-cut] + back
+    for step in _STEPS:
+        for endings, exempt, cut, back in step:
+            if len(word) > 3 and word.endswith(tuple(endings)) and not (exempt and word.endswith(exempt)):
+                word = word[:-cut] + back
+                break
     return word
 
 
 def with_stems(df: DataFrame, column: str) -> DataFrame:
     """Cut the endings of ``column``, one projection per step, so no step's
     expression is repeated inside the next."""
-    for endings, exempt, cut, back in _STEPS:
+    for step in _STEPS:
         word = F.col(column)
-        ends = reduce(lambda a, b: a | b, [word.endswith(e) for e in endings])
-        if exempt:
-            ends = ends & ~word.endswith(exempt)
-        shorter = F.concat(F.left(word, F.length(word) - cut), F.lit(back))
-        df = df.withColumn(column, F.when((F.length(word) > 3) & ends, shorter).otherwise(word))
+        out = word
+        for endings, exempt, cut, back in reversed(step):
+            ends = reduce(lambda a, b: a | b, [word.endswith(e) for e in endings])
+            if exempt:
+                ends = ends & ~word.endswith(exempt)
+            shorter = F.concat(F.left(word, F.length(word) - cut), F.lit(back))
+            out = F.when((F.length(word) > 3) & ends, shorter).otherwise(out)
+        df = df.withColumn(column, out)
     return df
 
 

@@ -13,10 +13,10 @@ from proxyspark.sources import logs, tables
 _OWNER = ["upload_id", "org_id", "user_id"]
 
 
-def owners_from_paths(files: DataFrame, org_id: str, user_id: str) -> DataFrame:
+def with_owner(files: DataFrame, org_id: str, user_id: str) -> DataFrame:
     """One upload per file, named by the file's path."""
-    return files.select(
-        "file", F.sha2("file", 256).alias("upload_id"), F.lit(org_id).alias("org_id"), F.lit(user_id).alias("user_id"))
+    return files.withColumns({
+        "upload_id": F.sha2("file", 256), "org_id": F.lit(org_id), "user_id": F.lit(user_id)})
 
 
 def ingest_lines(spark: SparkSession, lines: DataFrame, root: str, org_id: str, user_id: str, now: datetime,
@@ -32,11 +32,9 @@ def ingest_lines(spark: SparkSession, lines: DataFrame, root: str, org_id: str,
     tables.archive_raw(lines, archive, "overwrite")
     raw = spark.read.parquet(archive)
     stamp = F.lit(str(now)).cast("timestamp")
-    found = logs.detect_format(logs.file_headers(raw))
-    owned = owners_from_paths(found, org_id, user_id)
-    sizes = raw.groupBy("file").agg(F.max("file_size").alias("byte_size"))
     # One small row per file, written once: every later step starts from it.
-    found.join(owned, "file").join(sizes, "file").write.mode("overwrite").parquet(listing)
+    found = logs.detect_format(logs.file_headers(raw, files))
+    with_owner(found, org_id, user_id).write.mode("overwrite").parquet(listing)
     headers = spark.read.parquet(listing)
     accepted = headers.where(F.col("format").isNotNull())
     owners, ids = accepted.select("file", *_OWNER), accepted.select("upload_id")

@@ -82,14 +82,24 @@ def _positions(names: Column, log_format: LogFormat) -> Column:
     return F.struct(*found)
 
 
-def file_headers(lines: DataFrame) -> DataFrame:
-    """First line of each file. Needs no line numbers: the smallest position in
-    the split that starts the file."""
+def file_headers(lines: DataFrame, files: int | None = None) -> DataFrame:
+    """First line of each file, and its size where known. Needs no line
+    numbers: the smallest position in the split that starts the file.
+
+    With a known, small number of ``files`` only positions are aggregated and
+    the header text is picked by a broadcast of them; otherwise the text goes
+    through the aggregate, which sorts each task's rows by file.
+    """
     if "line_no" in lines.columns:
-        first = lines.where(F.col("line_no") == 1).select("file", F.col("value").alias("header"))
-        return first.groupBy("file").agg(F.min("header").alias("header"))
+        first = lines.where(F.col("line_no") == 1)
+        return first.groupBy("file").agg(F.min("value").alias("header"))
     start = lines.where(F.col("split_start") == 0)
-    return start.groupBy("file").agg(F.min_by("value", "pos").alias("header"))
+    size = F.max("file_size").alias("byte_size")
+    if files is None or files > BROADCAST_ROWS:
+        return start.groupBy("file").agg(F.min_by("value", "pos").alias("header"), size)
+    first = start.groupBy("file").agg(F.min("pos").alias("pos"), size)
+    picked = start.select("file", "pos", F.col("value").alias("header")).join(F.broadcast(first), ["file", "pos"])
+    return picked.select("file", "header", "byte_size")
 
 
 def _is_one_of(names):
@@ -110,7 +120,7 @@ def detect_format(headers: DataFrame, candidates: list[LogFormat] | None = None)
         name = F.when(fits, f.name).otherwise(name)
         cols = F.when(fits, _positions(F.col("_names"), f)) if cols is None else \
             F.when(fits, _positions(F.col("_names"), f)).otherwise(cols)
-    return named.select("file", "header", "delimiter", name.alias("format"), cols.alias("cols"))
+    return named.select(*headers.columns, "delimiter", name.alias("format"), cols.alias("cols"))
 
 
 def rejected_files(headers: DataFrame) -> DataFrame:

@@ -149,7 +149,7 @@ def test_text_search(spark):
     # The plain form of a query counts every word, quoted or excluded alike.
     assert hits(spark, '"telemetry sync"') == ["f1", "f3"]
     assert hits(spark, "telemetry -nights") == ["f1"]
-    assert hits(spark, "telemetry -night") == ["f1", "f3"]
+    assert set(hits(spark, "telemetry -night")) == {"f1", "f3"}
     assert set(hits(spark, "-nights")) == {"f1", "f2"}
     assert hits(spark, "the machines") == ["f2"]
     assert hits(spark, "nothing here") == []
