@@ -142,20 +142,22 @@ def beaconing(entries: DataFrame, by=BY, min_hits: int = fixed.MIN_BEACON_HITS)
     )
     seconds = F.unix_micros("ts") / F.lit(1e6)
     low, high = fixed.BEACON_MEAN_SECONDS
+    # Both branches read the same columns, so the folded instants are shuffled
+    # once and reused.
     series = (
         instants.groupBy(*pair).agg(
-            F.sum("n").alias("entry_count"), F.count(F.lit(1)).alias("_k"),
+            F.sum("n").alias("_hits"), F.count(F.lit(1)).alias("_k"),
             F.min("ts").alias("first"), F.max("ts").alias("last"),
         )
-        .where((F.col("_k") >= min_hits) & (F.col("_k") >= 2))
+        .where((F.col("_hits") >= min_hits) & (F.col("_k") >= min_hits) & (F.col("_k") >= 2))
         .withColumn("mean_gap", (F.unix_micros("last") - F.unix_micros("first")) / F.lit(1e6) / (F.col("_k") - 1))
         .where(F.col("mean_gap").between(low, high))
     )
     order = Window.partitionBy(*pair).orderBy("ts")
     gaps = (
-        instants.select(*pair, "ts").join(series.select(*pair), pair, "left_semi")
+        instants.join(series.select(*pair), pair, "left_semi")
         .withColumn("gap", seconds - F.lag(seconds).over(order))
-        .groupBy(*pair).agg(F.stddev_pop("gap").alias("gap_stdev"))
+        .groupBy(*pair).agg(F.stddev_pop("gap").alias("gap_stdev"), F.sum("n").alias("entry_count"))
     )
     scored = (
         series.join(gaps, pair)
@@ -218,19 +220,16 @@ def blocked_threat(entries: DataFrame, by=BY) -> DataFrame:
 def rare_destination(entries: DataFrame, by=BY) -> DataFrame:
     """Hosts reached by exactly one user, at most three times.
 
-    "Exactly one user" is smallest = largest user name: two extremes per host
-    instead of a set of users.
+    Counts per (host, user) come first: plain counters that combine map-side.
+    The user's name and sample addresses are looked up for kept hosts only.
     """
     by = list(by)
+    keys = [*by, "host"]
     seen = entries.where(F.col("host").isNotNull())
-    hosts = seen.groupBy(*by, "host").agg(
-        F.count(F.lit(1)).alias("entry_count"), F.min("username").alias("username"),
-        F.max("username").alias("_last_user"),
-    )
+    users = seen.groupBy(*keys, "username").agg(F.count(F.lit(1)).alias("n"))
+    hosts = users.groupBy(*keys).agg(F.sum("n").alias("entry_count"), F.count("username").alias("_users"))
     busiest = hosts.groupBy(*by).agg(F.max("entry_count").alias("busiest"), F.count(F.lit(1)).alias("_hosts"))
-    rare = hosts.where(
-        (F.col("entry_count") <= fixed.RARE_MAX_HITS) & (F.col("username") == F.col("_last_user"))
-    )
+    rare = hosts.where((F.col("entry_count") <= fixed.RARE_MAX_HITS) & (F.col("_users") == 1))
     raw = F.log10(F.col("busiest") / F.col("entry_count") + 1) / F.log10(F.col("busiest") + 1)
     scored = (
         rare.join(busiest.where(F.col("_hosts") >= fixed.MIN_RARE_HOSTS), by)
@@ -238,9 +237,10 @@ def rare_destination(entries: DataFrame, by=BY) -> DataFrame:
         .withColumn("title", _title("rare_destination", "host"))
     )
     top = _capped(scored, by)
-    keys = [*by, "host"]
+    name = users.where(F.col("username").isNotNull()).select(*keys, "username")
     cited = seen.select(*keys, "url").join(top.select(*keys), keys, "left_semi")
-    full = top.join(_distinct_list(cited, keys, "url", "urls", fixed.RARE_EVIDENCE_URLS), keys, "left")
+    full = top.join(name, keys).join(
+        _distinct_list(cited, keys, "url", "urls", fixed.RARE_EVIDENCE_URLS), keys, "left")
     return _shape(full, by, "rare_destination", {"host": "host", "username": "username"}, [
         "host", F.col("entry_count").alias("hit_count"), F.lit(1).alias("distinct_users"), "username",
         F.col("busiest").alias("busiest_host_hits"), _or_empty("urls"),
@@ -328,27 +328,28 @@ def finding_entries(candidates: DataFrame, entries: DataFrame, by=BY) -> DataFra
     by = list(by)
     ref = [*by, "kind", "candidate_id"]
 
-    def cited(kind, rows, keys):
+    def cited(kind, rows, keys, also=None):
+        """Rows of the kind's candidates; ``also`` narrows them afterwards, so
+        it only meets rows of an actor already under suspicion."""
         wanted = candidates.where(F.col("kind") == kind).select(*ref, *[k for k in keys if k not in by])
-        return rows.join(wanted, keys).select(*ref, F.col("id").alias("entry_id"))
+        found = rows.join(wanted, keys)
+        if also is not None:
+            found = found.join(also, also.columns, "left_semi")
+        return found.select(*ref, F.col("id").alias("entry_id"))
 
+    who = labels.actor(F.col("username"), F.col("client_ip")).alias("actor")
     with_ip = entries.where(F.col("client_ip").isNotNull() & F.col("ts").isNotNull())
-    bursts = with_ip.select(*by, "client_ip", F.date_trunc("minute", "ts").alias("minute"), "id").join(
-        spike_minutes(entries, by).select(*by, "client_ip", "minute"), [*by, "client_ip", "minute"], "left_semi")
-    sent = entries.where(F.col("req_bytes") > 0).select(
-        *by, _named("username").alias("username"), _named("host").alias("host"), "id")
-    threats = entries.where(F.col("threat_name").isNotNull()).select(
-        *by, "threat_name", _named("host").alias("host"), "id")
-    timed = entries.where(F.col("ts").isNotNull()).select(
-        *by, F.hour("ts").alias("hour"), labels.actor(F.col("username"), F.col("client_ip")).alias("actor"), "id")
-    quiet = _quiet_hours(_actor_hours(entries, by), by).select(*by, "hour")
     parts = [
-        cited("volume_spike", bursts, [*by, "client_ip"]),
-        cited("data_exfil", sent, [*by, "username", "host"]),
+        cited("volume_spike", with_ip.select(*by, "client_ip", F.date_trunc("minute", "ts").alias("minute"), "id"),
+              [*by, "client_ip"], spike_minutes(entries, by).select(*by, "client_ip", "minute")),
+        cited("data_exfil", entries.where(F.col("req_bytes") > 0).select(
+            *by, _named("username").alias("username"), _named("host").alias("host"), "id"), [*by, "username", "host"]),
         cited("beaconing", with_ip.where(F.col("host").isNotNull()).select(*by, "client_ip", "host", "id"),
               [*by, "client_ip", "host"]),
-        cited("blocked_threat", threats, [*by, "threat_name", "host"]),
-        cited("rare_destination", entries.select(*by, "host", "id"), [*by, "host"]),
-        cited("off_hours", timed.join(quiet, [*by, "hour"], "left_semi"), [*by, "actor"]),
+        cited("blocked_threat", entries.where(F.col("threat_name").isNotNull()).select(
+            *by, "threat_name", _named("host").alias("host"), "id"), [*by, "threat_name", "host"]),
+        cited("rare_destination", entries.where(F.col("host").isNotNull()).select(*by, "host", "id"), [*by, "host"]),
+        cited("off_hours", entries.where(F.col("ts").isNotNull()).select(*by, F.hour("ts").alias("hour"), who, "id"),
+              [*by, "actor"], _quiet_hours(_actor_hours(entries, by), by).select(*by, "hour")),
     ]
     return reduce(DataFrame.unionByName, parts)

@@ -67,8 +67,8 @@ def status_rollups(entries: DataFrame) -> DataFrame:
     cells = (
         entries.where(F.col("ts").isNotNull() & F.col("resp_code").isNotNull())
         .select(*_OWNER, F.date_trunc("hour", "ts").alias("bucket_start"), "resp_code", "latency_ms", "reason")
-        .groupBy(*keys, "latency_ms")
-        .agg(F.count(F.lit(1)).alias("requests"), F.min("reason").alias("reason"))
+        # The reason is a key here, so this pass is counters only.
+        .groupBy(*keys, "latency_ms", "reason").agg(F.count(F.lit(1)).alias("requests"))
     )
     extra = [F.min("reason").alias("reason"), F.sum("requests").alias("requests")]
     out = percentiles_of_counts(cells, keys, "latency_ms", {"latency_p95": 0.95}, "requests", extra)
