@@ -28,7 +28,7 @@ def ingest_lines(spark: SparkSession, lines: DataFrame, root: str, org_id: str,
     are written before the manifest. Returns (upload ids, rejected files).
     """
     pin(spark)
-    archive, listing = f"{root}/archive/run={run}", f"{root}/archive_files/run={run}"
+    archive, listing, places = (f"{root}/{t}/run={run}" for t in ("archive", "archive_files", "archive_splits"))
     tables.archive_raw(lines, archive, "overwrite")
     raw = spark.read.parquet(archive)
     stamp = F.lit(str(now)).cast("timestamp")
@@ -36,10 +36,14 @@ def ingest_lines(spark: SparkSession, lines: DataFrame, root: str, org_id: str,
     found = logs.detect_format(logs.file_headers(raw, files))
     with_owner(found, org_id, user_id).write.mode("overwrite").parquet(listing)
     headers = spark.read.parquet(listing)
+    logs.split_offsets(raw).write.mode("overwrite").parquet(places)
+    offsets = spark.read.parquet(places)
+    # Counts of these small tables decide whether they may be broadcast.
+    files, splits = headers.count(), offsets.count()
     accepted = headers.where(F.col("format").isNotNull())
     owners, ids = accepted.select("file", *_OWNER), accepted.select("upload_id")
     entries = logs.normalize_logs(
-        logs.number_lines(raw, files), headers.drop(*_OWNER), now, files, owners)
+        logs.number_lines(raw, offsets, splits), headers.drop(*_OWNER), now, files, owners)
     tables.replace_rows(entries, f"{root}/entries", "entries", "upload_id", ids, buckets)
 
     stored = spark.read.parquet(f"{root}/entries").join(ids, "upload_id", "left_semi")
@@ -57,8 +61,6 @@ def ingest_files(spark: SparkSession, source, root: str, org_id: str, user_id: s
                  run: str, buckets: int = tables.BUCKETS) -> DataFrame:
     """Ingest every log file below ``source``; returns the rejected files."""
     scanned = logs.scan_logs(spark, source)
-    # The file listing bounds the side tables that are broadcast: one row per
-    # file, and a file has at least one split per block.
     files = len(scanned.inputFiles())
     return ingest_lines(spark, scanned, root, org_id, user_id, now, run, files, buckets)[1]
 

@@ -34,6 +34,6 @@ def shared_dir(spark: SparkSession, fallback: str | None = None) -> str:
     return found
 
 
-def sized_broadcast(df: DataFrame, rows: int, limit: int = BROADCAST_ROWS) -> DataFrame:
+def sized_broadcast(df: DataFrame, rows: int | None, limit: int = BROADCAST_ROWS) -> DataFrame:
     """Hint a broadcast only for a side whose row count is known and small."""
-    return F.broadcast(df) if rows <= limit else df
+    return F.broadcast(df) if rows is not None and rows <= limit else df

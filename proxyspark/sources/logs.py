@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from proxyspark import fixed
 from proxyspark.functions import labels, net, text
-from proxyspark.session import BROADCAST_ROWS
+from proxyspark.session import BROADCAST_ROWS, sized_broadcast
 from proxyspark.sources.formats import LogFormat, formats
 
 _FIELDS = list(fixed.FIELD_ALIASES)
@@ -128,21 +128,25 @@ def rejected_files(headers: DataFrame) -> DataFrame:
     return headers.where(F.col("format").isNull()).select("file", "header")
 
 
-def number_lines(lines: DataFrame, splits: int | None = None) -> DataFrame:
-    """Adds ``line_no``; the header is 1.
-
-    Counts lines per split, turns the counts into offsets (a running sum over a
-    file's splits), and adds each line's place within its split. No line is
-    shuffled when ``splits``, the number of input splits, is known and small
-    enough to broadcast; otherwise Spark picks the join.
-    """
+def split_offsets(lines: DataFrame) -> DataFrame:
+    """Per input split, what turns a line's ``pos`` into its line number: a
+    running sum of line counts over the file's splits."""
     place = ["file", "split_start"]
     counts = lines.groupBy(*place).agg(F.count(F.lit(1)).alias("_n"), F.min("pos").alias("_first"))
     earlier = Window.partitionBy("file").orderBy("split_start").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = counts.select(
-        *place, (F.coalesce(F.sum("_n").over(earlier), F.lit(0)) - F.col("_first") + 1).alias("_shift"))
-    side = F.broadcast(offsets) if splits is not None and splits <= BROADCAST_ROWS else offsets
-    return lines.join(side, place).withColumn("line_no", F.col("pos") + F.col("_shift")).drop("_shift")
+    return counts.select(
+        *place, (F.coalesce(F.sum("_n").over(earlier), F.lit(0)) - F.col("_first") + 1).alias("shift"))
+
+
+def number_lines(lines: DataFrame, offsets: DataFrame | None = None, splits: int | None = None) -> DataFrame:
+    """Adds ``line_no``; the header is 1.
+
+    Only the offsets (one row per input split) are aggregated. No line is
+    shuffled when ``splits``, their number, is known and small enough to
+    broadcast; otherwise Spark picks the join.
+    """
+    side = sized_broadcast(offsets if offsets is not None else split_offsets(lines), splits)
+    return lines.join(side, ["file", "split_start"]).withColumn("line_no", F.col("pos") + F.col("shift")).drop("shift")
 
 
 def normalize_logs(lines: DataFrame, headers: DataFrame, now: datetime, files: int | None = None,
@@ -162,9 +166,7 @@ def normalize_logs(lines: DataFrame, headers: DataFrame, now: datetime, files: i
         side = side.withColumns({
             "upload_id": F.sha2("file", 256), "org_id": F.lit(None).cast("string"),
             "user_id": F.lit(None).cast("string")})
-    if files is not None and files <= BROADCAST_ROWS:
-        side = F.broadcast(side)
-    data = lines.where(F.col("line_no") > 1).join(side, "file")
+    data = lines.where(F.col("line_no") > 1).join(sized_broadcast(side, files), "file")
     # Separate projections, so that no cell is cut or trimmed twice.
     split = data.withColumns({
         "_c": cells(F.col("value"), F.col("delimiter")), "_odd": text.has_odd_blanks(F.col("value"))})
