@@ -5,13 +5,20 @@ rows of one key are put in time order before the state advances; bound the
 micro-batch with the source's per-trigger limits.
 """
 
+import sys
+
 import pandas as pd
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor
 
 from proxyspark import fixed
 
+# The processors below travel to the Python workers by value, so a worker needs
+# no copy of this package. They take their settings as arguments for that.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
 
 def _micros(value) -> int:
     return int(pd.Timestamp(value).value // 1000)
@@ -117,7 +124,13 @@ def heartbeat_timeouts(beats: DataFrame, seconds: int = fixed.STALE_SECONDS, wat
 
 
 class _Throttle(StatefulProcessor):
-    """Failures in a window that starts at the first one and does not move."""
+    """Failures in a window that starts at the first one and does not move.
+
+    ``rules`` maps a dimension to (failures allowed, window seconds).
+    """
+
+    def __init__(self, rules: dict, lock_seconds: int):
+        self.rules, self.lock = rules, lock_seconds * 1_000_000
 
     def init(self, handle):
         self.handle = handle
@@ -125,8 +138,8 @@ class _Throttle(StatefulProcessor):
 
     def handleInputRows(self, key, rows, timerValues):
         by_account = key[0] == "account"
-        limit = fixed.ACCOUNT_FAILURES if by_account else fixed.IP_FAILURES
-        window = (fixed.ACCOUNT_WINDOW_SECONDS if by_account else fixed.IP_WINDOW_SECONDS) * 1_000_000
+        limit, window = self.rules[key[0]]
+        window *= 1_000_000
         anchor, failures, locked = self.state.get() if self.state.exists() else (0, 0, 0)
         frame = _in_order(rows, "at")
         out = []
@@ -140,7 +153,7 @@ class _Throttle(StatefulProcessor):
                 anchor = at if failures == 0 else anchor
                 failures += 1
                 if by_account and failures >= limit:
-                    locked = at + fixed.LOCK_SECONDS * 1_000_000
+                    locked = at + self.lock
             out.append((event, key[0], key[1], at, failures, blocked))
         self.state.update((anchor, failures, locked))
         # Nothing recorded now matters once both the window and a lock ended.
@@ -164,6 +177,10 @@ def login_throttle(auth: DataFrame, watermark: str = "10 minutes") -> DataFrame:
     """Per sign-in attempt and dimension (ip, account): failures so far and
     whether it fell under a throttle or lock. ``auth`` has id, ts, ip, account,
     success. A success clears its account, never the address."""
+    rules = {
+        "ip": (fixed.IP_FAILURES, fixed.IP_WINDOW_SECONDS),
+        "account": (fixed.ACCOUNT_FAILURES, fixed.ACCOUNT_WINDOW_SECONDS),
+    }
     sides = F.explode(F.array(
         F.struct(F.lit("ip").alias("dimension"), F.col("ip").alias("key")),
         F.struct(F.lit("account").alias("dimension"), account_key(F.col("account")).alias("key")))).alias("d")
@@ -171,7 +188,7 @@ def login_throttle(auth: DataFrame, watermark: str = "10 minutes") -> DataFrame:
         "id", "ts", F.unix_micros("ts").alias("at"), "success", sides).select(
         "id", "ts", "at", "success", "d.dimension", "d.key")
     decided = keyed.groupBy("dimension", "key").transformWithStateInPandas(
-        statefulProcessor=_Throttle(),
+        statefulProcessor=_Throttle(rules, fixed.LOCK_SECONDS),
         outputStructType="id long, dimension string, key string, at long, failures long, blocked boolean",
         outputMode="Append", timeMode="EventTime")
     return decided.withColumn("ts", F.timestamp_micros("at")).drop("at")
