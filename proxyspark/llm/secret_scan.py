@@ -37,8 +37,8 @@ CANDIDATE = re.compile(r"[A-Za-z0-9+/_.=-]{16,200}")
 #: before and after it primes the dictionary, in characters.
 REACH, AROUND = 64, 2_000
 #: Marginal compressed bytes per character from which a string counts as random:
-#: hex digits carry half a byte, base-64 three quarters, words far less.
-NOVELTY = 0.45
+#: a short random string is stored almost byte for byte, known words far shorter.
+NOVELTY = 0.6
 
 IDENTIFIERS = (
     "password passwd pwd secret token api_key apikey access_key private_key client_id client_secret credential "
