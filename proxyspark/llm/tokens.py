@@ -8,7 +8,9 @@ every occurrence. The ids are those of encoding the text in one go.
 from __future__ import annotations
 
 import re
+from itertools import islice
 
+import numpy as np
 import regex
 
 from proxyspark.llm.common import kept
@@ -22,6 +24,7 @@ _PLAIN = re.compile("[\\t\\n\\r\x20-\x7e\xa0-įı-ɏ]*")
 _BYTE_PIECES = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 _WORD_PIECES = (r"'[sS]|'[tT]|'[rR][eE]|'[vV][eE]|'[mM]|'[lL][lL]|'[dD]"
                 r"|\p{L}+|\p{N}|[^\s\p{L}\p{N}]+")
+_LETTERS = "[a-zA-ZÀ-ÖØ-öø-ÿ]"
 _LONE_SPACE = re.compile("(?<! ) (?! )")
 _MARK = "\x01"
 
@@ -30,23 +33,38 @@ class CachedEncoder:
     """``encode(text)`` gives the ids as little-endian unsigned integers of
     ``width`` bytes: 2 where the vocabulary allows it, else 4.
 
-    ``limit`` bounds each of the two caches; a full cache is emptied, which
-    changes the time taken, never the ids.
+    ``limit`` bounds the cache. A full one loses the half that came last, as
+    frequent words come early; that changes the time taken, never the ids.
     """
 
-    def __init__(self, path: str, limit: int = 150_000):
+    def __init__(self, path: str, limit: int = 800_000):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.width = 2 if self.tokenizer.get_vocab_size() <= 1 << 16 else 4
+        vocabulary = self.tokenizer.get_vocab()
+        self.width = 2 if len(vocabulary) <= 1 << 16 else 4
         # Word-end vocabularies drop white space; byte-level ones keep it.
-        self.by_words = any(t.endswith("</w>") for t in list(self.tokenizer.get_vocab())[:1000])
+        self.by_words = any(t.endswith("</w>") for t in list(vocabulary)[:1000])
         self.pieces = regex.compile(_WORD_PIECES if self.by_words else _BYTE_PIECES)
-        self.chunk_ids, self.piece_ids, self.limit = {}, {}, limit
+        # Where a word ends (or starts) in the ids of many words.
+        self.borders = {i for t, i in vocabulary.items() if (t.endswith("</w>") if self.by_words else t.startswith("Ġ"))}
+        self.simple = re.compile(f"{'' if self.by_words else ' '}{_LETTERS}+")
+        self.ids, self.limit = {}, limit
+        self.tails = {c: self.library(c) for c in ",."}
+
+    def _packed(self, ids: list[int]) -> bytes:
+        return np.array(ids, f"<u{self.width}").tobytes()
 
     def library(self, text: str) -> bytes:
-        ids = self.tokenizer.encode(text, add_special_tokens=False).ids
-        return b"".join([i.to_bytes(self.width, "little") for i in ids])
+        return self._packed(self.tokenizer.encode(text, add_special_tokens=False).ids)
+
+    def together(self, words: list[str]) -> dict[str, bytes]:
+        """Ids of simple words, encoded in one call and parted at the borders."""
+        ids = self.tokenizer.encode((" " if self.by_words else "").join(words), add_special_tokens=False).ids
+        data, width, borders = self._packed(ids), self.width, self.borders
+        ends = [k + 1 for k, i in enumerate(ids) if i in borders] if self.by_words else \
+            [k for k, i in enumerate(ids) if i in borders][1:] + [len(ids)]
+        return {w: data[width * lo:width * hi] for w, lo, hi in zip(words, [0, *ends], ends)}
 
     def chunks(self, text: str) -> list[str]:
         if self.by_words:
@@ -56,34 +74,52 @@ class CachedEncoder:
         marked = _LONE_SPACE.sub(f"{_MARK} ", text) if "  " in text else text.replace(" ", f"{_MARK} ")
         return marked.split(_MARK)
 
-    def piece(self, piece: str) -> bytes:
-        ids = self.piece_ids.get(piece)
-        if ids is None:
-            ids = self.library(piece)
-            if len(self.piece_ids) >= self.limit:
-                self.piece_ids.clear()
-            self.piece_ids[piece] = ids
-        return ids
-
     def chunk(self, chunk: str) -> bytes:
+        """Ids of a chunk that is not a simple word."""
         if "<|" in chunk or not _PLAIN.fullmatch(chunk):
-            ids = self.library(chunk)
-        else:
-            ids = b"".join([self.piece(p) for p in self.pieces.findall(chunk)])
-        if len(chunk) <= 64:
-            if len(self.chunk_ids) >= self.limit:
-                self.chunk_ids.clear()
-            self.chunk_ids[chunk] = ids
-        return ids
-
-    def encode(self, text: str) -> bytes:
-        known, chunk = self.chunk_ids.get, self.chunk
+            return self.library(chunk)
         out = []
-        for c in self.chunks(text):
-            ids = known(c)
-            out.append(chunk(c) if ids is None else ids)
+        for piece in self.pieces.findall(chunk):
+            ids = self.ids.get(piece)
+            if ids is None:
+                ids = self.ids[piece] = self.library(piece)
+            out.append(ids)
         return b"".join(out)
 
+    def learn(self, chunks: set[str]) -> dict[str, bytes]:
+        """Ids of chunks that the cache lacks; it keeps those that are short."""
+        found, words, later = {}, {}, []
+        known, simple, tails = self.ids.get, self.simple.fullmatch, self.tails
+        for c in chunks:
+            tail = tails.get(c[-1:])
+            word = c if tail is None else c[:-1]
+            ids = known(word)
+            if ids is None and simple(word):
+                words[word] = None
+                later.append((c, word, tail or b""))
+            elif ids is not None and simple(word):
+                found[c] = self.ids[c] = ids + (tail or b"")
+            else:
+                found[c] = ids = self.chunk(c)
+                if len(c) <= 64:
+                    self.ids[c] = ids
+        if words:
+            words = self.together(list(words))
+            self.ids.update((w, ids) for w, ids in words.items() if len(w) <= 64)
+            found.update((c, words[w] + tail) for c, w, tail in later)
+        return found
+
+    def encode(self, text: str) -> bytes:
+        chunks = self.chunks(text)
+        ids = list(map(self.ids.get, chunks))
+        missing = {c for c, i in zip(chunks, ids) if i is None}
+        if missing:
+            fresh = self.learn(missing)
+            ids = [fresh[c] if i is None else i for c, i in zip(chunks, ids)]
+            if len(self.ids) > self.limit:
+                self.ids = dict(islice(self.ids.items(), self.limit // 2))
+        return b"".join(ids)
+
 
 def encoder(path: str) -> CachedEncoder:
     """One encoder per Python worker and file."""
