@@ -26,7 +26,7 @@ from proxyspark.llm.tokens import encoder
 _PIECE = "doc_id long, piece int, start long, length long, ids_crc32 long"
 _PLACED = f"{_PIECE}, sequence_id long, offset long"
 #: Items of one length and salt that are ranked together.
-RANKED_TOGETHER = 5_000
+RANKED_TOGETHER = 500
 
 
 def pieces(docs: DataFrame, tokenizer: str, end_id: int, capacity: int = 4096, with_ids: bool = False) -> DataFrame:
