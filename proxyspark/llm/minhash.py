@@ -6,11 +6,12 @@ candidates, which agree on enough minima to be worth a look and are then
 confirmed on their full sets. Components come from alternating large-star and
 small-star steps.
 
-Copies of a text are folded onto one representative first. Within a bucket no
-pairs of all with all are made: members are compared with one centre, linked
-groups are contracted, and only members that are still in different groups are
-compared further (``residual_links``), so a bucket of a million near copies costs
-a million comparisons.
+Copies of a text are folded onto one representative first. Members of a bucket
+are compared with its smallest one, and what that links is contracted. Buckets
+whose members then still carry several labels are looked at once more in blocks
+of bounded size (``residual_links``): a block compares the minima of its members
+as arrays and hands on only pairs that are likely links between two labels, each
+from the first band that the two share.
 """
 
 from __future__ import annotations
@@ -20,21 +21,21 @@ import hashlib
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from proxyspark.llm.common import as_bytes, cut, rows_batch
 
-#: At 80 % similarity a pair misses all bands with a chance of (1 - 0.8^4)^32 = 5e-8.
-BANDS, ROWS = 32, 4
-#: Pairs at 80 % similarity agree on 102 of 128 minima, give or take 4.5; fewer
-#: than this are six deviations off.
-AGREE = 74
+#: At 80 % similarity a pair misses all bands with a chance of (1 - 0.8^6)^42 = 3e-6.
+BANDS, ROWS = 42, 6
+#: Pairs at 80 % similarity agree on 202 of 252 minima, give or take 6.3; fewer
+#: than this are more than four deviations off.
+AGREE = 176
 SHINGLE, PERCENT = 4, 80
-#: Members of a bucket that are compared with all others in the first residual round.
-CENTRES = 8
+#: Members of a bucket that are compared in one block, on average.
+BLOCK = 512
 
-_SKETCH = "doc_id long, digest binary, n_shingles long, minima binary"
+_SKETCH = "doc_id long, digest binary, n_shingles long, keys binary, marks binary"
+_MIX = np.uint64(0x9E3779B97F4A7C15)
 _PAIR = "a long, b long"
 _WHITE = bytes(c + 32 if 0x41 <= c <= 0x5A else c for c in range(256))  # A-Z to a-z
 
@@ -90,9 +91,20 @@ def minima(found: np.ndarray, a: np.ndarray, b: np.ndarray, block: int = 256) ->
     return (best >> np.uint64(32)).astype("<u4")
 
 
+def summary(found: np.ndarray, a: np.ndarray, b: np.ndarray, rows: int) -> tuple[bytes, bytes]:
+    """A set's band keys, 64 bits for each ``rows`` minima, and the lowest byte of
+    every minimum, by which two sets are compared."""
+    low = minima(found, a, b)
+    keys = np.zeros(len(low) // rows, np.uint64)
+    for column in low.reshape(-1, rows).T:
+        keys = (keys ^ column) * _MIX
+        keys ^= keys >> np.uint64(32)
+    return keys.astype("<u8").tobytes(), low.astype(np.uint8).tobytes()
+
+
 def sketches(docs: DataFrame, size: int = SHINGLE, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
-    """Per row: digest of its words, size of its shingle set, and its minima
-    (null where the set is empty)."""
+    """Per row: digest of its words, size of its shingle set, its band keys and
+    the marks of its minima (null where the set is empty)."""
 
     def run(batches):
         a, b = coefficients(bands * rows)
@@ -105,7 +117,7 @@ def sketches(docs: DataFrame, size: int = SHINGLE, bands: int = BANDS, rows: int
                 digest = hashlib.blake2b(b" ".join(words), digest_size=16).digest()
                 if digest not in done:
                     found = shingles(words, known, size)
-                    done[digest] = (digest, len(found), minima(found, a, b).tobytes() if len(found) else None)
+                    done[digest] = (digest, len(found), *(summary(found, a, b, rows) if len(found) else (None, None)))
                 out.append(done[digest])
             if out:
                 yield rows_batch(_SKETCH, [batch.column(0), *zip(*out)])
@@ -113,21 +125,20 @@ def sketches(docs: DataFrame, size: int = SHINGLE, bands: int = BANDS, rows: int
     return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, _SKETCH)
 
 
-def band_rows(representatives: DataFrame, bands: int, rows: int, first: int = 0, last: int | None = None) -> DataFrame:
-    """``bucket, id`` for bands ``first`` to ``last`` of every representative."""
-    wide = rows * 4
-    keys = F.array(*[F.xxhash64(F.lit(k), F.substring("minima", 1 + k * wide, wide)) for k in range(first, last or bands)])
-    return representatives.select("id", F.explode(keys).alias("bucket"))
+def band_rows(nodes: DataFrame, bands: int) -> DataFrame:
+    """``bucket, band, id`` for every band of every node."""
+    keys = F.array(*[F.xxhash64(F.lit(k), F.substring("keys", 1 + 8 * k, 8)) for k in range(bands)])
+    return nodes.select("id", F.posexplode(keys).alias("band", "bucket")).select("bucket", "band", "id")
 
 
-def confirmed(pairs: DataFrame, minima_of: DataFrame, texts: DataFrame, size: int, percent: int, agree: int) -> DataFrame:
+def confirmed(pairs: DataFrame, nodes: DataFrame, texts: DataFrame, size: int, percent: int, agree: int) -> DataFrame:
     """The pairs whose minima agree often enough and whose full sets are similar enough."""
 
     def alike(batches):
         for batch in batches:
-            left = np.frombuffer(b"".join(batch.column(2).to_pylist()), "<u4").reshape(batch.num_rows, -1) if batch.num_rows else None
+            left = np.frombuffer(b"".join(batch.column(2).to_pylist()), np.uint8).reshape(batch.num_rows, -1) if batch.num_rows else None
             if left is not None:
-                right = np.frombuffer(b"".join(batch.column(3).to_pylist()), "<u4").reshape(batch.num_rows, -1)
+                right = np.frombuffer(b"".join(batch.column(3).to_pylist()), np.uint8).reshape(batch.num_rows, -1)
                 good = (left == right).sum(axis=1) >= agree
                 yield pa.record_batch([batch.column(0), batch.column(1)], names=["a", "b"]).filter(pa.array(good))
 
@@ -147,8 +158,8 @@ def confirmed(pairs: DataFrame, minima_of: DataFrame, texts: DataFrame, size: in
     def side(of, name, value):
         return of.select(F.col("id").alias(name), F.col(value).alias(f"{value}_{name}"))
 
-    likely = (pairs.join(side(minima_of, "a", "minima"), "a").join(side(minima_of, "b", "minima"), "b")
-              .select("a", "b", "minima_a", "minima_b").mapInArrow(alike, _PAIR))
+    likely = (pairs.join(side(nodes, "a", "marks"), "a").join(side(nodes, "b", "marks"), "b")
+              .select("a", "b", "marks_a", "marks_b").mapInArrow(alike, _PAIR))
     likely = cut(likely.distinct(), "likely")
     return (likely.join(side(texts, "b", "text"), "b").join(side(texts, "a", "text"), "a")
             .select("a", "b", "text_a", "text_b").mapInArrow(similar, _PAIR).distinct())
@@ -194,25 +205,58 @@ def labelled(nodes: DataFrame, edges: DataFrame) -> DataFrame:
         "id", F.coalesce("component", "id").alias("label"))
 
 
-def residual_links(rows: DataFrame, labels: DataFrame, tested: DataFrame, centres: int):
-    """Pairs not yet tested that share a bucket and not a label.
-
-    In a bucket of several labels, up to ``centres`` members outside its largest
-    group meet all members of other labels. Returns the pairs, the rows of such
-    buckets, and those of their members that were no centre yet.
+def likely_pairs(rows: list[tuple], lo: int, hi: int, agree: int, width: int) -> list[tuple[int, int]]:
+    """Pairs of one block that differ in label and agree often enough, if this is
+    the first band they share. ``rows`` are ``(id, label, block, band, marks)``;
+    where ``lo`` and ``hi`` differ, one side of a pair is of either block."""
+    ids, labels, blocks = (np.array([r[k] for r in rows], np.int64) for k in range(3))
+    marks = np.frombuffer(b"".join([r[4] for r in rows]), np.uint8).reshape(len(rows), -1)
+    band, out = rows[0][3], []
+    for i in range(len(rows) - 1) if lo == hi else np.flatnonzero(blocks == lo):
+        others = np.arange(i + 1, len(rows)) if lo == hi else np.flatnonzero(blocks == hi)
+        others = others[labels[others] != labels[i]]
+        same = marks[others] == marks[i]
+        good = same.sum(axis=1) >= agree
+        if not good.any():
+            continue
+        others, same = others[good], same[good]
+        earlier = same.reshape(len(same), -1, width)[:, :band].all(axis=2).any(axis=1)
+        out += [(min(ids[i], x), max(ids[i], x)) for x in ids[others[~earlier]]]
+    return out
+
+
+def residual_links(buckets: DataFrame, labels: DataFrame, nodes: DataFrame, agree: int, width: int, block: int = BLOCK) -> DataFrame:
+    """``a, b``: likely links between members of a bucket that carry different labels.
+
+    A bucket of more than ``block`` members is cut into blocks by a hash of the
+    id, and every two blocks meet in a group of their own, so that no task holds
+    a whole bucket and no row per pair is made before it is found likely.
     """
-    named = rows.join(labels, "id")
-    groups = named.groupBy("bucket", "label").agg(F.count("*").alias("n"))
-    mixed = (groups.groupBy("bucket").agg(F.count("*").alias("groups"), F.max(F.struct("n", "label")).alias("top"))
-             .where("groups > 1").select("bucket", F.col("top.label").alias("top")))
-    live = cut(named.join(mixed, "bucket"), "buckets")
-    order = W.partitionBy("bucket").orderBy(F.xxhash64("id"), "id")
-    stray = live.where("label != top").withColumn("_n", F.row_number().over(order))
-    chosen = stray.where(F.col("_n") <= centres).select("bucket", F.col("id").alias("c"), F.col("label").alias("c_label"))
-    pairs = (live.join(chosen, "bucket").where("label != c_label")
-             .select(F.least("id", "c").alias("a"), F.greatest("id", "c").alias("b")).distinct())
-    return (pairs.join(tested, ["a", "b"], "left_anti"), live.select("bucket", "id"),
-            stray.where(F.col("_n") > centres))
+    named = buckets.join(labels, "id")
+    mixed = (named.groupBy("bucket").agg(F.count("*").alias("n"), F.min("label").alias("x"), F.max("label").alias("y"))
+             .where("x != y").select("bucket", F.ceil(F.col("n") / block).cast("int").alias("blocks")))
+    live = named.join(mixed, "bucket").withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
+    met = live.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    met = met.select("bucket", F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"),
+                     "id", "label", "block", "band").join(nodes.select("id", "marks"), "id")
+    grouped = met.repartition("bucket", "lo", "hi").sortWithinPartitions("bucket", "lo", "hi", "id").select(
+        "bucket", "lo", "hi", "id", "label", "block", "band", "marks")
+
+    def compare(batches):
+        key, rows = None, []
+        for batch in batches:
+            found = []
+            for row in zip(*(c.to_pylist() for c in batch.columns)):
+                if row[:3] != key:
+                    if len(rows) > 1:
+                        found += likely_pairs(rows, key[1], key[2], agree, width)
+                    key, rows = row[:3], []
+                rows.append(row[3:])
+            yield rows_batch(_PAIR, list(zip(*found)) or [[], []])
+        if len(rows) > 1:
+            yield rows_batch(_PAIR, list(zip(*likely_pairs(rows, key[1], key[2], agree, width))) or [[], []])
+
+    return grouped.mapInArrow(compare, _PAIR).distinct()
 
 
 def link(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT, bands: int = BANDS, rows: int = ROWS,
@@ -230,29 +274,20 @@ def link(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT, bands: in
     full = found.where("n_shingles > 0 AND doc_id IS NOT NULL")
     copies = full.groupBy("digest").agg(F.min("doc_id").alias("id"))
     members = full.select("doc_id", "digest").join(copies, "digest").select("doc_id", "id").distinct()
-    nodes = cut(full.join(copies, "digest").where("doc_id = id").select("id", "digest", "minima").distinct(), "nodes")
+    nodes = cut(full.join(copies, "digest").where("doc_id = id").select("id", "digest", "keys", "marks").distinct(), "nodes")
     texts = docs.select(F.col("doc_id").cast("long").alias("id"), F.col("text").cast("string").alias("text"))
 
-    buckets = cut(band_rows(nodes, bands, rows).distinct(), "bands")
+    buckets = band_rows(nodes, bands).distinct()
     centre = buckets.groupBy("bucket").agg(F.min("id").alias("c"), F.count("*").alias("n")).where("n > 1")
-    pairs = cut(buckets.join(centre, "bucket").where("id != c").select(F.col("c").alias("a"), F.col("id").alias("b"))
-                .distinct(), "pairs")
+    buckets = cut(buckets.join(centre.select("bucket", "c"), "bucket"), "buckets")
+    pairs = buckets.where("id != c").select(F.col("c").alias("a"), F.col("id").alias("b")).distinct()
     # Several texts of one id: its representatives belong together.
-    several = members.groupBy("doc_id").agg(F.min("id").alias("a"), F.max("id").alias("b"), F.count("*").alias("n"))
-    several = several.where("n > 1").select("doc_id", "a").join(members, "doc_id").select("a", F.col("id").alias("b")).where("a != b")
+    several = members.groupBy("doc_id").agg(F.min("id").alias("a"), F.count("*").alias("n")).where("n > 1")
+    several = several.select("doc_id", "a").join(members, "doc_id").select("a", F.col("id").alias("b")).where("a != b")
     edges = cut(confirmed(pairs, nodes, texts, size, percent, agree).union(several), "edges")
-    tested, centres = pairs, CENTRES
-    rest = buckets.join(centre.select("bucket"), "bucket", "left_semi")
-    while True:
-        more, rest, beyond = residual_links(rest, labelled(nodes, edges), tested, centres)
-        more = cut(more, "pairs")
-        if more.isEmpty():
-            if beyond.isEmpty():
-                break
-        else:
-            edges = edges.union(cut(confirmed(more, nodes, texts, size, percent, agree), "edges"))
-            tested = tested.union(more)
-        centres *= 4
+    labels = cut(labelled(nodes, edges), "labels")
+    more = residual_links(buckets.drop("c"), labels, nodes, agree, rows)
+    edges = edges.union(cut(confirmed(more, nodes, texts, size, percent, agree), "edges"))
     whole = (members.join(labelled(nodes, edges), "id")
              .groupBy("doc_id").agg(F.min("label").alias("component_id")))
     return (found.select("doc_id", "n_shingles").join(whole, "doc_id", "left")

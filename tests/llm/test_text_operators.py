@@ -81,21 +81,23 @@ def test_components_of_a_path_and_a_star(spark):
     assert got == {**{k: 0 for k in range(41)}, **{100 + k: 100 for k in range(30)}, 200: 200, 201: 200}
 
 
-def test_residual_rounds_compare_strays(spark, docs_of):
-    # One bucket for all (a band of no rows would do the same): every pair must still be looked at.
-    rows = spark.createDataFrame([(1, k) for k in range(40)], "bucket long, id long")
-    labels = spark.createDataFrame([(k, k % 4) for k in range(40)], "id long, label long")
-    tested, seen, centres = spark.createDataFrame([], "a long, b long"), set(), 2
-    while True:
-        more, rows, beyond = minhash.residual_links(rows, labels, tested, centres)
-        pairs = {tuple(r) for r in more.collect()}
-        assert not pairs & seen
-        if not pairs and beyond.isEmpty():
-            break
-        seen |= pairs
-        tested = spark.createDataFrame(sorted(seen), "a long, b long")
-        centres *= 4
-    assert seen == {(a, b) for a in range(40) for b in range(a + 1, 40) if a % 4 != b % 4}
+def test_residual_blocks_find_every_likely_pair(spark):
+    random = np.random.default_rng(3)
+    base = random.integers(0, 256, 252, np.uint8)
+    marks = []
+    for k in range(60):
+        mine = base.copy()
+        changed = random.choice(252, 10 + k, replace=False)
+        mine[changed] = random.integers(0, 256, len(changed), np.uint8)
+        mine[:6] = base[:6]  # all share band 0
+        marks.append(mine)
+    nodes = spark.createDataFrame([(k, bytearray(m.tobytes())) for k, m in enumerate(marks)], "id long, marks binary")
+    labels = spark.createDataFrame([(k, k % 4) for k in range(60)], "id long, label long")
+    rows = spark.createDataFrame([(77, 0, k) for k in range(60)] + [(78, 1, k) for k in (3, 9)] + [(79, 2, 5)], "bucket long, band int, id long")
+    want = {(a, b) for a in range(60) for b in range(a + 1, 60) if a % 4 != b % 4 and (marks[a] == marks[b]).sum() >= 176}
+    assert 0 < len(want) < 1000
+    for block in (7, 1000):
+        assert {tuple(r) for r in minhash.residual_links(rows, labels, nodes, 176, 6, block).collect()} == want
 
 
 # ---- language
