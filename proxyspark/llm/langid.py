@@ -21,7 +21,7 @@ from proxyspark.llm.common import kept, rows_batch
 PROFILE = 400
 #: Profiles are learnt from at most so many labelled documents of a language,
 #: those with the smallest hash of their id.
-SAMPLE_PER_LANGUAGE = 1_500
+SAMPLE_PER_LANGUAGE = 1_000
 UNKNOWN = "und"
 
 _GRAMS = "lang string, gram long, n long"
