@@ -10,8 +10,8 @@ Copies of a text are folded onto one representative first. Members of a bucket
 are compared with its smallest one, and what that links is contracted. Buckets
 whose members then still carry several labels are looked at once more in blocks
 of bounded size (``residual_links``): a block compares the minima of its members
-as arrays and hands on only pairs that are likely links between two labels, each
-from the first band that the two share.
+as arrays and confirms pairs that are likely links between two labels, each in
+the first band that the two share.
 """
 
 from __future__ import annotations
@@ -150,9 +150,7 @@ def confirmed(pairs: DataFrame, nodes: DataFrame, texts: DataFrame, size: int, p
             for a, left, right in zip(ids, as_bytes(batch.column(2)), as_bytes(batch.column(3))):
                 if a != last:
                     last, last_set = a, shingles(words_of(left), known, size)
-                other = shingles(words_of(right), known, size)
-                both = len(np.intersect1d(last_set, other, assume_unique=True))
-                good.append(100 * both >= percent * (len(last_set) + len(other) - both))
+                good.append(similar_sets(last_set, shingles(words_of(right), known, size), percent))
             yield pa.record_batch([batch.column(0), batch.column(1)], names=["a", "b"]).filter(pa.array(good, pa.bool_()))
 
     def side(of, name, value):
@@ -205,6 +203,11 @@ def labelled(nodes: DataFrame, edges: DataFrame) -> DataFrame:
         "id", F.coalesce("component", "id").alias("label"))
 
 
+def similar_sets(x: np.ndarray, y: np.ndarray, percent: int) -> bool:
+    both = len(np.intersect1d(x, y, assume_unique=True))
+    return 100 * both >= percent * (len(x) + len(y) - both)
+
+
 def likely_pairs(rows: list[tuple], lo: int, hi: int, agree: int, width: int) -> list[tuple[int, int]]:
     """Pairs of one block that differ in label and agree often enough, if this is
     the first band they share. ``rows`` are ``(id, label, block, band, marks)``;
@@ -225,12 +228,32 @@ def likely_pairs(rows: list[tuple], lo: int, hi: int, agree: int, width: int) ->
     return out
 
 
-def residual_links(buckets: DataFrame, labels: DataFrame, nodes: DataFrame, agree: int, width: int, block: int = BLOCK) -> DataFrame:
-    """``a, b``: likely links between members of a bucket that carry different labels.
+_MET = "bucket long, lo int, hi int, id long, label long, block int, band int, marks binary"
+
+
+def _groups(batches):
+    """Runs of rows with the same first three columns, which the rows come sorted by."""
+    key, rows = None, []
+    for batch in batches:
+        for row in zip(*(c.to_pylist() for c in batch.columns)):
+            if row[:3] != key:
+                if len(rows) > 1:
+                    yield rows
+                key, rows = row[:3], []
+            rows.append(row)
+    if len(rows) > 1:
+        yield rows
+
+
+def residual_links(buckets: DataFrame, labels: DataFrame, nodes: DataFrame, texts: DataFrame, size: int, percent: int,
+                   agree: int, width: int, block: int = BLOCK) -> DataFrame:
+    """``a, b``: links between members of a bucket that carry different labels.
 
     A bucket of more than ``block`` members is cut into blocks by a hash of the
-    id, and every two blocks meet in a group of their own, so that no task holds
-    a whole bucket and no row per pair is made before it is found likely.
+    id, and every two blocks meet in a group of their own, so no task holds a
+    whole bucket. A group first finds, by their marks, the members that have a
+    likely partner; these get their texts, and the same group then confirms its
+    likely pairs on full sets. There is never a row per pair that is no link.
     """
     named = buckets.join(labels, "id")
     mixed = (named.groupBy("bucket").agg(F.count("*").alias("n"), F.min("label").alias("x"), F.max("label").alias("y"))
@@ -239,24 +262,36 @@ def residual_links(buckets: DataFrame, labels: DataFrame, nodes: DataFrame, agre
     met = live.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     met = met.select("bucket", F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"),
                      "id", "label", "block", "band").join(nodes.select("id", "marks"), "id")
-    grouped = met.repartition("bucket", "lo", "hi").sortWithinPartitions("bucket", "lo", "hi", "id").select(
-        "bucket", "lo", "hi", "id", "label", "block", "band", "marks")
-
-    def compare(batches):
-        key, rows = None, []
-        for batch in batches:
-            found = []
-            for row in zip(*(c.to_pylist() for c in batch.columns)):
-                if row[:3] != key:
-                    if len(rows) > 1:
-                        found += likely_pairs(rows, key[1], key[2], agree, width)
-                    key, rows = row[:3], []
-                rows.append(row[3:])
-            yield rows_batch(_PAIR, list(zip(*found)) or [[], []])
-        if len(rows) > 1:
-            yield rows_batch(_PAIR, list(zip(*likely_pairs(rows, key[1], key[2], agree, width))) or [[], []])
+    names = [c.split()[0] for c in _MET.split(", ")]
+
+    def grouped(rows, *more):
+        return rows.repartition("bucket", "lo", "hi").sortWithinPartitions("bucket", "lo", "hi", "id").select(*names, *more)
+
+    def partnered(batches):
+        found = []
+        for rows in _groups(batches):
+            ids = {i for pair in likely_pairs([r[3:] for r in rows], rows[0][1], rows[0][2], agree, width) for i in pair}
+            found += [r for r in rows if r[3] in ids]
+            if len(found) > 5_000:
+                yield rows_batch(_MET, list(zip(*found)))
+                found = []
+        yield rows_batch(_MET, list(zip(*found)) or [[] for _ in names])
+
+    def links(batches):
+        known = _WordHashes()
+        for rows in _groups(batches):
+            sets, found = {}, []
+            for r in rows:
+                sets.setdefault(r[3], []).append(shingles(words_of(r[8]), known, size))
+            for a, b in likely_pairs([r[3:8] for r in rows], rows[0][1], rows[0][2], agree, width):
+                if any(similar_sets(x, y, percent) for x in sets[a] for y in sets[b]):
+                    found.append((a, b))
+            if found:
+                yield rows_batch(_PAIR, list(zip(*found)))
 
-    return grouped.mapInArrow(compare, _PAIR).distinct()
+    likely = cut(grouped(met).mapInArrow(partnered, _MET), "partnered")
+    told = likely.join(texts.select("id", F.col("text").cast("binary").alias("text")), "id")
+    return grouped(told, "text").mapInArrow(links, _PAIR).distinct()
 
 
 def link(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT, bands: int = BANDS, rows: int = ROWS,
@@ -286,8 +321,8 @@ def link(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT, bands: in
     several = several.select("doc_id", "a").join(members, "doc_id").select("a", F.col("id").alias("b")).where("a != b")
     edges = cut(confirmed(pairs, nodes, texts, size, percent, agree).union(several), "edges")
     labels = cut(labelled(nodes, edges), "labels")
-    more = residual_links(buckets.drop("c"), labels, nodes, agree, rows)
-    edges = edges.union(cut(confirmed(more, nodes, texts, size, percent, agree), "edges"))
+    more = residual_links(buckets.drop("c"), labels, nodes, texts, size, percent, agree, rows)
+    edges = edges.union(cut(more, "edges"))
     whole = (members.join(labelled(nodes, edges), "id")
              .groupBy("doc_id").agg(F.min("label").alias("component_id")))
     return (found.select("doc_id", "n_shingles").join(whole, "doc_id", "left")

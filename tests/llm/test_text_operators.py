@@ -94,10 +94,16 @@ def test_residual_blocks_find_every_likely_pair(spark):
     nodes = spark.createDataFrame([(k, bytearray(m.tobytes())) for k, m in enumerate(marks)], "id long, marks binary")
     labels = spark.createDataFrame([(k, k % 4) for k in range(60)], "id long, label long")
     rows = spark.createDataFrame([(77, 0, k) for k in range(60)] + [(78, 1, k) for k in (3, 9)] + [(79, 2, 5)], "bucket long, band int, id long")
-    want = {(a, b) for a in range(60) for b in range(a + 1, 60) if a % 4 != b % 4 and (marks[a] == marks[b]).sum() >= 176}
+    # Some likely pairs are links by their texts and some are not.
+    words = [[f"w{j}" for j in range(40 + k % 9)] + [f"own{k}" for _ in range(k % 3)] for k in range(60)]
+    texts = spark.createDataFrame([(k, " ".join(w)) for k, w in enumerate(words)], "id long, text string")
+    sets = [minhash.shingles(minhash.words_of(" ".join(w).encode()), minhash._WordHashes()) for w in words]
+    want = {(a, b) for a in range(60) for b in range(a + 1, 60)
+            if a % 4 != b % 4 and (marks[a] == marks[b]).sum() >= 176 and minhash.similar_sets(sets[a], sets[b], 90)}
     assert 0 < len(want) < 1000
     for block in (7, 1000):
-        assert {tuple(r) for r in minhash.residual_links(rows, labels, nodes, 176, 6, block).collect()} == want
+        got = minhash.residual_links(rows, labels, nodes, texts, 4, 90, 176, 6, block)
+        assert {tuple(r) for r in got.collect()} == want
 
 
 # ---- language
