@@ -5,7 +5,6 @@ are all derived from whole tables; six seeded attack patterns are added to the
 traffic so that every detector has something to find. ``up1`` stays benign.
 """
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -180,9 +179,8 @@ def load(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 _STORED: dict[tuple, str] = {}
 
 
-def local_fallback(spark: SparkSession) -> str | None:
-    """A scratch folder where the session names none; single-machine runs only."""
-    return tempfile.gettempdir() if spark.sparkContext.master.startswith("local") else None
+#: Used only where the session names no ``spark.checkpoint.dir`` (tests).
+DEFAULT_FOLDER = "/tmp/checkpoints"
 
 
 def stored(spark: SparkSession, sf_dir: str, name: str, write) -> DataFrame:
@@ -191,7 +189,7 @@ def stored(spark: SparkSession, sf_dir: str, name: str, write) -> DataFrame:
     pin(spark)
     key = (spark.sparkContext.applicationId, sf_dir, name)
     if key not in _STORED:
-        path = f"{shared_dir(spark, local_fallback(spark))}/proxyspark-{uuid.uuid4().hex}/{name}"
+        path = f"{shared_dir(spark, DEFAULT_FOLDER)}/proxyspark-{uuid.uuid4().hex}/{name}"
         write(path)
         _STORED[key] = path
     return spark.read.parquet(_STORED[key])

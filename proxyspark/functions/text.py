@@ -47,16 +47,19 @@ def parse_ts(value: Column, now) -> Column:
     The layout's shape is checked first, so each cell is parsed once: ISO-like
     text by the fast cast, the rest by its own pattern. ``now`` is the ingest
     time (a ``datetime``): a layout without a year takes its year from there,
-    so a re-run gives the same answer.
+    so a re-run gives the same answer. Fractions follow a point or a comma. A
+    number of any length that is no instant gives NULL.
     """
     epoch = value.try_cast("bigint")
     seconds = F.when(epoch > fixed.EPOCH_MILLIS_ABOVE, F.floor(epoch / F.lit(1000))).otherwise(epoch)
-    dated = F.concat(F.lit(f"{now.year} "), F.regexp_replace(value, r"\s+", " "))
+    in_range = seconds.between(-fixed.EPOCH_SECONDS_WITHIN, fixed.EPOCH_SECONDS_WITHIN)
+    pointed = F.translate(value, ",", ".")
+    dated = F.concat(F.lit(f"{now.year} "), F.regexp_replace(pointed, r"\s+", " "))
     return (
-        F.when(value.rlike(fixed.TIMESTAMP_SHAPES["iso"]), value.try_cast("timestamp"))
-        .when(value.rlike(fixed.TIMESTAMP_SHAPES["epoch"]), F.timestamp_seconds(seconds))
-        .when(value.rlike(fixed.TIMESTAMP_SHAPES["slashes"]), F.translate(value, "/", "-").try_cast("timestamp"))
-        .when(value.rlike(fixed.TIMESTAMP_SHAPES["access_log"]), F.try_to_timestamp(value, F.lit(fixed.ACCESS_LOG_PATTERN)))
+        F.when(value.rlike(fixed.TIMESTAMP_SHAPES["iso"]), pointed.try_cast("timestamp"))
+        .when(value.rlike(fixed.TIMESTAMP_SHAPES["epoch"]), F.when(in_range, F.timestamp_seconds(seconds)))
+        .when(value.rlike(fixed.TIMESTAMP_SHAPES["slashes"]), F.translate(value, "/,", "-.").try_cast("timestamp"))
+        .when(value.rlike(fixed.TIMESTAMP_SHAPES["access_log"]), F.try_to_timestamp(pointed, F.lit(fixed.ACCESS_LOG_PATTERN)))
         .when(value.rlike(fixed.TIMESTAMP_SHAPES["yearless"]), F.try_to_timestamp(dated, F.lit(fixed.YEARLESS_PATTERN)))
     )
 

@@ -408,7 +408,7 @@ SELECT org_id, upload_id, subject_user_id, level, {_ts('expires_at')} FROM (
     c="""SELECT org_id, upload_id, subject_user_id, level, expires_at, -1 AS seq, false AS fresh FROM (SELECT *, row_number() OVER (
   PARTITION BY subject_user_id, CASE WHEN upload_id IS NULL THEN 'org:' || org_id ELSE 'upload:' || CAST(upload_id AS VARCHAR) END ORDER BY id DESC) AS place
   FROM access_grants) WHERE place = 1
-UNION ALL SELECT org_id, upload_id, subject_user_id, 'full', NULL, id, true FROM access_grants WHERE granted_by > subject_user_id""")
+UNION ALL SELECT org_id, upload_id, subject_user_id, 'full', NULL, id, true FROM access_grants""")
 
 # --- search -----------------------------------------------------------------------------------
 _STOPS = ", ".join(f"'{w}'" for w in fixed.STOP_WORDS)

@@ -479,9 +479,8 @@ def upsert_grants(spark, sf):
     changes = grants.select(
         (F.col("id") + 10_000_000).alias("id"), "org_id", "upload_id", "subject_user_id",
         F.lit("full").alias("level"), "granted_by", F.lit(None).cast("timestamp").alias("expires_at"),
-        "created_at", F.col("id").alias("seq")).where(F.col("level") == "full")
-    renewed = changes.where(F.col("granted_by") > F.col("subject_user_id"))
-    out = tables.upsert_grants(_one_per_target(grants), renewed)
+        "created_at", F.col("id").alias("seq"))
+    out = tables.upsert_grants(_one_per_target(grants), changes)
     return out.select("org_id", "upload_id", "subject_user_id", "level", _text("expires_at"))
 
 
@@ -679,11 +678,16 @@ def parse_long(spark, sf):
 @query
 def parse_ts(spark, sf):
     when, key = F.col("o_orderdate"), F.col("o_orderkey") % 7
+    # A fraction after a comma for some; numbers that are no instant beside other junk.
+    pick = F.col("o_custkey") % 5
+    plain = F.concat(F.date_format(when, "yyyy-MM-dd HH:mm:ss"), F.when(pick < 2, ",25").otherwise(""))
+    junk = (F.when(pick == 0, "17000000000000000").when(pick == 1, "-170000000000000000").when(pick == 2, "1700000000000000000")
+            .when(pick == 3, "17000000000000000000").otherwise(F.date_format(when, "yyyy.MM.dd")))
     raw = (
-        F.when(key == 0, F.date_format(when, "yyyy-MM-dd HH:mm:ss")).when(key == 1, F.date_format(when, "yyyy-MM-dd'T'HH:mm:ss'Z'"))
+        F.when(key == 0, plain).when(key == 1, F.date_format(when, "yyyy-MM-dd'T'HH:mm:ss'Z'"))
         .when(key == 2, F.date_format(when, "yyyy/MM/dd H:mm:ss.SSS")).when(key == 3, F.date_format(when, "dd/MMM/yyyy:HH:mm:ss +0200"))
         .when(key == 4, F.unix_seconds(when.cast("timestamp")).cast("string"))
-        .when(key == 5, F.date_format(when, "MMM d HH:mm:ss")).otherwise(F.date_format(when, "yyyy.MM.dd"))
+        .when(key == 5, F.date_format(when, "MMM d HH:mm:ss")).otherwise(junk)
     )
     return load(spark, sf, "orders").select("o_orderkey", F.date_format(text.parse_ts(raw, INGESTED), "yyyy-MM-dd HH:mm:ss").alias("ts"))
 

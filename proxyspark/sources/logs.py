@@ -51,7 +51,7 @@ def detect_delimiter(line: Column) -> Column:
 
 
 def _unquote(cell: Column) -> Column:
-    inner = F.replace(F.substring(cell, 2, 1_000_000_000), F.lit('""'), F.lit('"'))
+    inner = F.replace(F.substr(cell, F.lit(2)), F.lit('""'), F.lit('"'))
     quoted = cell.startswith('"') & cell.endswith('"') & (F.length(cell) >= 2)
     return F.when(quoted, F.left(inner, F.greatest(F.length(inner) - 1, F.lit(0)))).otherwise(cell)
 
