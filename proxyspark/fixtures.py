@@ -207,10 +207,9 @@ def run_stream(spark: SparkSession, sf_dir: str, name: str, source: DataFrame, b
     feed = stored(spark, sf_dir, f"{name}_feed", lambda path: source.write.parquet(path))
 
     def run(path):
-        # One state store per shuffle partition: a few are plenty on one machine.
+        # One state store per shuffle partition, and no more than there are cores.
         usual = spark.conf.get("spark.sql.shuffle.partitions")
-        if spark.sparkContext.master.startswith("local"):
-            spark.conf.set("spark.sql.shuffle.partitions", "4")
+        spark.conf.set("spark.sql.shuffle.partitions", str(min(int(usual), spark.sparkContext.defaultParallelism)))
         try:
             place = _STORED[(spark.sparkContext.applicationId, sf_dir, f"{name}_feed")]
             files = spark.readStream.schema(feed.schema).parquet(place)

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from proxyspark import fixed
 from proxyspark.functions import labels
-from proxyspark.operators.order_stats import percentiles_of_counts, value_counts
+from proxyspark.operators.order_stats import counted_percentiles, percentiles_of_counts, value_counts
 from proxyspark.operators.scope import Scope, apply_scope, apply_tenancy, clamp
 
 _LATENCY = {"latency_p50": 0.50, "latency_p95": 0.95, "latency_p99": 0.99}
@@ -29,7 +29,7 @@ def dashboard_summary(rollups: DataFrame, entries: DataFrame, uploads: DataFrame
         *[F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in _SUMS], F.count_distinct("host").alias("hosts"),
     )
     counts = value_counts(apply_scope(entries, scope), [], "latency_ms")
-    latency = percentiles_of_counts(counts, [], "latency_ms", _LATENCY)
+    latency = counted_percentiles(counts, [], "latency_ms", _LATENCY)
     files = apply_scope(uploads, scope, "created_at").agg(F.count(F.lit(1)).alias("uploads"))
     span = apply_tenancy(rollups, scope).agg(
         F.min("bucket_start").alias("data_start"), F.max("bucket_start").alias("data_end"),

@@ -37,15 +37,15 @@ def _named(column: str):
     return F.coalesce(F.nullif(F.col(column), F.lit("")), F.lit(fixed.UNKNOWN))
 
 
-def _capped(scored: DataFrame, by) -> DataFrame:
-    """Best few per scope. The rank filter becomes a per-task limit before the
-    shuffle, so a scope with very many candidates does not fill one task."""
+def _capped(scored: DataFrame, by, per_detector: int | None) -> DataFrame:
+    """Best ``per_detector`` per scope, or all where that is None. The rank
+    filter becomes a per-task limit before the shuffle, so a scope with very
+    many candidates does not fill one task."""
+    enough = scored.where(F.col("score") >= fixed.MIN_SCORE)
+    if per_detector is None:
+        return enough
     order = Window.partitionBy(*by).orderBy(F.desc("score"), "title")
-    return (
-        scored.where(F.col("score") >= fixed.MIN_SCORE)
-        .withColumn("_r", F.row_number().over(order))
-        .where(F.col("_r") <= fixed.MAX_PER_DETECTOR).drop("_r")
-    )
+    return enough.withColumn("_r", F.row_number().over(order)).where(F.col("_r") <= per_detector).drop("_r")
 
 
 def _shape(df: DataFrame, by, kind: str, entities: dict[str, str], evidence) -> DataFrame:
@@ -82,7 +82,7 @@ def spike_minutes(entries: DataFrame, by=BY) -> DataFrame:
     )
 
 
-def volume_spike(entries: DataFrame, by=BY) -> DataFrame:
+def volume_spike(entries: DataFrame, by=BY, per_detector: int | None = fixed.MAX_PER_DETECTOR) -> DataFrame:
     """Unusually many requests from one address within a minute."""
     by = list(by)
     grouped = spike_minutes(entries, by).groupBy(*by, "client_ip").agg(
@@ -90,7 +90,7 @@ def volume_spike(entries: DataFrame, by=BY) -> DataFrame:
         F.count(F.lit(1)).alias("minutes"), F.min("minute").alias("first"), F.max("minute").alias("last"),
         F.sum("hits").alias("entry_count"),
     ).withColumn("title", _title("volume_spike", "client_ip"))
-    return _shape(_capped(grouped, by), by, "volume_spike", {"client_ip": "client_ip"}, [
+    return _shape(_capped(grouped, by, per_detector), by, "volume_spike", {"client_ip": "client_ip"}, [
         "client_ip", F.col("peak").alias("peak_requests_per_minute"),
         F.bround("median", 1).alias("median_requests_per_minute"),
         F.col("minutes").alias("minutes_affected"), _iso("first").alias("window_start"),
@@ -100,7 +100,7 @@ def volume_spike(entries: DataFrame, by=BY) -> DataFrame:
 
 # --- data_exfil --------------------------------------------------------------------
 
-def data_exfil(entries: DataFrame, by=BY) -> DataFrame:
+def data_exfil(entries: DataFrame, by=BY, per_detector: int | None = fixed.MAX_PER_DETECTOR) -> DataFrame:
     """Outbound transfers far above the scope's norm, on a log10 scale."""
     by = list(by)
     sent = entries.where(F.col("req_bytes") > 0)
@@ -117,7 +117,7 @@ def data_exfil(entries: DataFrame, by=BY) -> DataFrame:
         .withColumn("score", labels.score_from_z(z, fixed.EXFIL_FLAG_Z, fixed.EXFIL_CERTAIN_Z))
         .withColumn("title", _title("data_exfil", "username", "host"))
     )
-    return _shape(_capped(scored, by), by, "data_exfil", {"username": "username", "host": "host"}, [
+    return _shape(_capped(scored, by, per_detector), by, "data_exfil", {"username": "username", "host": "host"}, [
         "username", "host", F.col("total").alias("total_bytes_sent"),
         F.col("entry_count").alias("request_count"), F.col("largest").alias("largest_request_bytes"),
         F.floor(F.pow(F.lit(10.0), "median")).alias("median_request_bytes"),
@@ -126,7 +126,8 @@ def data_exfil(entries: DataFrame, by=BY) -> DataFrame:
 
 # --- beaconing ---------------------------------------------------------------------
 
-def beaconing(entries: DataFrame, by=BY, min_hits: int = fixed.MIN_BEACON_HITS) -> DataFrame:
+def beaconing(entries: DataFrame, by=BY, min_hits: int = fixed.MIN_BEACON_HITS,
+              per_detector: int | None = fixed.MAX_PER_DETECTOR) -> DataFrame:
     """Near-constant intervals between requests of one address to one host.
 
     Equal timestamps add no interval, so a pair is first folded to distinct
@@ -167,7 +168,7 @@ def beaconing(entries: DataFrame, by=BY, min_hits: int = fixed.MIN_BEACON_HITS)
                                      / fixed.BEACON_REGULARITY_SPAN))
         .withColumn("title", _title("beaconing", "client_ip", "host"))
     )
-    return _shape(_capped(scored, by), by, "beaconing", {"client_ip": "client_ip", "host": "host"}, [
+    return _shape(_capped(scored, by, per_detector), by, "beaconing", {"client_ip": "client_ip", "host": "host"}, [
         "client_ip", "host", F.col("entry_count").alias("request_count"),
         F.bround("mean_gap", 1).alias("mean_interval_seconds"),
         F.bround("gap_stdev", 2).alias("interval_stdev_seconds"),
@@ -193,7 +194,7 @@ def _or_empty(column: str):
     return F.coalesce(F.col(column), F.array().cast("array<string>")).alias(column)
 
 
-def blocked_threat(entries: DataFrame, by=BY) -> DataFrame:
+def blocked_threat(entries: DataFrame, by=BY, per_detector: int | None = fixed.MAX_PER_DETECTOR) -> DataFrame:
     """Malware and phishing the proxy itself identified; fixed confidence."""
     by = list(by)
     keys = [*by, "threat_name", "host"]
@@ -204,7 +205,7 @@ def blocked_threat(entries: DataFrame, by=BY) -> DataFrame:
         hits.groupBy(*keys).agg(F.count(F.lit(1)).alias("entry_count"))
         .withColumn("score", F.lit(fixed.THREAT_SCORE)).withColumn("title", _title("blocked_threat", "threat_name", "host"))
     )
-    top = _capped(scored, by)
+    top = _capped(scored, by, per_detector)
     cited = hits.join(top.select(*keys), keys, "left_semi")
     full = (
         top.join(_distinct_list(cited, keys, "username", "users"), keys, "left")
@@ -217,7 +218,7 @@ def blocked_threat(entries: DataFrame, by=BY) -> DataFrame:
 
 # --- rare_destination --------------------------------------------------------------
 
-def rare_destination(entries: DataFrame, by=BY) -> DataFrame:
+def rare_destination(entries: DataFrame, by=BY, per_detector: int | None = fixed.MAX_PER_DETECTOR) -> DataFrame:
     """Hosts reached by exactly one user, at most three times.
 
     Counts per (host, user) come first: plain counters that combine map-side.
@@ -236,7 +237,7 @@ def rare_destination(entries: DataFrame, by=BY) -> DataFrame:
         .withColumn("score", F.bround(F.least(F.lit(1.0), raw), 3))
         .withColumn("title", _title("rare_destination", "host"))
     )
-    top = _capped(scored, by)
+    top = _capped(scored, by, per_detector)
     name = users.where(F.col("username").isNotNull()).select(*keys, "username")
     cited = seen.select(*keys, "url").join(top.select(*keys), keys, "left_semi")
     full = top.join(name, keys).join(
@@ -264,7 +265,7 @@ def _quiet_hours(actor_hours: DataFrame, by) -> DataFrame:
     ).select(*by, "hour", "volume", "median")
 
 
-def off_hours(entries: DataFrame, by=BY) -> DataFrame:
+def off_hours(entries: DataFrame, by=BY, per_detector: int | None = fixed.MAX_PER_DETECTOR) -> DataFrame:
     """Sustained activity in hours that are quiet for this data."""
     by = list(by)
     actor_hours = _actor_hours(entries, by)
@@ -279,7 +280,7 @@ def off_hours(entries: DataFrame, by=BY) -> DataFrame:
         grouped.withColumn("score", F.bround(F.least(F.lit(1.0), quietness * activity), 3))
         .withColumn("title", _title("off_hours", "actor"))
     )
-    top = _capped(scored, by)
+    top = _capped(scored, by, per_detector)
     keys = [*by, "actor"]
     rows = entries.where(F.col("ts").isNotNull()).select(
         *by, F.hour("ts").alias("hour"), labels.actor(F.col("username"), F.col("client_ip")).alias("actor"), "host",
@@ -303,17 +304,18 @@ DETECTORS = {
 }
 
 
-def detect_all(entries: DataFrame, by=BY) -> DataFrame:
+def detect_all(entries: DataFrame, by=BY, per_detector: int | None = fixed.MAX_PER_DETECTOR) -> DataFrame:
     """All detectors in one table, ranked per scope, evidence as JSON.
 
     ``candidate_id`` is the opaque handle c0, c1, ... in global order.
+    ``per_detector`` is how many candidates of a detector a scope keeps, as a
+    packet wants them; None keeps every candidate that scores.
     """
     by = list(by)
     found = [
-        detector(entries, by).withColumn("evidence", F.to_json("evidence")) for detector in DETECTORS.values()
+        detector(entries, by, per_detector=per_detector).withColumn("evidence", F.to_json("evidence")) for detector in DETECTORS.values()
     ]
     union = reduce(DataFrame.unionByName, found)
-    # At most 6 x 5 candidates per scope.
     order = Window.partitionBy(*by).orderBy(F.desc("score"), "kind", "title")
     ranked = union.withColumn("rank", F.row_number().over(order))
     return ranked.withColumn("candidate_id", F.concat(F.lit("c"), (F.col("rank") - 1).cast("string")))

@@ -85,11 +85,17 @@ def upload_overview(entries: DataFrame, by=BY) -> DataFrame:
     has = lambda c: F.col(c).isNotNull()
     sizes = entries.groupBy(*by).agg(
         F.count(F.lit(1)).alias("total_entries"),
-        F.count_distinct(F.when(has("host"), F.col("username"))).alias("distinct_users"),
-        F.count_distinct(F.when(has("ts"), F.col("client_ip"))).alias("distinct_client_ips"),
-        F.count_distinct("host").alias("distinct_hosts"),
         F.coalesce(F.sum(F.when(F.col("req_bytes") > 0, F.col("req_bytes"))), F.lit(0)).alias("total_bytes_sent"),
     )
+    # Each dimension folds to its values map-side; counted together in one
+    # aggregate, every row would be copied once per dimension first.
+    users = entries.where(has("host") & has("username")).groupBy(*by, "username").agg(F.lit(1).alias("distinct_users"))
+    addresses = entries.where(has("ts") & has("client_ip")).groupBy(*by, "client_ip").agg(F.lit(1).alias("distinct_client_ips"))
+    hosts = entries.where(has("host")).groupBy(*by, "host").agg(F.lit(1).alias("distinct_hosts"))
+    counted = ["distinct_users", "distinct_client_ips", "distinct_hosts"]
+    for one, name in zip((users, addresses, hosts), counted):
+        sizes = sizes.join(one.groupBy(*by).agg(F.count(name).alias(name)), by, "left")
+    sizes = sizes.na.fill(0, counted)
     hours = (
         entries.where(has("ts")).groupBy(*by, F.hour("ts").alias("hour")).agg(F.count(F.lit(1)).alias("n"))
         .groupBy(*by).agg(

@@ -18,8 +18,11 @@ from pyspark.sql import functions as F
 
 from proxyspark import fixed
 
-# Buckets per factor of e. Each bucket spans 0.025 % of its value.
+# Buckets per factor of e. Each bucket spans 0.025 % of its value, however
+# small or large that is; the smallest double lies above bucket -_ORIGIN.
 _BUCKETS_PER_E = 4096
+_ORIGIN = 1 << 22
+_MAX_LN = 710.0
 
 
 def value_counts(df: DataFrame, by: list[str], value: str) -> DataFrame:
@@ -52,9 +55,11 @@ def percentiles_of_counts(counts: DataFrame, by: list[str], value: str,
 
 
 def _bucket(value: Column) -> Column:
-    """Monotone in the value, so whole buckets can be skipped by rank."""
-    size = F.floor(F.log1p(F.abs(value.cast("double"))) * _BUCKETS_PER_E)
-    return F.when(value < 0, -size - 1).otherwise(size)
+    """Monotone in the value, so whole buckets can be skipped by rank, and of
+    one relative width at every scale. Infinite and NaN values share the last."""
+    number = value.cast("double")
+    size = F.floor(F.least(F.log(F.abs(number)), F.lit(_MAX_LN)) * _BUCKETS_PER_E) + F.lit(_ORIGIN)
+    return F.when(number == 0, F.lit(0).cast("bigint")).when(number < 0, -size).otherwise(size)
 
 
 def select_ranks(counts: DataFrame, by: list[str], value: str, ranks: dict[str, Column],
@@ -94,10 +99,16 @@ def select_ranks(counts: DataFrame, by: list[str], value: str, ranks: dict[str,
     return found.groupBy(*by).agg(*picks)
 
 
+def counted_percentiles(counts: DataFrame, by: list[str], value: str, fractions: dict[str, float],
+                        n: str = "n") -> DataFrame:
+    """Discrete percentiles of value counts of any domain, also without a key."""
+    ranks = {name: F.ceil(F.col("total") * F.lit(float(p))) for name, p in fractions.items()}
+    return select_ranks(counts, by, value, ranks, n)
+
+
 def percentiles(df: DataFrame, by: list[str], value: str, fractions: dict[str, float]) -> DataFrame:
     """Discrete percentiles of an unbounded numeric column."""
-    ranks = {name: F.ceil(F.col("total") * F.lit(float(p))) for name, p in fractions.items()}
-    return select_ranks(value_counts(df, by, value), by, value, ranks)
+    return counted_percentiles(value_counts(df, by, value), by, value, fractions)
 
 
 def median_of_counts(counts: DataFrame, by: list[str], value: str, name: str, n: str = "n") -> DataFrame:

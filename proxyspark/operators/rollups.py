@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from proxyspark import fixed
 from proxyspark.functions import labels
-from proxyspark.operators.order_stats import percentiles_of_counts, value_counts
+from proxyspark.operators.order_stats import counted_percentiles, percentiles_of_counts, value_counts
 
 _OWNER = ["org_id", "user_id", "upload_id"]
 _LATENCY = {"latency_p50": 0.50, "latency_p95": 0.95, "latency_p99": 0.99}
@@ -90,7 +90,7 @@ def org_baseline(rollups: DataFrame, org_id: str, window_days: int, exclude_uplo
         F.sum("requests").alias("requests"), F.sum("errors").alias("errors"),
         F.count_distinct("host").alias("hosts"),
     )
-    middle = percentiles_of_counts(value_counts(hours, [], "requests"), [], "requests", {"median": 0.5})
+    middle = counted_percentiles(value_counts(hours, [], "requests"), [], "requests", {"median": 0.5})
     one = sums.unionByName(middle, allowMissingColumns=True).agg(
         *[F.coalesce(F.max(c), F.lit(0)).alias(c) for c in ("requests", "errors", "hosts")],
         F.coalesce(F.max("median").cast("double"), F.lit(0.0)).alias("median_hourly_requests"),

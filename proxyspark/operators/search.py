@@ -16,7 +16,8 @@ from pyspark.sql import functions as F
 
 from proxyspark import fixed
 from proxyspark.functions.text import split_words
-from proxyspark.operators.scope import clamp
+from proxyspark.operators.access import visible_uploads
+from proxyspark.operators.scope import Caller, clamp
 
 STEMMED, SPLIT = "stemmed", "split"
 # Endings cut from words of more than three letters, step by step; within a step
@@ -159,6 +160,32 @@ def search_findings_text(index: DataFrame, findings: DataFrame, query: str, n: i
     )
 
 
+def visible_findings(findings: DataFrame, analyses: DataFrame, uploads: DataFrame, grants: DataFrame,
+                     caller: Caller, now) -> DataFrame:
+    """Findings of uploads the caller may see, with their run and upload.
+
+    Both joins are equi-joins on the run and the upload; visibility is settled
+    on uploads first, so no finding of another organization is ever read on.
+    """
+    seen = visible_uploads(caller, uploads, grants, now).select(F.col("id").alias("upload_id"), "filename")
+    runs = analyses.select(F.col("id").alias("analysis_id"), "upload_id").join(seen, "upload_id")
+    return findings.join(runs, "analysis_id")
+
+
+def search_visible_text(index: DataFrame, findings: DataFrame, analyses: DataFrame, uploads: DataFrame,
+                        grants: DataFrame, caller: Caller, now, query: str, n: int | None = None) -> DataFrame:
+    """Word search over what the caller may see; the best of those, not those of the best."""
+    return search_findings_text(index, visible_findings(findings, analyses, uploads, grants, caller, now), query, n)
+
+
+def search_visible_vector(vectors: DataFrame, findings: DataFrame, analyses: DataFrame, uploads: DataFrame,
+                          grants: DataFrame, caller: Caller, now, query: list[float], n: int | None = None) -> DataFrame:
+    """Vector search over what the caller may see. ``vectors`` has finding_id
+    and embedding."""
+    seen = visible_findings(findings, analyses, uploads, grants, caller, now).withColumnRenamed("id", "finding_id")
+    return search_findings_vector(vectors.join(seen, "finding_id"), query, n)
+
+
 def _phrase_hits(index: DataFrame, phrase: tuple) -> DataFrame:
     """Findings holding the words at the phrase's relative positions."""
     tokens = F.col("token")
@@ -221,10 +248,21 @@ def embed_findings(texts: DataFrame, embedder=None, dims: int = fixed.EMBED_DIMS
     """Vectors from a user-supplied Pandas UDF (text column -> array<float>).
 
     Without one the result is empty. Inputs are cut to the provider's limit;
-    vectors of the wrong size are left out.
+    vectors of the wrong size are left out, see ``rejected_vectors``.
     """
+    return _embedded(texts, embedder).where(F.size("embedding") == dims)
+
+
+def rejected_vectors(texts: DataFrame, embedder=None, dims: int = fixed.EMBED_DIMS) -> DataFrame:
+    """The other side of ``embed_findings``: texts whose vector is missing or
+    of the wrong size, with that size (NULL where there is none)."""
+    return _embedded(texts, embedder).where(
+        F.col("embedding").isNull() | (F.size("embedding") != dims)
+    ).withColumn("size", F.when(F.col("embedding").isNotNull(), F.size("embedding"))).drop("embedding")
+
+
+def _embedded(texts: DataFrame, embedder) -> DataFrame:
     cut = texts.withColumn("content", F.left("content", F.lit(fixed.EMBED_CHARS)))
     if embedder is None:
         return cut.withColumn("embedding", F.lit(None).cast("array<float>")).where(F.lit(False))
-    return cut.withColumn("embedding", embedder(F.col("content")).cast("array<float>")).where(
-        F.size("embedding") == dims)
+    return cut.withColumn("embedding", embedder(F.col("content")).cast("array<float>"))

@@ -20,40 +20,48 @@ def with_owner(files: DataFrame, org_id: str, user_id: str) -> DataFrame:
 
 
 def ingest_lines(spark: SparkSession, lines: DataFrame, root: str, org_id: str, user_id: str, now: datetime,
-                 run: str, files: int | None = None, buckets: int = tables.BUCKETS) -> tuple[DataFrame, DataFrame]:
+                 run: str, buckets: int = tables.BUCKETS) -> tuple[DataFrame, DataFrame]:
     """Parse scanned lines into the tables under ``root``.
 
     The raw text is read once, into the archive; everything after reads the
     archive, so line numbers and retries see the same lines. Rows and rollups
     are written before the manifest. Returns (upload ids, rejected files).
+
+    Uploads are noted in ``begun`` before their first row is written. Old rows
+    are only looked for under uploads noted earlier, and the rows just written
+    are read back by their months and buckets: new uploads never make a batch
+    read the history.
     """
     pin(spark)
-    archive, listing, places = (f"{root}/{t}/run={run}" for t in ("archive", "archive_files", "archive_splits"))
+    archive, starts, listing, places = (
+        f"{root}/{t}/run={run}" for t in ("archive", "archive_starts", "archive_files", "archive_splits"))
     tables.archive_raw(lines, archive, "overwrite")
     raw = spark.read.parquet(archive)
     stamp = F.lit(str(now)).cast("timestamp")
     # One small row per file, written once: every later step starts from it.
-    found = logs.detect_format(logs.file_headers(raw, files))
+    logs.header_places(raw).write.mode("overwrite").parquet(starts)
+    found = logs.detect_format(logs.file_headers(raw, spark.read.parquet(starts)))
     with_owner(found, org_id, user_id).write.mode("overwrite").parquet(listing)
     headers = spark.read.parquet(listing)
     logs.split_offsets(raw).write.mode("overwrite").parquet(places)
     offsets = spark.read.parquet(places)
-    # Counts of these small tables decide whether they may be broadcast.
-    files, splits = headers.count(), offsets.count()
     accepted = headers.where(F.col("format").isNotNull())
-    owners, ids = accepted.select("file", *_OWNER), accepted.select("upload_id")
-    entries = logs.normalize_logs(
-        logs.number_lines(raw, offsets, splits), headers.drop(*_OWNER), now, files, owners)
-    tables.replace_rows(entries, f"{root}/entries", "entries", "upload_id", ids, buckets)
-
-    stored = spark.read.parquet(f"{root}/entries").join(ids, "upload_id", "left_semi")
-    tables.upsert_rollups(all_rollups(stored), f"{root}/entry_rollups", "entry_rollups", ids, buckets)
-    tables.upsert_rollups(status_rollups(stored), f"{root}/status_rollups", "status_rollups", ids, buckets)
+    ids = accepted.select("upload_id")
+    again = f"{root}/archive_again/run={run}"
+    tables.noted_before(spark, f"{root}/begun", ids).write.mode("overwrite").parquet(again)
+    old = spark.read.schema("upload_id string").parquet(again)
+    ids.write.mode("append").parquet(f"{root}/begun")
+    entries = logs.normalize_logs(logs.number_lines(raw, offsets), headers, now)
+    written = tables.replace_rows(entries, f"{root}/entries", "entries", "upload_id", old, buckets)
+
+    stored = tables.in_layout(spark.read.parquet(f"{root}/entries"), written).join(ids, "upload_id", "left_semi")
+    tables.upsert_rollups(all_rollups(stored), f"{root}/entry_rollups", "entry_rollups", old, buckets)
+    tables.upsert_rollups(status_rollups(stored), f"{root}/status_rollups", "status_rollups", old, buckets)
     named = accepted.select(
         *_OWNER, F.element_at(F.split("file", "/"), -1).alias("filename"), "byte_size", "format", stamp.alias("created_at"),
         logs.object_key(F.col("org_id"), F.col("user_id"), stamp, F.col("upload_id")).alias("object_key"))
     manifest = logs.upload_manifest(stored, named)
-    tables.replace_rows(manifest, f"{root}/uploads", "uploads", "id", ids.select(F.col("upload_id").alias("id")), buckets)
+    tables.replace_rows(manifest, f"{root}/uploads", "uploads", "id", old.select(F.col("upload_id").alias("id")), buckets)
     return ids, logs.rejected_files(headers)
 
 
@@ -61,8 +69,7 @@ def ingest_files(spark: SparkSession, source, root: str, org_id: str, user_id: s
                  run: str, buckets: int = tables.BUCKETS) -> DataFrame:
     """Ingest every log file below ``source``; returns the rejected files."""
     scanned = logs.scan_logs(spark, source)
-    files = len(scanned.inputFiles())
-    return ingest_lines(spark, scanned, root, org_id, user_id, now, run, files, buckets)[1]
+    return ingest_lines(spark, scanned, root, org_id, user_id, now, run, buckets)[1]
 
 
 def reparse(spark: SparkSession, archive: str, now: datetime, owners: DataFrame | None = None) -> DataFrame:

@@ -172,6 +172,10 @@ def _cap(source: str) -> str:
   FROM ({source}) WHERE score >= 0.30) WHERE place <= 5"""
 
 
+def _uncapped(sql: str) -> str:
+    return sql.replace("WHERE place <= 5", "")
+
+
 def _spread(values: str, v: str) -> str:
     """upload_id, n, med, spread of a per-upload distribution."""
     return f"""SELECT upload_id, n, med, CASE WHEN mad > 0 THEN mad ELSE sd END AS spread FROM (
@@ -273,6 +277,7 @@ def _cands(sql: str, **more: str) -> str:
 
 
 SQL["detect_all"] = _cands("SELECT upload_id, candidate_id, rank, kind, title, round(score, 6) AS score, entry_count FROM candidates")
+SQL["detect_all_scored"] = _uncapped(_cands("SELECT upload_id, rank, kind, title, round(score, 6) AS score, entry_count FROM candidates"))
 _BRIDGE = f"""
 SELECT c.upload_id, kind, candidate_id, e.id AS entry_id FROM candidates c JOIN log_entries e ON e.upload_id = c.upload_id AND (
   (kind = 'volume_spike' AND e.client_ip = c.client_ip AND EXISTS (SELECT 1 FROM bursts b WHERE b.upload_id = e.upload_id
@@ -453,6 +458,23 @@ ORDER BY {_COS} DESC, 1 LIMIT 20"""
 SQL["search_many"] = f"""SELECT vec_id, query, place, round(r, 6) AS rank FROM (SELECT vec_id, query, r, CAST(row_number() OVER (
   PARTITION BY query ORDER BY r DESC, vec_id) AS INT) AS place FROM (SELECT v.vec_id, CAST(q.vec_id AS VARCHAR) AS query, {_COS} AS r
   FROM embeddings v, (SELECT vec_id, embedding FROM embeddings WHERE vec_id IN (0, 1, 2)) q)) WHERE place <= 10"""
+_SEEN_BY = {"member": _MEMBER, "holder": _visible("org0", 646, False), "admin": _ADMIN}
+
+
+def _seen(hits: str, limit: int, **ctes: str) -> str:
+    """Best hits (id, rank) among the findings each caller may see."""
+    parts = [f"""(SELECT '{who}' AS caller, h.id AS finding_id, up.id AS upload_id, round(CAST(h.rank AS DOUBLE), 6) AS rank
+  FROM hits h JOIN analyses a ON a.id = (h.id % 1000 + 1) * 10 + 1 JOIN v_{who} up ON up.id = a.upload_id
+  ORDER BY h.rank DESC, h.id LIMIT {limit})""" for who in _SEEN_BY]
+    return _with(" UNION ALL ".join(parts), ["uploads", "access_grants", "analyses"], **ctes, hits=hits,
+                 **{f"v_{who}": sql for who, sql in _SEEN_BY.items()})
+
+
+SQL["search_visible_text"] = _seen("""SELECT id, sum(w) AS rank FROM (SELECT id, token, max(weight) AS w FROM idx
+  WHERE form = 'split' AND token IN ('the', 'of', 'with') GROUP BY 1, 2) GROUP BY 1 HAVING count(*) = 3""", 50,
+                                   words=_WORDS, idx=_INDEX)
+SQL["search_visible_vector"] = _seen(f"""SELECT v.vec_id AS id, {_COS} AS rank
+  FROM embeddings v, (SELECT embedding FROM embeddings WHERE vec_id = 0) q""", 20)
 SQL["has_embeddings"] = "SELECT count(*) > 0 AS has_embeddings FROM embeddings WHERE label = 1"
 
 # --- observability ------------------------------------------------------------------------------

@@ -5,6 +5,7 @@ the same question in portable SQL. All read whole tables.
 """
 
 from datetime import datetime
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -25,6 +26,8 @@ RUNS = Scope("org1", datetime(1995, 1, 1), datetime(2002, 1, 1))
 NOW = datetime(1998, 6, 1)
 MEMBER = Caller(7, "org2", "member")
 ADMIN = Caller(1, "org1", "admin")
+#: The holder was granted a whole organization in the fixture.
+SEARCHERS = {"member": MEMBER, "holder": Caller(646, "org0", "member"), "admin": ADMIN}
 INGESTED = datetime(2024, 2, 1)
 SALT = "fixture-salt"
 TEXT_QUERY = '"thorreou ndernt" -zebra or entretre'
@@ -268,6 +271,13 @@ def detect_all(spark, sf):
         "upload_id", "candidate_id", "rank", "kind", "title", _r("score"), "entry_count")
 
 
+@query
+def detect_all_scored(spark, sf):
+    """Every candidate that scores, before a packet takes the best few."""
+    return detectors.detect_all(stored_entries(spark, sf), per_detector=None).select(
+        "upload_id", "rank", "kind", "title", _r("score"), "entry_count")
+
+
 @query
 def finding_entries(spark, sf):
     return detectors.finding_entries(_candidates(spark, sf), stored_entries(spark, sf))
@@ -536,6 +546,33 @@ def search_many(spark, sf):
     return search.search_many(vectors, probes, 10, "vec_id").select("vec_id", "query", "place", _r("rank"))
 
 
+def _of_runs(df, id_col):
+    """Gives documents or vectors a run, as findings have one."""
+    return df.withColumn("analysis_id", (F.col(id_col) % 1000 + 1) * 10 + 1)
+
+
+@query
+def search_visible_text(spark, sf):
+    found = _of_runs(_documents(spark, sf), "id")
+    _, uploads, grants = _tenancy(spark, sf)
+    parts = [
+        search.search_visible_text(_index(spark, sf), found, load(spark, sf, "analyses"), uploads, grants, caller, NOW, WORD_QUERY, 50)
+        .select(F.lit(who).alias("caller"), "finding_id", "upload_id", "rank") for who, caller in SEARCHERS.items()]
+    return reduce(DataFrame.unionByName, parts)
+
+
+@query
+def search_visible_vector(spark, sf):
+    vectors = load(spark, sf, "embeddings").withColumnRenamed("vec_id", "finding_id")
+    probe = vectors.where(F.col("finding_id") == 0).select("embedding").first()[0]
+    found = _of_runs(vectors.select(F.col("finding_id").alias("id")), "id")
+    _, uploads, grants = _tenancy(spark, sf)
+    parts = [
+        search.search_visible_vector(vectors, found, load(spark, sf, "analyses"), uploads, grants, caller, NOW, probe, 20)
+        .select(F.lit(who).alias("caller"), "finding_id", "upload_id", _r("rank")) for who, caller in SEARCHERS.items()]
+    return reduce(DataFrame.unionByName, parts)
+
+
 @query
 def has_embeddings(spark, sf):
     tagged = load(spark, sf, "embeddings").withColumn("org_id", F.concat(F.lit("org"), F.col("label").cast("string")))
@@ -633,7 +670,7 @@ def normalize_logs(spark, sf):
     lines = log_lines(spark, sf)
     headers = logs.detect_format(logs.file_headers(lines))
     owners = headers.select("file", F.col("file").alias("upload_id"), F.lit("org0").alias("org_id"), F.lit("own").alias("user_id"))
-    out = logs.normalize_logs(lines, headers, INGESTED, files=3, owners=owners)
+    out = logs.normalize_logs(lines, headers, INGESTED, owners=owners)
     return out.select("upload_id", "line_no", _text("ts"), "client_ip", "username", "host", "url", "req_bytes", "resp_code", "reason")
 
 
@@ -642,7 +679,7 @@ def upload_manifest(spark, sf):
     lines = log_lines(spark, sf)
     headers = logs.detect_format(logs.file_headers(lines))
     owners = headers.select("file", F.col("file").alias("upload_id"), F.lit("org0").alias("org_id"), F.lit("own").alias("user_id"))
-    entries = logs.normalize_logs(lines, headers, INGESTED, files=3, owners=owners)
+    entries = logs.normalize_logs(lines, headers, INGESTED, owners=owners)
     sizes = lines.groupBy("file").agg(F.sum(F.length("value") + 1).alias("byte_size"))
     stamp = F.lit(str(INGESTED)).cast("timestamp")
     files = owners.join(headers.select("file", "format"), "file").join(sizes, "file").select(

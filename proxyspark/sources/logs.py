@@ -12,7 +12,6 @@ from pyspark.sql import functions as F
 
 from proxyspark import fixed
 from proxyspark.functions import labels, net, text
-from proxyspark.session import BROADCAST_ROWS, sized_broadcast
 from proxyspark.sources.formats import LogFormat, formats
 
 _FIELDS = list(fixed.FIELD_ALIASES)
@@ -82,23 +81,25 @@ def _positions(names: Column, log_format: LogFormat) -> Column:
     return F.struct(*found)
 
 
-def file_headers(lines: DataFrame, files: int | None = None) -> DataFrame:
-    """First line of each file, and its size where known. Needs no line
-    numbers: the smallest position in the split that starts the file.
+def header_places(lines: DataFrame) -> DataFrame:
+    """Where each file's first line is, and the file's size. Needs no line
+    numbers: the smallest position in the split that starts the file."""
+    return lines.where(F.col("split_start") == 0).groupBy("file").agg(
+        F.min("pos").alias("pos"), F.max("file_size").alias("byte_size"))
 
-    With a known, small number of ``files`` only positions are aggregated and
-    the header text is picked by a broadcast of them; otherwise the text goes
-    through the aggregate, which sorts each task's rows by file.
+
+def file_headers(lines: DataFrame, places: DataFrame | None = None) -> DataFrame:
+    """First line of each file, and its size where known.
+
+    Only positions are aggregated; the text is picked by a join with them.
+    ``places`` is ``header_places`` as a written table: its size is then known
+    before the join is planned, and no line is shuffled while that is small.
     """
     if "line_no" in lines.columns:
         first = lines.where(F.col("line_no") == 1)
         return first.groupBy("file").agg(F.min("value").alias("header"))
-    start = lines.where(F.col("split_start") == 0)
-    size = F.max("file_size").alias("byte_size")
-    if files is None or files > BROADCAST_ROWS:
-        return start.groupBy("file").agg(F.min_by("value", "pos").alias("header"), size)
-    first = start.groupBy("file").agg(F.min("pos").alias("pos"), size)
-    picked = start.select("file", "pos", F.col("value").alias("header")).join(F.broadcast(first), ["file", "pos"])
+    start = lines.where(F.col("split_start") == 0).select("file", "pos", F.col("value").alias("header"))
+    picked = start.join(places if places is not None else header_places(lines), ["file", "pos"])
     return picked.select("file", "header", "byte_size")
 
 
@@ -138,35 +139,39 @@ def split_offsets(lines: DataFrame) -> DataFrame:
         *place, (F.coalesce(F.sum("_n").over(earlier), F.lit(0)) - F.col("_first") + 1).alias("shift"))
 
 
-def number_lines(lines: DataFrame, offsets: DataFrame | None = None, splits: int | None = None) -> DataFrame:
+def number_lines(lines: DataFrame, offsets: DataFrame | None = None) -> DataFrame:
     """Adds ``line_no``; the header is 1.
 
     Only the offsets (one row per input split) are aggregated. No line is
-    shuffled when ``splits``, their number, is known and small enough to
-    broadcast; otherwise Spark picks the join.
+    shuffled when ``offsets`` is a written table below Spark's own broadcast
+    threshold in bytes; otherwise Spark picks the join.
     """
-    side = sized_broadcast(offsets if offsets is not None else split_offsets(lines), splits)
+    side = offsets if offsets is not None else split_offsets(lines)
     return lines.join(side, ["file", "split_start"]).withColumn("line_no", F.col("pos") + F.col("shift")).drop("shift")
 
 
-def normalize_logs(lines: DataFrame, headers: DataFrame, now: datetime, files: int | None = None,
+def normalize_logs(lines: DataFrame, headers: DataFrame, now: datetime,
                    owners: DataFrame | None = None) -> DataFrame:
     """Canonical entries of recognised files; a line that cannot be read keeps
     only ``raw``.
 
     ``lines`` has file, line_no, value; ``headers`` comes from
-    ``detect_format``. ``files`` is the known number of files: below the limit
-    the per-file positions are broadcast, above it Spark chooses the join.
-    ``owners`` optionally maps file to upload_id, org_id, user_id.
+    ``detect_format``, best as a written table, whose size Spark knows.
+    upload_id, org_id, user_id are columns of ``headers``, or ``owners`` maps
+    file to them; with neither, the upload is named by its file.
     """
-    side = headers.where(F.col("format").isNotNull()).select("file", "delimiter", "cols")
+    owner = ["upload_id", "org_id", "user_id"]
+    given = [c for c in owner if c in headers.columns and owners is None]
+    side = headers.where(F.col("format").isNotNull()).select("file", "delimiter", "cols", *given)
     if owners is not None:
         side = side.join(owners, "file")
+    elif given == owner:
+        pass
     else:
         side = side.withColumns({
             "upload_id": F.sha2("file", 256), "org_id": F.lit(None).cast("string"),
             "user_id": F.lit(None).cast("string")})
-    data = lines.where(F.col("line_no") > 1).join(sized_broadcast(side, files), "file")
+    data = lines.where(F.col("line_no") > 1).join(side, "file")
     # Separate projections, so that no cell is cut or trimmed twice.
     split = data.withColumns({
         "_c": cells(F.col("value"), F.col("delimiter")), "_odd": text.has_odd_blanks(F.col("value"))})

@@ -12,8 +12,9 @@ does that.
 
 from functools import reduce
 
+from py4j.protocol import Py4JJavaError
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, Observation, SparkSession, Window
 from pyspark.sql import functions as F
 
 BUCKETS = 64
@@ -62,6 +63,31 @@ def _write(df: DataFrame, path: str, kind: str, mode: str, dynamic: bool = False
     out.partitionBy(*parts).parquet(path)
 
 
+def _append(df: DataFrame, path: str, kind: str) -> dict[str, list]:
+    """Appends, and notes in the same pass the partition values written: at
+    most one per month, grain or bucket. Nothing is noted where Spark finds the
+    rows empty while it plans."""
+    parts, seen = LAYOUT[kind][0], Observation()
+    _write(df.observe(seen, *[F.collect_set(F.col(p).cast("string")).alias(p) for p in parts]), path, kind, "append")
+    try:
+        return {p: sorted(v) for p, v in seen.get.items()}
+    except Py4JJavaError:  # an observation whose plan was dropped has no row
+        return {}
+
+
+def in_layout(stored: DataFrame, written: dict[str, list]) -> DataFrame:
+    """Only the folders a write touched; with nothing noted, all of them."""
+    for part, values in written.items():
+        stored = stored.where(F.col(part).isin([int(v) for v in values] if part == "bucket" else values))
+    return stored
+
+
+def noted_before(spark: SparkSession, path: str, ids: DataFrame) -> DataFrame:
+    """Those of ``ids`` that an earlier job noted under ``path``."""
+    noted = read_if_present(spark, path)
+    return ids.where(F.lit(False)) if noted is None else ids.join(noted.distinct(), ids.columns, "left_semi")
+
+
 def write_entries(entries: DataFrame, path: str, buckets: int = BUCKETS, mode: str = "append") -> None:
     """Append canonical entries; rows without a time go to month 'none'."""
     _write(with_layout(entries, "entries", buckets), path, "entries", mode)
@@ -110,11 +136,6 @@ def read_if_present(spark: SparkSession, path: str) -> DataFrame | None:
         raise
 
 
-def _partitions(df: DataFrame, parts: list[str]) -> set[tuple]:
-    """Partition values of some rows: at most one per folder of the table."""
-    return {tuple(r) for r in df.select(*parts).distinct().collect()}
-
-
 def _drop_partitions(spark: SparkSession, path: str, parts: list[str], gone: set[tuple]) -> None:
     for values in gone:
         folder = "/".join(f"{c}={v}" for c, v in zip(parts, values))
@@ -133,35 +154,48 @@ def _in_partitions(df: DataFrame, parts: list[str], wanted: set[tuple]) -> DataF
     return df.where(reduce(lambda a, b: a | b, tests))
 
 
-def delete_keys(spark: SparkSession, path: str, kind: str, keys: DataFrame) -> int:
+def delete_keys(spark: SparkSession, path: str, kind: str, keys: DataFrame, buckets: int | None = None) -> int:
     """Remove the rows whose key column is in ``keys``; how many there were.
 
-    Only partitions that hold such rows are rewritten.
+    Only partitions that hold such rows are rewritten. ``buckets``, the number
+    the table is written with, lets the search for them skip other buckets;
+    without it every partition's key column is read.
     """
+    wanted = keys.distinct()
+    near = None
+    if buckets is not None:
+        near = [r[0] for r in wanted.select(_bucket(keys.columns[0], buckets).alias("b")).distinct().collect()]
+        if not near:
+            return 0
     stored, parts, key = read_if_present(spark, path), LAYOUT[kind][0], keys.columns[0]
     if stored is None:
         return 0
-    wanted = keys.distinct()
-    hit = stored.select(*parts, key).join(wanted, key, "left_semi")
-    tally = {tuple(r)[:-1]: r["n"] for r in hit.groupBy(*parts).agg(F.count(F.lit(1)).alias("n")).collect()}
-    if tally:
-        kept = _in_partitions(stored, parts, set(tally)).join(wanted, key, "left_anti")
-        left = _partitions(kept, parts)
+    if near is not None:
+        stored = stored.where(F.col("bucket").isin(near))
+    tally = (
+        stored.select(*parts, key).join(wanted.withColumn("_gone", F.lit(1)), key, "left")
+        .groupBy(*parts).agg(F.count("_gone").alias("gone"), F.count(F.lit(1)).alias("rows"))
+        .where(F.col("gone") > 0).collect()
+    )
+    touched = {tuple(r)[:-2]: r["rows"] - r["gone"] for r in tally}
+    if touched:
+        kept = _in_partitions(stored, parts, set(touched)).join(wanted, key, "left_anti")
         _write(kept, path, kind, "overwrite", dynamic=True)
-        _drop_partitions(spark, path, parts, set(tally) - left)
-    return sum(tally.values())
+        _drop_partitions(spark, path, parts, {values for values, left in touched.items() if not left})
+    return sum(r["gone"] for r in tally)
 
 
 def replace_rows(df: DataFrame, path: str, kind: str, key: str, keys: DataFrame | None = None,
-                 buckets: int = BUCKETS) -> None:
+                 buckets: int = BUCKETS) -> dict[str, list]:
     """Replace all stored rows of the keys in ``df``; other keys are kept.
 
     Old rows go first, then the new ones are appended, so partitions that only
     receive rows are not rewritten. Running it again changes nothing. ``keys``
-    names the keys where that is cheaper than deriving them from ``df``.
+    names the keys that may have old rows, where that is cheaper than deriving
+    them from ``df``. Returns the partition values written.
     """
-    delete_keys(df.sparkSession, path, kind, (keys if keys is not None else df).select(key))
-    _write(with_layout(df, kind, buckets), path, kind, "append")
+    delete_keys(df.sparkSession, path, kind, (keys if keys is not None else df).select(key), buckets)
+    return _append(with_layout(df, kind, buckets), path, kind)
 
 
 def upsert_rollups(rollups: DataFrame, path: str, kind: str = "entry_rollups", keys: DataFrame | None = None,

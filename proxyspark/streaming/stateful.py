@@ -147,9 +147,10 @@ class _Throttle(StatefulProcessor):
             if failures and at >= anchor + window:
                 failures = 0
             blocked = at < locked if by_account else failures >= limit
-            if success and by_account:
+            # An attempt that is turned away is neither counted nor believed.
+            if success and by_account and not blocked:
                 failures = locked = 0
-            elif not success:
+            elif not success and not blocked:
                 anchor = at if failures == 0 else anchor
                 failures += 1
                 if by_account and failures >= limit:
@@ -176,7 +177,10 @@ def account_key(account):
 def login_throttle(auth: DataFrame, watermark: str = "10 minutes") -> DataFrame:
     """Per sign-in attempt and dimension (ip, account): failures so far and
     whether it fell under a throttle or lock. ``auth`` has id, ts, ip, account,
-    success. A success clears its account, never the address."""
+    success. A success clears its account, never the address; an attempt that
+    a dimension turns away leaves that dimension as it was, so a lock ends on
+    time under attack. Each dimension is judged on its own: what the other one
+    would have turned away still counts here."""
     rules = {
         "ip": (fixed.IP_FAILURES, fixed.IP_WINDOW_SECONDS),
         "account": (fixed.ACCOUNT_FAILURES, fixed.ACCOUNT_WINDOW_SECONDS),

@@ -179,3 +179,26 @@ def test_embedding_needs_a_provider(spark):
 
     assert search.embed_findings(texts, lengths, dims=4).count() == 1
     assert search.embed_findings(texts, lengths, dims=1024).count() == 0
+    assert search.rejected_vectors(texts, lengths, dims=4).count() == 0
+    assert [r["size"] for r in search.rejected_vectors(texts, lengths, dims=1024).collect()] == [4]
+
+
+def test_search_shows_only_what_the_caller_may_see(spark):
+    vectors = spark.createDataFrame([(f"f{i}", [1.0, float(i)]) for i in range(4)], "finding_id string, embedding array<float>")
+    findings = spark.createDataFrame([(f"f{i}", f"a{i}") for i in range(4)], "id string, analysis_id string")
+    analyses = spark.createDataFrame([(f"a{i}", f"u{i}") for i in range(4)], "id string, upload_id string")
+    uploads = spark.createDataFrame(
+        [("u0", "o1", "me", "x"), ("u1", "o1", "you", "x"), ("u2", "o1", "you", "x"), ("u3", "o2", "me", "x")],
+        "id string, org_id string, user_id string, filename string")
+    grants = spark.createDataFrame(
+        [("u1", "o1", "me", None), ("u2", "o1", "me", datetime(2020, 1, 1))],
+        "upload_id string, org_id string, subject_user_id string, expires_at timestamp")
+    now = datetime(2024, 1, 1)
+
+    def found(caller):
+        hits = search.search_visible_vector(vectors, findings, analyses, uploads, grants, caller, now, [1.0, 0.0])
+        return [r["finding_id"] for r in hits.collect()]
+
+    assert found(Caller("me", "o1", "member")) == ["f0", "f1"]
+    assert found(Caller("boss", "o1", "admin")) == ["f0", "f1", "f2"]
+    assert found(Caller("you", "o2", "member")) == []

@@ -1,3 +1,4 @@
+import math
 from datetime import datetime, timedelta
 
 import pytest
@@ -93,6 +94,15 @@ def test_stream_rollups_equal_batch(spark, tmp_path, few_partitions):
     assert sorted(map(str, got.collect())) == sorted(map(str, batch.collect())) and got.count() > 0
 
 
+def test_ranks_of_tiny_values_are_split(spark):
+    values = [i * 1e-9 for i in range(1, 2001)] + [-i * 1e-9 for i in range(1, 2001)] + [0.0, float("inf"), 1e300, -1e300]
+    df = spark.createDataFrame([(v,) for v in values], "v double")
+    got = order_stats.percentiles(df, [], "v", {"p1": 0.01, "p50": 0.5, "p99": 0.99, "p100": 1.0}).collect()[0]
+    ordered = sorted(values)
+    assert [got[k] for k in ("p1", "p50", "p99", "p100")] == [ordered[math.ceil(len(values) * p) - 1] for p in (0.01, 0.5, 0.99, 1.0)]
+    assert df.select(order_stats._bucket(F.col("v"))).distinct().count() > 1000
+
+
 def throttle(events):
     """Brute force over events in time order: (id, dimension) -> (failures, blocked)."""
     out, state = {}, {}
@@ -103,7 +113,9 @@ def throttle(events):
             if s["n"] and at >= s["t"] + window:
                 s["n"] = 0
             blocked = s["n"] >= limit if dim == "ip" else at < s["lock"]
-            if ok and dim == "account":
+            if blocked:
+                pass
+            elif ok and dim == "account":
                 s.update(n=0, lock=0.0)
             elif not ok:
                 s["t"] = at if s["n"] == 0 else s["t"]
