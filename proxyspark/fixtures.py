@@ -183,13 +183,18 @@ _STORED: dict[tuple, str] = {}
 DEFAULT_FOLDER = "/tmp/checkpoints"
 
 
+def scratch(spark: SparkSession, name: str) -> str:
+    """A new path in the shared folder."""
+    return f"{shared_dir(spark, DEFAULT_FOLDER)}/proxyspark-{uuid.uuid4().hex}/{name}"
+
+
 def stored(spark: SparkSession, sf_dir: str, name: str, write) -> DataFrame:
     """An interim table in the shared folder, written once per application by
     ``write(path)`` and then read with pruning like any stored table."""
     pin(spark)
     key = (spark.sparkContext.applicationId, sf_dir, name)
     if key not in _STORED:
-        path = f"{shared_dir(spark, DEFAULT_FOLDER)}/proxyspark-{uuid.uuid4().hex}/{name}"
+        path = scratch(spark, name)
         write(path)
         _STORED[key] = path
     return spark.read.parquet(_STORED[key])

@@ -354,6 +354,13 @@ SELECT *, detected = expected AND false_positives = 0 AS passed FROM (SELECT *,
 
 # --- access -----------------------------------------------------------------------------
 SQL["visible_uploads"] = _with(f"SELECT * REPLACE ({_TIME.format('created_at')} AS created_at) FROM v", ["uploads", "access_grants"], v=_MEMBER)
+_GONE = {
+    "uploads": "id IN (FROM mine)", "analyses": "upload_id IN (FROM mine)", "access_grants": "coalesce(upload_id IN (FROM mine), false)",
+    "anomalies": "analysis_id IN (SELECT id FROM analyses WHERE upload_id IN (FROM mine))"}
+_STORED_AS = {"anomalies": "findings", "access_grants": "grants"}
+SQL["erase_uploads"] = _with(" UNION ALL ".join(
+    f"""SELECT '{_STORED_AS.get(t, t)}' AS table_name, count(*) FILTER (WHERE {gone}) AS erased, count(*) FILTER (WHERE NOT ({gone})) AS "left" FROM {t}"""
+    for t, gone in _GONE.items()), list(_GONE), mine="SELECT id FROM uploads WHERE org_id = 'org1' AND id % 7 = 0")
 _LATEST = """SELECT upload_id, id AS analysis_id, status AS analysis_status FROM (SELECT *, row_number() OVER (
   PARTITION BY upload_id ORDER BY created_at DESC, id DESC) AS place FROM analyses) WHERE place = 1"""
 SQL["latest_analysis"] = with_views(_LATEST, "analyses")

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from proxyspark import fixed
-from proxyspark.fixtures import load, run_stream, stored, stored_entries
+from proxyspark.fixtures import load, run_stream, scratch, stored, stored_entries
 from proxyspark.functions import labels, net, text
 from proxyspark.operators import access, dashboard, detectors, findings, observability, order_stats, rollups, scope, search
 from proxyspark.operators.scope import Caller, Scope
@@ -494,6 +494,27 @@ def upsert_grants(spark, sf):
     return out.select("org_id", "upload_id", "subject_user_id", "level", _text("expires_at"))
 
 
+@query
+def erase_uploads(spark, sf):
+    """Rows erased and left per table when every seventh upload is asked for
+    and only those of org1 may go."""
+    named = lambda prefix, c: F.concat(F.lit(prefix), F.col(c).cast("string")).alias(c)
+    uploads, grants = load(spark, sf, "uploads"), load(spark, sf, "access_grants")
+    parts = {
+        "uploads": uploads.select(named("u", "id"), "org_id", "created_at"),
+        "analyses": load(spark, sf, "analyses").select(named("a", "id"), named("u", "upload_id"), "status"),
+        "findings": load(spark, sf, "anomalies").select("id", named("a", "analysis_id"), "kind"),
+        "grants": grants.select("id", named("u", "upload_id"), "subject_user_id", "level"),
+    }
+    root = scratch(spark, "erase")
+    for kind, df in parts.items():
+        tables.write_table(df, f"{root}/{kind}", kind, buckets=4)
+    asked = uploads.where(F.col("id") % 7 == 0).select(named("u", "id").alias("upload_id"))
+    erased = tables.erase_uploads(spark, root, asked, "org1")
+    left = [spark.read.parquet(f"{root}/{kind}").agg(F.lit(kind).alias("table_name"), F.count(F.lit(1)).alias("left")) for kind in parts]
+    return erased.join(reduce(DataFrame.unionByName, left), "table_name")
+
+
 def _one_per_target(grants):
     """The fixture may grant one person the organization twice; a stored table
     never holds both."""

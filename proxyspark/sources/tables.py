@@ -16,6 +16,7 @@ from py4j.protocol import Py4JJavaError
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, Observation, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 BUCKETS = 64
 NO_MONTH = "none"
@@ -33,9 +34,9 @@ def with_layout(df: DataFrame, kind: str, buckets: int = BUCKETS) -> DataFrame:
     """Adds the partition columns of a table kind."""
     if kind == "entries":
         return df.withColumns({"month": _month("ts"), "bucket": _bucket("upload_id", buckets)})
-    if kind in ("entry_rollups", "status_rollups"):
+    if kind in ("entry_rollups", "status_rollups", "analyses", "grants", "bridge"):
         return df.withColumns({"bucket": _bucket("upload_id", buckets)})
-    if kind in ("findings", "vectors"):
+    if kind in ("findings", "vectors", "timings", "status"):
         return df.withColumns({"bucket": _bucket("analysis_id", buckets)})
     if kind == "uploads":
         return df.withColumns({"bucket": _bucket("id", buckets)})
@@ -51,6 +52,15 @@ LAYOUT = {
     "uploads": (["bucket"], ["org_id", "created_at"]),
     "findings": (["bucket"], ["analysis_id"]),
     "vectors": (["bucket"], ["analysis_id"]),
+    "analyses": (["bucket"], ["upload_id"]),
+    "grants": (["bucket"], ["upload_id"]),
+    "bridge": (["bucket"], ["upload_id"]),
+    "timings": (["bucket"], ["analysis_id"]),
+    "status": (["bucket"], ["analysis_id"]),
+    "archive": (["run"], ["split_start", "pos"]),
+    "archive_files": (["run"], ["file"]),
+    "archive_starts": (["run"], ["file"]),
+    "archive_splits": (["run"], ["file", "split_start"]),
     "audit": (["month"], ["org_id", "created_at"]),
 }
 
@@ -116,11 +126,11 @@ def append_audit(df: DataFrame, path: str) -> None:
 
 
 def append_timings(df: DataFrame, path: str) -> None:
-    df.write.mode("append").parquet(path)
+    _write(with_layout(df, "timings"), path, "timings", "append")
 
 
 def append_status(df: DataFrame, path: str) -> None:
-    df.write.mode("append").parquet(path)
+    _write(with_layout(df, "status"), path, "status", "append")
 
 
 def read_if_present(spark: SparkSession, path: str) -> DataFrame | None:
@@ -154,12 +164,23 @@ def _in_partitions(df: DataFrame, parts: list[str], wanted: set[tuple]) -> DataF
     return df.where(reduce(lambda a, b: a | b, tests))
 
 
-def delete_keys(spark: SparkSession, path: str, kind: str, keys: DataFrame, buckets: int | None = None) -> int:
+def _read_text_partitions(spark: SparkSession, path: str, parts: list[str]) -> DataFrame | None:
+    """The stored table with its partition values as written: a run named 007
+    must not be read, and written back, as 7."""
+    found = read_if_present(spark, path)
+    if found is None:
+        return None
+    fields = [T.StructField(f.name, T.StringType()) if f.name in parts and f.name != "bucket" else f for f in found.schema]
+    return spark.read.schema(T.StructType(fields)).parquet(path)
+
+
+def delete_keys(spark: SparkSession, path: str, kind: str, keys: DataFrame, buckets: int | None = None,
+                runs: list[str] | None = None) -> int:
     """Remove the rows whose key column is in ``keys``; how many there were.
 
     Only partitions that hold such rows are rewritten. ``buckets``, the number
-    the table is written with, lets the search for them skip other buckets;
-    without it every partition's key column is read.
+    the table is written with, or ``runs`` lets the search for them skip other
+    folders; without either every partition's key column is read.
     """
     wanted = keys.distinct()
     near = None
@@ -167,11 +188,14 @@ def delete_keys(spark: SparkSession, path: str, kind: str, keys: DataFrame, buck
         near = [r[0] for r in wanted.select(_bucket(keys.columns[0], buckets).alias("b")).distinct().collect()]
         if not near:
             return 0
-    stored, parts, key = read_if_present(spark, path), LAYOUT[kind][0], keys.columns[0]
+    parts, key = LAYOUT[kind][0], keys.columns[0]
+    stored = _read_text_partitions(spark, path, parts)
     if stored is None:
         return 0
     if near is not None:
         stored = stored.where(F.col("bucket").isin(near))
+    if runs is not None:
+        stored = stored.where(F.col("run").isin(runs))
     tally = (
         stored.select(*parts, key).join(wanted.withColumn("_gone", F.lit(1)), key, "left")
         .groupBy(*parts).agg(F.count("_gone").alias("gone"), F.count(F.lit(1)).alias("rows"))
@@ -222,8 +246,12 @@ def committed(df: DataFrame, manifest: DataFrame) -> DataFrame:
 def erase_uploads(spark: SparkSession, root: str, ids: DataFrame, org_id: str) -> DataFrame:
     """Remove uploads of one organization everywhere; counts per table.
 
-    ``ids`` has upload_id. Ids of other organizations erase nothing. The
-    manifest goes last, so an interrupted erasure can simply be repeated.
+    ``ids`` has upload_id. Ids of other organizations erase nothing. With the
+    uploads go their entries, rollups, cited rows and grants, their runs with
+    findings, vectors, timings and status (a run is named in ``analyses`` or by
+    the upload itself), and the archived text. Only the bare ids stay in
+    ``begun``. The tables that lead to others go after them and the manifest
+    goes last, so an interrupted erasure can simply be repeated.
     """
     uploads = read_if_present(spark, f"{root}/uploads")
     if uploads is None:
@@ -232,14 +260,35 @@ def erase_uploads(spark: SparkSession, root: str, ids: DataFrame, org_id: str) -
         uploads.where(F.col("org_id") == F.lit(org_id)).select(F.col("id").alias("upload_id"))
         .join(ids.select("upload_id").distinct(), "upload_id", "left_semi")
     )
+    analyses = read_if_present(spark, f"{root}/analyses")
+    runs = mine.select(F.col("upload_id").alias("analysis_id"))
+    if analyses is not None:
+        runs = runs.unionByName(analyses.join(mine, "upload_id", "left_semi").select(F.col("id").alias("analysis_id")))
     counts = [
-        (kind, delete_keys(spark, f"{root}/{kind}", kind, mine))
-        for kind in ("entries", "entry_rollups", "status_rollups")
+        (kind, delete_keys(spark, f"{root}/{kind}", kind, keys))
+        for keys, kinds in (
+            (mine, ("entries", "entry_rollups", "status_rollups", "bridge", "grants")),
+            (runs, ("findings", "vectors", "timings", "status")), (mine, ("analyses",)))
+        for kind in kinds
     ]
+    counts += _erase_archived(spark, root, mine)
     counts.append(("uploads", delete_keys(spark, f"{root}/uploads", "uploads", mine.select(F.col("upload_id").alias("id")))))
     return spark.createDataFrame(counts, "table_name string, erased long")
 
 
+def _erase_archived(spark: SparkSession, root: str, mine: DataFrame) -> list[tuple]:
+    """Raw text, header and places of the files behind some uploads. The file
+    listing says which runs hold them, so other runs are not read."""
+    kinds = ("archive", "archive_starts", "archive_splits", "archive_files")
+    listing = _read_text_partitions(spark, f"{root}/archive_files", ["run"])
+    if listing is None:
+        return [(kind, 0) for kind in kinds]
+    hit = listing.join(mine, "upload_id", "left_semi")
+    # At most one name per run of the ingest in which these files came.
+    runs = [r[0] for r in hit.select("run").distinct().collect()]
+    return [(kind, delete_keys(spark, f"{root}/{kind}", kind, hit.select("file"), runs=runs) if runs else 0) for kind in kinds]
+
+
 def erase_audit(counts: DataFrame, caller_id, org_id: str, upload_id, now) -> DataFrame:
     """Audit row of one erasure, with what was removed from each table."""
     erased = F.to_json(F.map_from_entries(F.collect_list(F.struct("table_name", "erased"))))

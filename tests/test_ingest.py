@@ -181,6 +181,9 @@ def test_job_is_complete_repeatable_and_erasable(spark, tmp_path):
     erased_counts = tables.erase_uploads(spark, root, ids, "o1")
     erased = {r[0]: r[1] for r in erased_counts.collect()}
     assert erased["entries"] == 201 and erased["uploads"] == 1
+    # Two runs hold the file: header and 201 lines each.
+    assert (erased["archive"], erased["archive_files"]) == (404, 2)
+    assert not spark.read.parquet(f"{root}/archive_files").where(F.col("upload_id") == victim).count()
     after = counts()
     assert after["entries"] == 201 and after["uploads"] == 1
     audit = tables.erase_audit(erased_counts, "admin", "o1", victim, NOW).collect()[0]
@@ -190,6 +193,29 @@ def test_job_is_complete_repeatable_and_erasable(spark, tmp_path):
     assert not list((tmp_path / "root" / "entries").glob("month=*/bucket=*/*.parquet"))
 
 
+def test_erasure_reaches_runs_and_keeps_the_names_of_folders(spark, tmp_path):
+    root, folder = str(tmp_path / "root"), tmp_path / "in"
+    folder.mkdir()
+    for name in ("a.csv", "b.csv"):
+        (folder / name).write_text("datetime,ClientIP,login,host\n2024-06-01 08:00:00,10.0.0.1,u,h.io\n")
+    ingest_files(spark, str(folder), root, "o1", "owner", NOW, "007", buckets=2)
+    first, second = sorted(r["id"] for r in spark.read.parquet(f"{root}/uploads").collect())
+    runs = spark.createDataFrame([("r1", first), ("r2", second)], "id string, upload_id string")
+    tables.write_table(runs, f"{root}/analyses", "analyses", 2)
+    per_run = runs.select(F.col("id").alias("analysis_id"))
+    tables.save_findings(per_run, f"{root}/findings", 2)
+    tables.save_vectors(per_run, f"{root}/vectors", 2)
+    tables.append_timings(per_run, f"{root}/timings")
+    tables.append_status(per_run, f"{root}/status")
+    erased = {r[0]: r[1] for r in tables.erase_uploads(
+        spark, root, spark.createDataFrame([(first,)], "upload_id string"), "o1").collect()}
+    assert {erased[k] for k in ("entries", "analyses", "findings", "vectors", "timings", "status", "archive_files")} == {1}
+    assert erased["archive"] == 2 and erased["grants"] == 0
+    assert [r["analysis_id"] for r in spark.read.parquet(f"{root}/findings").collect()] == ["r2"]
+    assert [f.name for f in (tmp_path / "root" / "archive").glob("run=*")] == ["run=007"]
+    assert spark.read.parquet(f"{root}/archive").count() == 2
+
+
 def test_replacing_findings_leaves_other_runs(spark, tmp_path):
     path = str(tmp_path / "f")
     rows = spark.createDataFrame([("a", "x", 1), ("b", "x", 2)], "analysis_id string, kind string, n int")
