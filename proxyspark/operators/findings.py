@@ -126,9 +126,13 @@ def evidence_rows(bridge: DataFrame, entries: DataFrame, by=BY) -> DataFrame:
 
 
 def evidence_packets(candidates: DataFrame, overview: DataFrame, samples: DataFrame, by=BY,
-                     baseline_json=None, max_chars: int = fixed.PACKET_CHARS) -> DataFrame:
+                     baseline_json=None, max_chars: int = fixed.PACKET_CHARS,
+                     baselines: DataFrame | None = None) -> DataFrame:
     """One bounded JSON document per upload: overview and ranked candidates.
 
+    ``baseline_json`` is one organization baseline for all, or ``baselines``
+    holds one per scope (``by``, baseline_json); scopes without one have none.
+
     Over the limit, all sample lines go first, then candidates from the tail.
     A running length decides the cut; a scope has at most 30 candidates.
     """
@@ -149,7 +153,13 @@ def evidence_packets(candidates: DataFrame, overview: DataFrame, samples: DataFr
     )
     tail = F.concat(F.lit("]"), F.concat(F.lit(',"organization_baseline":'), baseline_json), F.lit("}")) \
         if baseline_json is not None else F.lit("]}")
-    frame = overview.select(
+    if baselines is not None:
+        given = F.concat(F.lit('],"organization_baseline":'), F.col("baseline_json"), F.lit("}"))
+        tail = F.coalesce(given, F.lit("]}"))
+        framed = overview.join(baselines.select(*by, "baseline_json"), by, "left")
+    else:
+        framed = overview
+    frame = framed.select(
         *by,
         F.concat(F.lit('{"overview":'), F.to_json(F.struct(*[c for c in overview.columns if c not in by])),
                  F.lit(',"candidates":[')).alias("_open"),

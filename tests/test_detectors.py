@@ -6,6 +6,8 @@ import pytest
 from conftest import BASE, MEDIUM, background, entries, entry
 from datetime import timedelta
 
+from pyspark.sql import functions as F
+
 from proxyspark import fixed
 from proxyspark.fixtures import stored_entries
 from proxyspark.operators import detectors, findings
@@ -157,6 +159,21 @@ def test_packet_is_bounded_and_drops_samples_first(spark):
     assert not any(c["sample_log_lines"] for c in small["candidates"])
     assert [c["id"] for c in small["candidates"]] == [c["id"] for c in full["candidates"]][: row["candidates_kept"]]
 
+    scope = row["upload_id"]
+    given = spark.createDataFrame([(scope, '{"requests":5}')], "upload_id string, baseline_json string")
+    with_history = findings.evidence_packets(candidates, overview, samples, baselines=given).collect()[0]
+    assert json.loads(with_history["packet"])["organization_baseline"] == {"requests": 5}
+    unknown = findings.evidence_packets(candidates, overview, samples, baselines=given.where(F.lit(False))).collect()[0]
+    assert json.loads(unknown["packet"]) == full
+
+
+def test_every_candidate_is_there_without_a_limit(spark):
+    rows = [entry(i, i, client_ip="10.0.0.1", username="u", host=f"evil{i}.tk", threat_name="Emotet") for i in range(9)]
+    df = entries(spark, rows)
+    assert detectors.blocked_threat(df).count() == fixed.MAX_PER_DETECTOR
+    assert detectors.blocked_threat(df, per_detector=2).count() == 2
+    assert detectors.blocked_threat(df, per_detector=None).count() == 9
+
 
 def test_fallback_covers_uploads_without_candidates(spark):
     df = entries(spark, background())
