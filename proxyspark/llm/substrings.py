@@ -5,14 +5,14 @@ each round adds one symbol of every string, last symbols first, to a growing
 Burrows-Wheeler transform and to the array of common prefixes with the suffix
 before. Both live in files that a round reads and writes from front to back.
 
-To bring equal strings together, documents are cut at anchors: in any ``length``
-bytes the smallest hash of ``ANCHOR`` bytes is one, so equal strings have equal
-anchors. Around every anchor that at least two places of different documents
-share, the bytes that a string with this anchor can reach are one short string
-(a read). Equal reads are folded, reads of an anchor meet in one collection, and
-there the runs of suffixes that have ``length`` bytes in common give the first
-document of each string. An anchor with too many different reads for one
-collection is spread over several; what they find is merged by string.
+To bring equal strings together, every string of ``length`` bytes goes by its
+anchor, the smallest hash of ``ANCHOR`` bytes in it: equal strings have equal
+anchors. Neighbouring strings of one anchor are one short string (a read), so each
+belongs to one read only. Reads whose anchor no other document has are left out,
+equal reads are folded, reads of an anchor meet in one collection, and there the
+runs of suffixes that have ``length`` bytes in common give the first document of
+each string. An anchor with too many different reads for one collection is spread
+over several; what they find is merged by string.
 """
 
 from __future__ import annotations
@@ -30,17 +30,17 @@ from proxyspark.llm.common import cut, release, rows_batch
 
 LENGTH = 50
 ANCHOR = 16
-#: Documents (bytes) whose anchors are gathered by one task, and bytes of reads
-#: in one collection.
-GROUP_BYTES, COLLECTION_BYTES = 16 << 20, 1 << 20
+#: Documents (bytes) whose anchors are gathered by one task, those of them hashed at
+#: once, and bytes of reads in one collection.
+GROUP_BYTES, HASHED_BYTES, COLLECTION_BYTES = 16 << 20, 2 << 20, 1 << 20
 #: Different reads of one anchor that go to a single collection.
 READS_TOGETHER = 4_000
 
 _MANY = np.uint64(0x9E3779B97F4A7C15)
 _KEYS = "bucket long, batch long, several boolean, keys binary"
 _SHARED = "batch long, bucket long, keys binary"
-_READ = "anchor long, read binary, doc_id long, text_key long, at long"
-_FIRST = "anchor long, read binary, hot boolean, firsts array<long>"
+_READ = "anchor long, read binary, doc_id long, text_key long, at long, n long"
+_FIRST = "anchor long, rid long, owner long, firsts array<long>, hot_read binary"
 _SPAN = "doc_id long, text_key long, span_start long, span_end long"
 _KEPT = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept_text binary"
 
@@ -67,20 +67,21 @@ def _sliding(values: np.ndarray, span: int, of) -> np.ndarray:
     return of(values[:-rest], values[rest:]) if rest else values
 
 
-def anchors_of(data: np.ndarray, length: int = LENGTH, size: int = ANCHOR) -> tuple[np.ndarray, np.ndarray]:
-    """``(positions, hashes)`` of the anchors of a document: in every ``length``
-    bytes the smallest hash (each of equal ones)."""
-    if len(data) < length:
-        return np.zeros(0, np.int64), np.zeros(0, np.uint64)
+def reads_of(data: np.ndarray, begins: np.ndarray, sizes: np.ndarray, length: int = LENGTH, size: int = ANCHOR) -> tuple:
+    """``(text, begin, stop, anchor)`` of the reads of several texts of at least
+    ``length`` bytes, which stand one behind the other in ``data``."""
     h = anchor_hashes(data, size)
-    span = length - size + 1
-    least = _sliding(h, span, np.minimum)
-    # No window has a smallest hash above that of a position in it, so a position
-    # is smallest somewhere if it equals the largest of its windows' smallest.
-    edge = np.zeros(span - 1, np.uint64)
-    is_least = _sliding(np.concatenate([edge, least, edge]), span, np.maximum) == h
-    position = np.flatnonzero(is_least)
-    return position, h[position]
+    least = _sliding(h, length - size + 1, np.minimum)
+    # The smallest hash stays in place unless another value takes over or its place is left.
+    changed = np.ones(len(least), bool)
+    changed[1:] = (least[1:] != least[:-1]) | (h[:len(least) - 1] == least[:-1])
+    changed[begins] = True
+    begin = np.flatnonzero(changed)
+    text = np.searchsorted(begins, begin, "right") - 1
+    last = (begins + sizes - length)[text]
+    stop = np.minimum(np.append(begin[1:], len(least)) - 1, last) + length
+    inside = begin <= last
+    return text[inside], begin[inside], stop[inside], least[begin[inside]]
 
 
 def collection_order(strings: list[bytes], folder: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -220,10 +221,27 @@ def _split_hash(h: np.ndarray, buckets: int) -> tuple[np.ndarray, np.ndarray]:
     return (h >> np.uint64(32)) % np.uint64(buckets), (h & np.uint64(0xFFFFFFFF)).astype("<u4")
 
 
-def _texts(table: pa.Table, skip: set) -> list[tuple]:
-    """``(doc_id, text_key, bytes)`` of the documents that ``skip`` does not name."""
+def _texts(table: pa.Table, skip: set):
+    """``(doc_ids, text_keys, data, begins, sizes)`` of the documents that ``skip``
+    does not name, so many at once as make HASHED_BYTES."""
     ids, keys = table.column("doc_id").to_pylist(), table.column("text_key").to_pylist()
-    return [(d, k, t) for d, k, t in zip(ids, keys, table.column("data").to_pylist()) if (d, k) not in skip]
+    texts, held = [], 0
+
+    def joined():
+        sizes = np.array([len(t) for _, _, t in texts], np.int64)
+        data = b"".join(t for _, _, t in texts)
+        return (np.array([d for d, _, _ in texts], np.int64), np.array([k for _, k, _ in texts], np.int64),
+                data, np.cumsum(sizes) - sizes, sizes)
+
+    for d, k, t in zip(ids, keys, table.column("data").to_pylist()):
+        if (d, k) not in skip:
+            texts.append((d, k, t))
+            held += len(t)
+            if held >= HASHED_BYTES:
+                yield joined()
+                texts, held = [], 0
+    if texts:
+        yield joined()
 
 
 def shared_reads(rows: DataFrame, later: DataFrame, total: int, length: int, size: int) -> DataFrame:
@@ -244,10 +262,10 @@ def shared_reads(rows: DataFrame, later: DataFrame, total: int, length: int, siz
     def keys(docs: pa.Table, side: pa.Table) -> pa.Table:
         skip = set(zip(side.column("doc_id").to_pylist(), side.column("text_key").to_pylist()))
         hashes, owners = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)]
-        for doc_id, _, data in _texts(docs, skip):
-            h = anchors_of(np.frombuffer(data, np.uint8), length, size)[1]
+        for ids, _, data, begins, sizes in _texts(docs, skip):
+            text, _, _, h = reads_of(np.frombuffer(data, np.uint8), begins, sizes, length, size)
             hashes.append(h)
-            owners.append(np.full(len(h), doc_id))
+            owners.append(ids[text])
         h, owner = np.concatenate(hashes), np.concatenate(owners)
         order = np.argsort(h, kind="stable")
         h, owner = h[order], owner[order]
@@ -284,19 +302,17 @@ def shared_reads(rows: DataFrame, later: DataFrame, total: int, length: int, siz
             else:
                 wanted.append(np.uint64(b) << np.uint64(32) | np.frombuffer(keys, "<u4").astype(np.uint64))
         wanted = np.sort(np.concatenate(wanted))
-        out = [[], [], [], [], []]
-        for doc_id, text_key, data in _texts(docs, skip) if len(wanted) else ():
-            at, h = anchors_of(np.frombuffer(data, np.uint8), length, size)
+        out = [[] for _ in _READ.split(", ")]
+        for ids, text_keys, data, begins, sizes in _texts(docs, skip) if len(wanted) else ():
+            text, begin, stop, h = reads_of(np.frombuffer(data, np.uint8), begins, sizes, length, size)
             bucket, key = _split_hash(h, buckets)
             anchor = bucket << np.uint64(32) | key.astype(np.uint64)
             good = wanted[np.minimum(np.searchsorted(wanted, anchor), len(wanted) - 1)] == anchor
-            begin = np.maximum(at[good] - (length - size), 0)
-            stop = np.minimum(at[good] + length, len(data))
-            out[0].append(anchor[good].astype(np.int64))
+            text, begin, stop = text[good], begin[good], stop[good]
             out[1] += [data[a:b] for a, b in zip(begin.tolist(), stop.tolist())]
-            out[2].append(np.full(len(begin), doc_id))
-            out[3].append(np.full(len(begin), text_key))
-            out[4].append(begin)
+            for k, values in ((0, anchor[good].astype(np.int64)), (2, ids[text]), (3, text_keys[text]),
+                              (4, begin - begins[text]), (5, stop - begin)):
+                out[k].append(values)
         columns = [c if k == 1 else np.concatenate(c) if c else [] for k, c in enumerate(out)]
         return pa.Table.from_batches([rows_batch(_READ, columns)])
 
@@ -307,63 +323,76 @@ def shared_reads(rows: DataFrame, later: DataFrame, total: int, length: int, siz
     none = [F.lit(None).cast("long").alias(c) for c in ("doc_id", "text_key")]
     side = skipped.unionByName(found.select("batch", *none, "bucket", "keys"))
     return texts.cogroup(side.groupBy("batch")).applyInArrow(
-        lambda docs, side: reads(docs, side) if docs.num_rows else pa.Table.from_batches([rows_batch(_READ, [[]] * 5)]), _READ)
-
-
-def _can_match(reads: list[bytes], anchors: list[int], length: int, size: int) -> np.ndarray:
-    """Reads that may share ``length`` bytes with another read of their anchor: such
-    a string reaches half of the way to one side of the anchor at least."""
-    half = (length - size + 1) // 2
-    seen: dict[tuple, int] = {}
-    ends = []
-    for read, anchor in zip(reads, anchors):
-        # Where the anchor lies in the read: cut off by the text's start or not.
-        keys = [(anchor, side, read[k:k + size + half]) for side, k in
-                ((0, length - size - half), (1, length - size))] if len(read) == 2 * length - size else None
-        ends.append(keys)
-        for key in keys or ():
-            seen[key] = seen.get(key, 0) + 1
-    edge = {a for a, keys in zip(anchors, ends) if keys is None}  # a read at a text's edge: look at all
-    return np.array([keys is None or a in edge or any(seen[k] > 1 for k in keys) for a, keys in zip(anchors, ends)], bool)
+        lambda docs, side: reads(docs, side) if docs.num_rows else pa.Table.from_batches([rows_batch(_READ, [[]] * 6)]), _READ)
+
+
+def _recurring(strings: list[bytes], length: int) -> tuple[np.ndarray, np.ndarray]:
+    """Per string the offsets of the first and of the last ``length`` bytes in it whose
+    hash comes twice or more in the collection; the last is below the first if none
+    does. What lies outside equals nothing, so it need not be sorted."""
+    sizes = np.array([len(s) for s in strings], np.int64)
+    count = sizes - length + 1
+    ends = np.cumsum(count)
+    which = np.repeat(np.arange(len(strings)), count)
+    offset = np.arange(ends[-1]) - (ends - count)[which]
+    part = 1 << (length.bit_length() - 1)
+    h = anchor_hashes(np.frombuffer(b"".join(strings), np.uint8), part)
+    at = (np.cumsum(sizes) - sizes)[which] + offset
+    h = h[at] * _MANY + h[at + length - part]
+    order = np.argsort(h)
+    same = h[order[1:]] == h[order[:-1]]
+    again = np.zeros(len(h), bool)
+    again[order[1:][same]] = again[order[:-1][same]] = True
+    first, last = count.copy(), np.full(len(strings), -1)
+    np.minimum.at(first, which[again], offset[again])
+    np.maximum.at(last, which[again], offset[again])
+    return first, last
 
 
 def first_of_each(reads: DataFrame, length: int, size: int) -> DataFrame:
-    """``anchor, rid, owner, firsts``: for every different read, the smallest
-    document that has it, and per offset the smallest that has the ``length`` bytes
-    there (null: that is ``owner`` everywhere)."""
+    """``anchor, rid, owner, firsts``: for the reads that some document need not
+    keep, the smallest document that has them, and per offset the smallest that has
+    the ``length`` bytes there (null: that is ``owner`` everywhere)."""
+    spark = reads.sparkSession
     different = reads.groupBy("anchor", "rid", "read").agg(F.min("doc_id").alias("owner"), F.max("doc_id").alias("last"))
-    different = cut(different, "different-reads")
-    counted = different.groupBy("anchor").agg(F.count("*").alias("n"))
-    lone = different.join(counted.where("n = 1"), "anchor").where("owner < last").select(
-        "anchor", "rid", "owner", F.lit(None).cast("array<long>").alias("firsts"))
-    mixed = different.join(counted.where("n > 1"), "anchor")
-    volume = mixed.agg(F.sum(F.octet_length("read"))).first()[0] or 0
-    collections = max(1, -(-volume // COLLECTION_BYTES))
-    hot = F.col("n") > READS_TOGETHER
-    placed = mixed.select(
-        F.pmod(F.when(hot, F.xxhash64("anchor", "rid")).otherwise(F.xxhash64("anchor")), F.lit(collections)).alias("collection"),
-        "anchor", "read", "owner", hot.alias("hot"))
+    different = cut(different, "different-reads", "zstd")
+    # One row for READS_TOGETHER reads at most; written, so that Spark knows its size.
+    hot = cut(different.groupBy("anchor").agg(F.count("*").alias("n")).where(F.col("n") > READS_TOGETHER).select("anchor"), "hot-anchors")
+    release(spark)
+    collections = max(1, -(-different.count() * (2 * length - size) // COLLECTION_BYTES))
+    placed = different.join(hot.withColumn("hot", F.lit(True)), "anchor", "left").select(
+        F.pmod(F.when(F.col("hot"), F.xxhash64("anchor", "rid")).otherwise(F.xxhash64("anchor")), F.lit(collections)).alias("collection"),
+        "anchor", "rid", "read", "owner", "last", F.coalesce("hot", F.lit(False)).alias("hot"))
 
     def sort(table: pa.Table) -> pa.Table:
-        strings, anchors = table.column("read").to_pylist(), table.column("anchor").to_pylist()
-        owners, hots = np.array(table.column("owner").to_pylist(), np.int64), table.column("hot").to_pylist()
-        go = np.flatnonzero(_can_match(strings, anchors, length, size) | np.array(hots, bool))
+        strings = table.column("read").to_pylist()
+        anchors, rids, owners, lasts, hots = (table.column(c).to_numpy() for c in ("anchor", "rid", "owner", "last", "hot"))
+        lo, hi = _recurring(strings, length)
+        go = np.flatnonzero(lo <= hi)
+        found = first_owners([strings[i][lo[i]:hi[i] + length] for i in go], owners[go], length) if len(go) else []
         firsts = [None] * len(strings)
-        for i, first in zip(go, first_owners([strings[i] for i in go], owners[go], length) if len(go) else ()):
-            firsts[i] = first
-        firsts = [f if f is not None and (h or (f < o).any()) else None for f, h, o in zip(firsts, hots, owners)]
-        return pa.Table.from_batches([rows_batch(_FIRST, [anchors, strings, hots, firsts])])
-
-    sorted_ = cut(placed.groupBy("collection").applyInArrow(sort, _FIRST), "firsts").withColumn("rid", F.xxhash64("read"))
-    cold = sorted_.where("NOT hot").select("anchor", "rid", "firsts")
+        for i, first in zip(go, found):
+            if hots[i] or (first < owners[i]).any():
+                firsts[i] = np.full(len(strings[i]) - length + 1, owners[i])
+                firsts[i][lo[i]:hi[i] + 1] = first
+        for i in np.flatnonzero(hots):  # of these, other collections may hold an equal string
+            if firsts[i] is None:
+                firsts[i] = np.full(len(strings[i]) - length + 1, owners[i])
+        out = [i for i in range(len(strings)) if firsts[i] is not None or owners[i] < lasts[i]]
+        return pa.Table.from_batches([rows_batch(_FIRST, [
+            anchors[out], rids[out], owners[out], [firsts[i] for i in out], [strings[i] if hots[i] else None for i in out]])])
+
+    sorted_ = cut(placed.groupBy("collection").applyInArrow(sort, _FIRST), "firsts", "zstd")
+    release(spark)
+    names = ["anchor", "rid", "owner"]
+    cold = sorted_.where("hot_read IS NULL").select(*names, "firsts")
     # Reads of an anchor that was spread: merged by the string at each offset.
-    strings = sorted_.where("hot").select("anchor", "rid", "read", F.posexplode("firsts").alias("at", "first"))
-    strings = strings.select("anchor", "rid", "at", "first", F.expr(f"substring(read, at + 1, {length})").alias("string"))
+    strings = sorted_.where("hot_read IS NOT NULL").select(*names, "hot_read", F.posexplode("firsts").alias("at", "first"))
+    strings = strings.select(*names, "at", "first", F.expr(f"substring(hot_read, at + 1, {length})").alias("string"))
     least = strings.groupBy("string").agg(F.min("first").alias("least"))
-    spread = (strings.join(least, "string").groupBy("anchor", "rid")
+    spread = (strings.join(least, "string").groupBy(*names)
               .agg(F.transform(F.sort_array(F.collect_list(F.struct("at", "least"))), lambda x: x["least"]).alias("firsts")))
-    found = cold.unionByName(spread).join(different.select("anchor", "rid", "owner", "last"), ["anchor", "rid"])
-    return lone.unionByName(found.where("firsts IS NOT NULL OR owner < last").select("anchor", "rid", "owner", "firsts"))
+    return cold.unionByName(spread)
 
 
 def remove_repeats(docs: DataFrame, length: int = LENGTH, size: int = ANCHOR) -> DataFrame:
@@ -386,10 +415,10 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, size: int = ANCHOR) ->
     later = judged.join(first, "digest").where("doc_id > first").select("doc_id", "text_key").distinct()
     total = judged.agg(F.sum("n")).first()[0] or 0
     whole = rows.where(F.col("doc_id").isNotNull() & (F.octet_length("data") >= length))
-    reads = cut(shared_reads(whole, later, total, length, size).withColumn("rid", F.xxhash64("read")), "reads")
+    reads = cut(shared_reads(whole, later, total, length, size).withColumn("rid", F.xxhash64("read")), "reads", "zstd")
     release(spark)
     firsts = first_of_each(reads, length, size)
-    met = reads.select("anchor", "rid", "doc_id", "text_key", "at", F.octet_length("read").alias("n")).join(firsts, ["anchor", "rid"])
+    met = reads.select("anchor", "rid", "doc_id", "text_key", "at", "n").join(firsts, ["anchor", "rid"])
     met = met.where("firsts IS NOT NULL OR doc_id > owner").select("doc_id", "text_key", "at", "n", "owner", "firsts")
 
     def spans(batches):
