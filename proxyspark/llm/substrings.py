@@ -99,7 +99,16 @@ def collection_order(strings: list[bytes], folder: str) -> tuple[np.ndarray, np.
     sizes = np.array([len(s) for s in strings], np.int64)
     data = np.frombuffer(b"".join(strings), np.uint8)
     ends = np.cumsum(sizes)
-    names = [os.path.join(folder, f"{kind}.{k}") for kind in ("bwt", "lcp") for k in (0, 1)]
+    # Files stay open and only grow: to truncate one would have the disk flushed each round.
+    bwts, lcps = ([open(os.path.join(folder, f"{kind}.{k}"), "w+b", buffering=0) for k in (0, 1)] for kind in ("bwt", "lcp"))
+
+    def put(file, values):
+        file.seek(0)
+        file.write(values)
+
+    def take(file, n):
+        file.seek(0)
+        return np.frombuffer(file.read(n), np.uint8)
 
     def symbols(active, done):
         """The symbol before the suffix of ``done`` bytes, and whether there is one."""
@@ -112,18 +121,18 @@ def collection_order(strings: list[bytes], folder: str) -> tuple[np.ndarray, np.
     bwt, live = symbols(active, 0)
     lcp = np.zeros(m, np.uint8)
     at, mark = np.arange(m), ~live  # mark: rows whose suffix is a whole string
-    bwt.tofile(names[0]), lcp.tofile(names[2])
+    put(bwts[0], bwt), put(lcps[0], lcp)
+    size = m
     active, at = active[live], at[live]
     done, turn = 0, 0
     while len(active):
-        bwt = np.fromfile(names[turn], np.uint8)
-        lcp = np.fromfile(names[2 + turn], np.uint8)
-        n = len(bwt)
+        n = size
+        bwt, lcp = take(bwts[turn], n), take(lcps[turn], n)
         rows = np.flatnonzero(~mark)
         order = rows[np.argsort(bwt[rows], kind="stable")]
-        place = np.empty(n, np.int64)  # of a row's symbol among all, by symbol and row
-        place[order] = np.arange(len(order))
-        new_at = m + place[at]
+        place = np.empty(n, np.int32)  # of a row's symbol among all, by symbol and row
+        place[order] = np.arange(len(order), dtype=np.int32)
+        new_at = m + place[at].astype(np.int64)
         # Least common prefix between a row and the row before with its symbol.
         symbol = bwt[order]
         same = np.concatenate([[False], symbol[1:] == symbol[:-1]])
@@ -142,16 +151,19 @@ def collection_order(strings: list[bytes], folder: str) -> tuple[np.ndarray, np.
         grown_mark = np.zeros(size, bool)
         done += 1
         added, live = symbols(active, done)
+        kept = ~fresh
         for old, new, values in ((bwt, grown[0], added), (lcp, grown[1], own), (mark, grown_mark, ~live)):
-            new[~fresh] = old
+            new[kept] = old
             new[new_at] = values
         behind = new_at[has_next] + 1
-        old_row = ~fresh[behind]  # a new suffix behind has its own value already
+        old_row = kept[behind]  # a new suffix behind has its own value already
         grown[1][behind[old_row]] = nexts[old_row]
         mark, turn = grown_mark, 1 - turn
-        grown[0].tofile(names[turn]), grown[1].tofile(names[2 + turn])
+        put(bwts[turn], grown[0]), put(lcps[turn], grown[1])
         active, at = active[live], new_at[live]
-    bwt, lcp = np.fromfile(names[turn], np.uint8), np.fromfile(names[2 + turn], np.uint8)
+    bwt, lcp = take(bwts[turn], size), take(lcps[turn], size)
+    for file in bwts + lcps:
+        file.close()
     # Walk every string from its end: the map from a suffix to the one a symbol longer.
     rows = np.flatnonzero(~mark)
     order = rows[np.argsort(bwt[rows], kind="stable")]
