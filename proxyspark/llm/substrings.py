@@ -39,7 +39,7 @@ READS_TOGETHER = 4_000
 _MANY = np.uint64(0x9E3779B97F4A7C15)
 _KEYS = "bucket long, batch long, several boolean, keys binary"
 _SHARED = "batch long, bucket long, keys binary"
-_READ = "anchor long, read binary, doc_id long, text_key long, at long, n long"
+_READ = "anchor long, rid long, read binary, owner long, last long, doc_id long, text_key long, at long, n long"
 _FIRST = "anchor long, rid long, owner long, firsts array<long>, hot_read binary"
 _SPAN = "doc_id long, text_key long, span_start long, span_end long"
 _KEPT = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept_text binary"
@@ -257,7 +257,9 @@ def _texts(table: pa.Table, skip: set):
 
 
 def shared_reads(rows: DataFrame, later: DataFrame, total: int, length: int, size: int) -> DataFrame:
-    """Reads around the anchors that different documents share.
+    """Reads around the anchors that different documents share, a row per place; the
+    first place of a read in a group of documents also has its bytes and the
+    smallest and largest document of the group that holds it.
 
     ``rows`` are ``doc_id, text_key, data``; ``later`` names those whose whole text
     an earlier document has, which add nothing. A group of documents sends each of
@@ -314,18 +316,29 @@ def shared_reads(rows: DataFrame, later: DataFrame, total: int, length: int, siz
             else:
                 wanted.append(np.uint64(b) << np.uint64(32) | np.frombuffer(keys, "<u4").astype(np.uint64))
         wanted = np.sort(np.concatenate(wanted))
-        out = [[] for _ in _READ.split(", ")]
+        anchors, places, seen, bytes_of = [], [[] for _ in range(4)], {}, []
+        which = []  # per place, the number of its read
         for ids, text_keys, data, begins, sizes in _texts(docs, skip) if len(wanted) else ():
             text, begin, stop, h = reads_of(np.frombuffer(data, np.uint8), begins, sizes, length, size)
             bucket, key = _split_hash(h, buckets)
             anchor = bucket << np.uint64(32) | key.astype(np.uint64)
             good = wanted[np.minimum(np.searchsorted(wanted, anchor), len(wanted) - 1)] == anchor
             text, begin, stop = text[good], begin[good], stop[good]
-            out[1] += [data[a:b] for a, b in zip(begin.tolist(), stop.tolist())]
-            for k, values in ((0, anchor[good].astype(np.int64)), (2, ids[text]), (3, text_keys[text]),
-                              (4, begin - begins[text]), (5, stop - begin)):
-                out[k].append(values)
-        columns = [c if k == 1 else np.concatenate(c) if c else [] for k, c in enumerate(out)]
+            anchors.append(anchor[good].astype(np.int64))
+            which += [seen.setdefault(data[a:b], len(seen)) for a, b in zip(begin.tolist(), stop.tolist())]
+            for column, values in zip(places, (ids[text], text_keys[text], begin - begins[text], stop - begin)):
+                column.append(values)
+        if not which:
+            return pa.Table.from_batches([rows_batch(_READ, [[]] * 9)])
+        which, strings, (ids, *others) = np.array(which), list(seen), [np.concatenate(c) for c in places]
+        first, last = np.full(len(strings), np.iinfo(np.int64).max), np.full(len(strings), np.iinfo(np.int64).min)
+        np.minimum.at(first, which, ids)
+        np.maximum.at(last, which, ids)
+        rid = np.array([int.from_bytes(hashlib.blake2b(r, digest_size=8).digest(), "little", signed=True) for r in strings])
+        leads = np.zeros(len(which), bool)
+        leads[np.unique(which, return_index=True)[1]] = True
+        columns = [np.concatenate(anchors), rid[which], [strings[w] if lead else None for w, lead in zip(which.tolist(), leads.tolist())],
+                   pa.array(first[which], mask=~leads), pa.array(last[which], mask=~leads), ids, *others]
         return pa.Table.from_batches([rows_batch(_READ, columns)])
 
     sent = texts.cogroup(skipped.groupBy("batch")).applyInArrow(
@@ -335,7 +348,7 @@ def shared_reads(rows: DataFrame, later: DataFrame, total: int, length: int, siz
     none = [F.lit(None).cast("long").alias(c) for c in ("doc_id", "text_key")]
     side = skipped.unionByName(found.select("batch", *none, "bucket", "keys"))
     return texts.cogroup(side.groupBy("batch")).applyInArrow(
-        lambda docs, side: reads(docs, side) if docs.num_rows else pa.Table.from_batches([rows_batch(_READ, [[]] * 6)]), _READ)
+        lambda docs, side: reads(docs, side) if docs.num_rows else pa.Table.from_batches([rows_batch(_READ, [[]] * 9)]), _READ)
 
 
 def _recurring(strings: list[bytes], length: int) -> tuple[np.ndarray, np.ndarray]:
@@ -366,15 +379,21 @@ def first_of_each(reads: DataFrame, length: int, size: int) -> DataFrame:
     keep, the smallest document that has them, and per offset the smallest that has
     the ``length`` bytes there (null: that is ``owner`` everywhere)."""
     spark = reads.sparkSession
-    different = reads.groupBy("anchor", "rid", "read").agg(F.min("doc_id").alias("owner"), F.max("doc_id").alias("last"))
-    different = cut(different, "different-reads", "zstd")
+    # Folded once for each group of documents already, so a read that all documents
+    # have is as many rows as there are groups.
+    held = reads.where("read IS NOT NULL")
+    counted = cut(held.select("anchor", "rid").distinct().groupBy("anchor").agg(F.count("*").alias("n")), "reads-of-anchors")
     # One row for READS_TOGETHER reads at most; written, so that Spark knows its size.
-    hot = cut(different.groupBy("anchor").agg(F.count("*").alias("n")).where(F.col("n") > READS_TOGETHER).select("anchor"), "hot-anchors")
+    hot = cut(counted.where(F.col("n") > READS_TOGETHER).select("anchor"), "hot-anchors")
     release(spark)
-    collections = max(1, -(-different.count() * (2 * length - size) // COLLECTION_BYTES))
-    placed = different.join(hot.withColumn("hot", F.lit(True)), "anchor", "left").select(
-        F.pmod(F.when(F.col("hot"), F.xxhash64("anchor", "rid")).otherwise(F.xxhash64("anchor")), F.lit(collections)).alias("collection"),
-        "anchor", "rid", "read", "owner", "last", F.coalesce("hot", F.lit(False)).alias("hot"))
+    total = counted.agg(F.sum("n")).first()[0] or 0
+    collections = max(1, -(-total * (2 * length - size) // COLLECTION_BYTES))
+    spread_out = F.pmod(F.when(F.col("hot"), F.xxhash64("anchor", "rid")).otherwise(F.xxhash64("anchor")), F.lit(collections))
+    # The one exchange serves both the folding and the collections.
+    placed = (held.join(hot.withColumn("hot", F.lit(True)), "anchor", "left")
+              .select(spread_out.alias("collection"), "anchor", "rid", "read", "owner", "last", F.coalesce("hot", F.lit(False)).alias("hot"))
+              .repartition("collection")
+              .groupBy("collection", "anchor", "rid", "read", "hot").agg(F.min("owner").alias("owner"), F.max("last").alias("last")))
 
     def sort(table: pa.Table) -> pa.Table:
         strings = table.column("read").to_pylist()
@@ -427,7 +446,7 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, size: int = ANCHOR) ->
     later = judged.join(first, "digest").where("doc_id > first").select("doc_id", "text_key").distinct()
     total = judged.agg(F.sum("n")).first()[0] or 0
     whole = rows.where(F.col("doc_id").isNotNull() & (F.octet_length("data") >= length))
-    reads = cut(shared_reads(whole, later, total, length, size).withColumn("rid", F.xxhash64("read")), "reads", "zstd")
+    reads = cut(shared_reads(whole, later, total, length, size), "reads", "zstd")
     release(spark)
     firsts = first_of_each(reads, length, size)
     met = reads.select("anchor", "rid", "doc_id", "text_key", "at", "n").join(firsts, ["anchor", "rid"])
