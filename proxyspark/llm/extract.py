@@ -6,8 +6,10 @@ A node is important in two ways. Presentation: the entropy of the layouts, the
 sequences of child elements, that pages show below it. Content: the entropy of
 the texts that pages show in it. A node whose text is the same from page to page
 (menus, footers, notices) tells nothing and is removed from every page; the
-more pages a host has, the more its own tree says. The rest is decided by what
-elements are called, which is all there is for a host of one page.
+more pages a host has, the more its own tree says. What a page marks as its main
+part (article, main) weighs more, but is judged like the rest. What the tree does
+not decide is decided by what elements are called, which is all there is for a
+host of one page.
 """
 
 from __future__ import annotations
@@ -60,19 +62,24 @@ _DIGITS = re.compile(r"\d+")
 ENOUGH_PAGES = 8
 #: Importance, 0 to 1, under which a node goes.
 LOW = 0.35
+#: How many times the importance of a node counts that lies in an article or main part.
+MARKED = 2.0
 
 _STYLE = "host string, path long, layout long, content long, n long"
 _TEXT = "page_id long, url string, text string, n_chars long"
 
 
 class Node:
-    __slots__ = ("tag", "names", "role", "hidden", "children", "path", "parent")
+    __slots__ = ("tag", "names", "role", "hidden", "children", "path", "parent", "marked")
 
     def __init__(self, tag, parent=None, names="", role="", hidden=False):
         self.tag, self.parent, self.names, self.role, self.hidden = tag, parent, names, role, hidden
         self.children: list = []
         own = f"{tag}.{_DIGITS.sub('0', names).strip().lower()}"
-        self.path = hash_of(f"{parent.path if parent else 0}/{own}")
+        # In an article or main part, or one itself; the lowest bit of a path says so.
+        self.marked = parent is not None and parent.marked or (
+            (tag in ("article", "main") or role in MAIN_ROLES) and not named_aside(self, False))
+        self.path = hash_of(f"{parent.path if parent else 0}/{own}") & ~1 | self.marked
 
 
 def hash_of(text: str) -> int:
@@ -250,30 +257,37 @@ def style_tree(pages: DataFrame) -> DataFrame:
     return entropy("content").join(entropy("layout").drop("pages"), ["host", "path"])
 
 
-def unimportant(tree: DataFrame, enough: int = ENOUGH_PAGES, low: float = LOW) -> DataFrame:
+def unimportant(tree: DataFrame, enough: int = ENOUGH_PAGES, low: float = LOW, marked: float = MARKED) -> DataFrame:
     """``host, paths``: the nodes of each host that go. A node is important by the
-    larger of its two importances; one on fewer than ``enough`` pages stays."""
-    return (tree.where((F.col("pages") >= enough) & (F.greatest("content", "layout") < low))
+    larger of its two importances, which counts ``marked`` times in an article or
+    main part; one on fewer than ``enough`` pages stays."""
+    weight = F.when(F.col("path").bitwiseAND(1) == 1, marked).otherwise(1.0)
+    return (tree.where((F.col("pages") >= enough) & (F.greatest("content", "layout") * weight < low))
             .groupBy("host").agg(F.sort_array(F.collect_list("path")).alias("paths")))
 
 
 def main_text(page: str, removed: frozenset[int] | set[int]) -> str:
     """Blocks of a page's main text in order, one per line.
 
-    A page that marks its article gives what is in it, less what is named as
-    something else; its style nodes are only judged outside. Any other page
-    also loses the style nodes ``removed``.
+    The style nodes ``removed`` go, and what is named as something else, inside
+    an article or main part and outside. Where nothing would stay (the host
+    repeats whole pages), such a part is judged by names alone.
     """
     root = tree_of(page)
-    found, stack = [], [root]
-    while stack:
-        node = stack.pop()
-        if named_aside(node, False):
-            continue
-        if node.tag in ("article", "main") or node.role in MAIN_ROLES:
-            found.append(node)
-        else:
-            stack.extend(c for c in reversed(node.children) if not isinstance(c, str))
+    blocks = _blocks([root], removed)
+    if not blocks and removed:
+        found, stack = [], [root]
+        while stack:
+            node = stack.pop()
+            if node.marked:
+                found.append(node)
+            elif not named_aside(node, False):
+                stack.extend(c for c in reversed(node.children) if not isinstance(c, str))
+        blocks = _blocks(found, frozenset())
+    return "\n".join(blocks)
+
+
+def _blocks(tops: list[Node], removed: frozenset[int] | set[int]) -> list[str]:
     blocks, now = [], []
 
     def close():
@@ -282,7 +296,7 @@ def main_text(page: str, removed: frozenset[int] | set[int]) -> str:
             blocks.append(text)
         now.clear()
 
-    for top in found or [root]:
+    for top in tops:
         stack = [top]
         while stack:
             x = stack.pop()
@@ -290,7 +304,7 @@ def main_text(page: str, removed: frozenset[int] | set[int]) -> str:
                 close()
             elif isinstance(x, str):
                 now.append(x)
-            elif x is top or not named_aside(x, bool(found)) and (found or x.path not in removed):
+            elif x is top or not named_aside(x, x.parent.marked) and x.path not in removed:
                 if x.tag == "br":
                     now.append(" ")
                 elif x.tag in BLOCK:
@@ -300,7 +314,7 @@ def main_text(page: str, removed: frozenset[int] | set[int]) -> str:
             elif x.tag in BLOCK:
                 close()
         close()
-    return "\n".join(blocks)
+    return blocks
 
 
 def extract(pages: DataFrame, enough: int = ENOUGH_PAGES, low: float = LOW) -> DataFrame:

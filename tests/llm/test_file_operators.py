@@ -198,6 +198,21 @@ def test_style_tree_removes_what_repeats(spark):
     assert extract.extract(pages.limit(0)).count() == 0
 
 
+def test_style_tree_decides_inside_and_beside_articles(spark):
+    def page(k):
+        return (f"<body><div class='intro'><p>Own words {k} beside it</p></div><div class='strip'><p>Same on every page</p></div>"
+                f"<article class='teaser-box'><p>Read the other story</p></article>"
+                f"<article><p>Story {k}</p><div class='box'><p>All rights reserved</p></div><p>ends {k * k}</p></article></body>")
+    copy = "<body><article><p>The same story</p><div class='box'><p>twice</p></div></article></body>"
+    rows = [(k, f"https://h.example/{k}", page(k)) for k in range(20)] + [(50, "https://one.example/", page(50))]
+    rows += [(100 + k, f"https://mirror.example/{k}", copy) for k in range(20)]
+    got = {r["page_id"]: r["text"] for r in extract.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    for k in range(20):
+        assert got[k] == f"Own words {k} beside it\nStory {k}\nends {k * k}"
+        assert got[100 + k] == "The same story\ntwice"  # whole pages repeat: nothing to tell notices by
+    assert got[50].startswith("Own words 50 beside it\nSame on every page")  # a host of one page
+
+
 def test_op10_pages(spark):
     import re
     from html import unescape
