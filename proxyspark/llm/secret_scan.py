@@ -76,6 +76,19 @@ def novelty(candidate: str, around: str, identifiers: str = IDENTIFIERS) -> floa
     return (len(packer.compress(candidate.encode())) - len(packer.compress(b""))) / len(candidate)
 
 
+def surroundings(text: str, start: int, end: int) -> str:
+    """The text around a candidate, in which its other occurrences are blank: a
+    secret that is written twice is no less of one."""
+    candidate = text[start:end]
+    parts = {candidate, candidate.strip("+/_.=-"), *re.split("[=.]+", candidate)}
+    parts = sorted((p for p in parts if len(p) >= 16), key=len, reverse=True)
+    room = AROUND + end - start  # a copy may lie across the edge
+    before, after = text[max(0, start - room):start], text[end:end + room]
+    for part in parts:
+        before, after = (t.replace(part, " " * len(part)) for t in (before, after))
+    return before[-AROUND:] + " " + after[:AROUND]
+
+
 def novel_spans(text: str, taken: list[tuple[int, int, int]], threshold: float = NOVELTY,
                 identifiers: str = IDENTIFIERS) -> list[tuple[int, int, int]]:
     """Random-looking strings that start at most ``REACH`` characters behind a
@@ -92,8 +105,7 @@ def novel_spans(text: str, taken: list[tuple[int, int, int]], threshold: float =
             seen.add(start)
             if not any(c.isdigit() for c in m[0]) or any(a < end and start < b for a, _, b in taken):
                 continue
-            around = text[max(0, start - AROUND):start] + " " + text[end:end + AROUND]
-            if novelty(m[0], around, identifiers) >= threshold:
+            if novelty(m[0], surroundings(text, start, end), identifiers) >= threshold:
                 found.append((start, 3, end))
     return _apart(found)
 

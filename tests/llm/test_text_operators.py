@@ -261,6 +261,17 @@ def test_secret_novelty_and_redaction(spark, docs_of):
     assert secret_scan.scan(docs_of([])).count() == 0
 
 
+def test_a_secret_does_not_hide_its_copies(spark, docs_of):
+    key = "q7Zt9LmX2vBn4KpR8sWd1YcF6hJg3TaE"
+    far = "some more words " * 130  # copies that lie across the edge of the text around
+    got = {r["doc_id"]: r for r in secret_scan.scan(docs_of([
+        (6, f"bearer {key} {key}"), (7, f"bearer {key}. Then credential session={key}, authorization {key}"),
+        (8, f"bearer {key} {far[:1970]} bearer {key}")])).collect()}
+    assert got[6]["spans"] == "novel:7:39,novel:40:72" and got[6]["redacted"] == "bearer <secret> <secret>"
+    assert got[7]["n_novel"] == 3 and got[8]["n_novel"] == 2
+    assert not any(key in r["redacted"] for r in got.values())
+
+
 def test_op5_rows(spark, documents):
     got = {r["doc_id"]: r for r in registry.op5_secrets(spark, SMALL).collect()}
     for doc_id, text in documents:
