@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import hashlib
 import re
+from bisect import bisect_right
 
 import zstandard
 from pyspark.sql import DataFrame
@@ -31,7 +32,7 @@ SENSITIVE = re.compile(
     r"(?i:password|passwd|pwd|secret|token|api[_-]?key|access[_-]?key|private[_-]?key|credential|bearer|authorization)",
     re.ASCII)
 _WORDS = ("pass", "pwd", "secret", "token", "key", "credential", "bearer", "authorization")
-CANDIDATE = re.compile(r"[A-Za-z0-9+/_.=-]{16,200}")
+CANDIDATE = re.compile(r"[A-Za-z0-9+/_.=-]{16,}")
 
 #: How far behind a sensitive word a candidate may start, and how much text
 #: before and after it primes the dictionary, in characters.
@@ -39,6 +40,8 @@ REACH, AROUND = 64, 2_000
 #: Marginal compressed bytes per character from which a string counts as random:
 #: a short random string is stored almost byte for byte, known words far shorter.
 NOVELTY = 0.6
+#: Up to how many characters a candidate is worth the compressor's slowest level.
+LONG = 4_096
 
 IDENTIFIERS = (
     "password passwd pwd secret token api_key apikey access_key private_key client_id client_secret credential "
@@ -72,7 +75,7 @@ def novelty(candidate: str, around: str, identifiers: str = IDENTIFIERS) -> floa
     already knows ``identifiers`` and the text ``around``."""
     known = zstandard.ZstdCompressionDict(f"{identifiers} {around}".encode(errors="replace"),
                                           dict_type=zstandard.DICT_TYPE_RAWCONTENT)
-    packer = zstandard.ZstdCompressor(level=19, dict_data=known, write_content_size=False, write_dict_id=False)
+    packer = zstandard.ZstdCompressor(level=19 if len(candidate) <= LONG else 3, dict_data=known, write_content_size=False, write_dict_id=False)
     return (len(packer.compress(candidate.encode())) - len(packer.compress(b""))) / len(candidate)
 
 
@@ -92,31 +95,46 @@ def surroundings(text: str, start: int, end: int) -> str:
 def novel_spans(text: str, taken: list[tuple[int, int, int]], threshold: float = NOVELTY,
                 identifiers: str = IDENTIFIERS) -> list[tuple[int, int, int]]:
     """Random-looking strings that start at most ``REACH`` characters behind a
-    sensitive word and lie outside the spans ``taken``."""
+    sensitive word, each to its end, less the spans ``taken``.
+
+    A string is judged whole from its first start. Behind further sensitive words
+    in it, it is judged up to the next one, so that no part is read over and over.
+    """
     low = text.lower()
     if not any(w in low for w in _WORDS):
         return []
-    found, seen = [], set()
-    for word in SENSITIVE.finditer(text):
-        for m in CANDIDATE.finditer(text, word.end(), min(len(text), word.end() + REACH + 200)):
-            start, end = m.span()
-            if start > word.end() + REACH or start in seen:
+    runs = [m.span() for m in CANDIDATE.finditer(text)]
+    ends = [end for _, end in runs]
+    found, seen, judged, done = [], set(), set(), set()
+    words = list(SENSITIVE.finditer(text))
+    for word, following in zip(words, [*(w.start() for w in words[1:]), len(text)]):
+        for start, end in runs[(k := bisect_right(ends, word.end())):k + REACH]:
+            start = max(start, word.end())
+            if start > word.end() + REACH:
+                break
+            if start in seen or end in done or end - start < 16:
                 continue
             seen.add(start)
-            if not any(c.isdigit() for c in m[0]) or any(a < end and start < b for a, _, b in taken):
+            stop = min(end, following) if end in judged else end
+            judged.add(end)
+            candidate = "".join(text[a:b] for a, b in _outside(start, stop, taken))
+            if len(candidate) < 16 or not any(c.isdigit() for c in candidate):
                 continue
-            if novelty(m[0], surroundings(text, start, end), identifiers) >= threshold:
-                found.append((start, 3, end))
-    return _apart(found)
+            if novelty(candidate, surroundings(text, start, stop), identifiers) >= threshold:
+                found += [(a, 3, b) for a, b in _outside(start, end, taken)]
+                done.add(end)
+    return sorted(found)
 
 
-def _apart(spans):
-    """Spans in order, without those that overlap an earlier one."""
+def _outside(start: int, end: int, taken: list[tuple[int, int, int]]) -> list[tuple[int, int]]:
+    """What of ``start`` to ``end`` lies in none of the spans ``taken``, which are in order."""
     out = []
-    for span in sorted(spans):
-        if not out or span[0] >= out[-1][2]:
-            out.append(span)
-    return out
+    for a, _, b in taken:
+        if b > start and a < end:
+            if a > start:
+                out.append((start, a))
+            start = max(start, b)
+    return out + [(start, end)] if start < end else out
 
 
 def _joined(spans) -> str:

@@ -272,6 +272,22 @@ def test_a_secret_does_not_hide_its_copies(spark, docs_of):
     assert not any(key in r["redacted"] for r in got.values())
 
 
+def test_long_secrets_go_whole():
+    random = np.random.default_rng(11)
+    letters = np.array(list("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789-_"))
+    for n in (200, 201, 700, 9_000):
+        token = "".join(random.choice(letters, n))
+        text = f"authorization: {token} end"
+        assert secret_scan.novel_spans(text, secret_scan.base_spans(text)) == [(15, 3, 15 + n)]
+        text = f"authorization: {token}.{'0f' * 20}.{token[::-1]} end"  # a fixed kind within
+        base = secret_scan.base_spans(text)
+        spans = base + secret_scan.novel_spans(text, base)
+        assert secret_scan.redact(text, spans, "*").replace("*", "") == "authorization:  end" and len(spans) == 3
+        assert sum(b - a for a, _, b in spans) == 2 * n + 42
+    many = "token." * 20_000
+    assert secret_scan.novel_spans(many, secret_scan.base_spans(many)) == []
+
+
 def test_op5_rows(spark, documents):
     got = {r["doc_id"]: r for r in registry.op5_secrets(spark, SMALL).collect()}
     for doc_id, text in documents:
