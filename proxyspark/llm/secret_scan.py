@@ -10,8 +10,10 @@ costs about as many bytes as it carries, and is reported as kind ``novel``.
 from __future__ import annotations
 
 import hashlib
+import math
 import re
 from bisect import bisect_right
+from collections import Counter
 
 import zstandard
 from pyspark.sql import DataFrame
@@ -37,9 +39,15 @@ CANDIDATE = re.compile(r"[A-Za-z0-9+/_.=-]{16,}")
 #: How far behind a sensitive word a candidate may start, and how much text
 #: before and after it primes the dictionary, in characters.
 REACH, AROUND = 64, 2_000
-#: Marginal compressed bytes per character from which a string counts as random:
-#: a short random string is stored almost byte for byte, known words far shorter.
+#: From which share of the bytes that a random string of its length and symbols
+#: adds a string counts as random. At 0.45, names of which half is known count too.
 NOVELTY = 0.6
+#: Bytes that the compressor needs to describe a set of symbols; a shorter string
+#: is stored byte for byte.
+SYMBOLS = 24
+#: Bits per letter from which a string of letters only is no word or name, given
+#: how letters follow each other around it: random ones take 8, words 3 to 5.
+LETTERS = 5.6
 #: Up to how many characters a candidate is worth the compressor's slowest level.
 LONG = 4_096
 
@@ -71,12 +79,27 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
 
 
 def novelty(candidate: str, around: str, identifiers: str = IDENTIFIERS) -> float:
-    """Compressed bytes that ``candidate`` adds, per character, when the compressor
-    already knows ``identifiers`` and the text ``around``."""
+    """Compressed bytes that ``candidate`` adds when the compressor already knows
+    ``identifiers`` and the text ``around``, as a share of those that a random
+    string of its length and number of symbols adds."""
     known = zstandard.ZstdCompressionDict(f"{identifiers} {around}".encode(errors="replace"),
                                           dict_type=zstandard.DICT_TYPE_RAWCONTENT)
     packer = zstandard.ZstdCompressor(level=19 if len(candidate) <= LONG else 3, dict_data=known, write_content_size=False, write_dict_id=False)
-    return (len(packer.compress(candidate.encode())) - len(packer.compress(b""))) / len(candidate)
+    random = min(len(candidate), len(candidate) * math.log2(max(2, len(set(candidate)))) / 8 + SYMBOLS)
+    return (len(packer.compress(candidate.encode())) - len(packer.compress(b""))) / random
+
+
+def letter_bits(candidate: str, around: str, identifiers: str = IDENTIFIERS) -> float:
+    """Bits per character of ``candidate``, each predicted from the one before it by
+    the pairs in ``identifiers`` and ``around``, without regard to case. The
+    compressor finds no repeats in a new word, though its letters follow a language."""
+    known, text = f"{identifiers} {around}".lower(), candidate.lower()
+    single, pairs = Counter(known), Counter(zip(known, known[1:]))
+    bits = 0.0
+    for a, b in zip(" " + text, text):
+        alone = (single[b] + 0.5) / (len(known) + 32)
+        bits -= math.log2((pairs[a, b] + 4 * alone) / (single[a] + 4))
+    return bits / len(text)
 
 
 def surroundings(text: str, start: int, end: int) -> str:
@@ -118,9 +141,11 @@ def novel_spans(text: str, taken: list[tuple[int, int, int]], threshold: float =
             stop = min(end, following) if end in judged else end
             judged.add(end)
             candidate = "".join(text[a:b] for a, b in _outside(start, stop, taken))
-            if len(candidate) < 16 or not any(c.isdigit() for c in candidate):
+            if len(candidate) < 16:
                 continue
-            if novelty(candidate, surroundings(text, start, stop), identifiers) >= threshold:
+            around = surroundings(text, start, stop)
+            if novelty(candidate, around, identifiers) >= threshold and (
+                    any(c.isdigit() for c in candidate) or letter_bits(candidate, around, identifiers) >= LETTERS):
                 found += [(a, 3, b) for a, b in _outside(start, end, taken)]
                 done.add(end)
     return sorted(found)

@@ -288,6 +288,27 @@ def test_long_secrets_go_whole():
     assert secret_scan.novel_spans(many, secret_scan.base_spans(many)) == []
 
 
+def test_random_secrets_of_every_length_and_alphabet():
+    random = np.random.default_rng(12)
+    upper = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+    prose = "The request carries an authorization header and the handler looks at what it holds before it answers. " * 3
+    for symbols, share in (("0123456789", 1), ("0123456789ABCDEF", 1), (upper + upper.lower() + "0123456789+/", 1),
+                           (upper + upper.lower(), 0.97), (upper.lower(), 0.97)):
+        found = total = 0
+        for n in (16, 24, 32, 40, 48, 63, 64, 65, 80, 96, 128, 160, 200, 300, 700, 2_000):
+            for _ in range(6):
+                key = "".join(random.choice(list(symbols), n))
+                text = f"{prose} credential {key} and more. {prose}"
+                start = text.index(key)
+                base = secret_scan.base_spans(text)
+                total += 1
+                found += secret_scan.novel_spans(text, base) == [(start, 3, start + n)] or bool(base)
+        assert found >= share * total, (symbols, found, total)
+    for word in ("internationalization", "AuthenticationProviderFactory", "/usr/local/share/certificates", "credential-management/example",
+                 "com.example.security.TokenHandler"):
+        assert secret_scan.novel_spans(f"{prose} bearer {word} and more. {prose}", []) == [], word
+
+
 def test_op5_rows(spark, documents):
     got = {r["doc_id"]: r for r in registry.op5_secrets(spark, SMALL).collect()}
     for doc_id, text in documents:
