@@ -208,27 +208,26 @@ def similar_sets(x: np.ndarray, y: np.ndarray, percent: int) -> bool:
     return 100 * both >= percent * (len(x) + len(y) - both)
 
 
-def likely_pairs(rows: list[tuple], lo: int, hi: int, agree: int, width: int) -> list[tuple[int, int]]:
+def likely_pairs(rows: list[tuple], lo: int, hi: int, agree: int) -> list[tuple[int, int]]:
     """Pairs of one block that differ in label and agree often enough, if this is
-    the first band they share. ``rows`` are ``(id, label, block, band, marks)``;
-    where ``lo`` and ``hi`` differ, one side of a pair is of either block."""
+    the first band whose key they share. ``rows`` are ``(id, label, block, band,
+    marks, keys)``; where ``lo`` and ``hi`` differ, one side of a pair is of either block."""
     ids, labels, blocks = (np.array([r[k] for r in rows], np.int64) for k in range(3))
     marks = np.frombuffer(b"".join([r[4] for r in rows]), np.uint8).reshape(len(rows), -1)
-    band, out = rows[0][3], []
+    keys = np.frombuffer(b"".join([r[5] for r in rows]), "<u8").reshape(len(rows), -1)[:, :rows[0][3]]
+    out = []
     for i in range(len(rows) - 1) if lo == hi else np.flatnonzero(blocks == lo):
         others = np.arange(i + 1, len(rows)) if lo == hi else np.flatnonzero(blocks == hi)
         others = others[labels[others] != labels[i]]
-        same = marks[others] == marks[i]
-        good = same.sum(axis=1) >= agree
-        if not good.any():
+        others = others[(marks[others] == marks[i]).sum(axis=1) >= agree]
+        if not len(others):
             continue
-        others, same = others[good], same[good]
-        earlier = same.reshape(len(same), -1, width)[:, :band].all(axis=2).any(axis=1)
+        earlier = (keys[others] == keys[i]).any(axis=1)
         out += [(min(ids[i], x), max(ids[i], x)) for x in ids[others[~earlier]]]
     return out
 
 
-_MET = "bucket long, lo int, hi int, id long, label long, block int, band int, marks binary"
+_MET = "bucket long, lo int, hi int, id long, label long, block int, band int, marks binary, keys binary"
 
 
 def _groups(batches):
@@ -254,14 +253,17 @@ def residual_links(buckets: DataFrame, labels: DataFrame, nodes: DataFrame, text
     whole bucket. A group first finds, by their marks, the members that have a
     likely partner; these get their texts, and the same group then confirms its
     likely pairs on full sets. There is never a row per pair that is no link.
+    Where ``nodes`` have no ``keys``, a pair is looked at in every bucket it shares.
+    ``width``, the minima of a band, decides nothing any more.
     """
+    keys = F.col("keys") if "keys" in nodes.columns else F.lit(b"")
     named = buckets.join(labels, "id")
     mixed = (named.groupBy("bucket").agg(F.count("*").alias("n"), F.min("label").alias("x"), F.max("label").alias("y"))
              .where("x != y").select("bucket", F.ceil(F.col("n") / block).cast("int").alias("blocks")))
     live = named.join(mixed, "bucket").withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
     met = live.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     met = met.select("bucket", F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"),
-                     "id", "label", "block", "band").join(nodes.select("id", "marks"), "id")
+                     "id", "label", "block", "band").join(nodes.select("id", "marks", keys.alias("keys")), "id")
     names = [c.split()[0] for c in _MET.split(", ")]
 
     def grouped(rows, *more):
@@ -270,7 +272,7 @@ def residual_links(buckets: DataFrame, labels: DataFrame, nodes: DataFrame, text
     def partnered(batches):
         found = []
         for rows in _groups(batches):
-            ids = {i for pair in likely_pairs([r[3:] for r in rows], rows[0][1], rows[0][2], agree, width) for i in pair}
+            ids = {i for pair in likely_pairs([r[3:] for r in rows], rows[0][1], rows[0][2], agree) for i in pair}
             found += [r for r in rows if r[3] in ids]
             if len(found) > 5_000:
                 yield rows_batch(_MET, list(zip(*found)))
@@ -282,8 +284,8 @@ def residual_links(buckets: DataFrame, labels: DataFrame, nodes: DataFrame, text
         for rows in _groups(batches):
             sets, found = {}, []
             for r in rows:
-                sets.setdefault(r[3], []).append(shingles(words_of(r[8]), known, size))
-            for a, b in likely_pairs([r[3:8] for r in rows], rows[0][1], rows[0][2], agree, width):
+                sets.setdefault(r[3], []).append(shingles(words_of(r[9]), known, size))
+            for a, b in likely_pairs([r[3:9] for r in rows], rows[0][1], rows[0][2], agree):
                 if any(similar_sets(x, y, percent) for x in sets[a] for y in sets[b]):
                     found.append((a, b))
             if found:

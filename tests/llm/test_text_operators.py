@@ -106,6 +106,17 @@ def test_residual_blocks_find_every_likely_pair(spark):
         assert {tuple(r) for r in got.collect()} == want
 
 
+def test_residual_links_go_by_whole_keys(spark):
+    # All marks are alike, but the keys of band 0 differ: the pair meets in band 1 only.
+    keys = [np.array([k, 5], "<u8").tobytes() for k in (1, 2)]
+    nodes = spark.createDataFrame([(k, bytearray(12), bytearray(keys[k])) for k in (0, 1)], "id long, marks binary, keys binary")
+    labels = spark.createDataFrame([(0, 0), (1, 1)], "id long, label long")
+    rows = spark.createDataFrame([(70, 0, 0), (71, 0, 1), (72, 1, 0), (72, 1, 1)], "bucket long, band int, id long")
+    texts = spark.createDataFrame([(0, "one two three four"), (1, "One two three four")], "id long, text string")
+    got = minhash.residual_links(rows, labels, nodes, texts, 4, 80, 10, 6)
+    assert [tuple(r) for r in got.collect()] == [(0, 1)]
+
+
 # ---- language
 
 def test_op2_held_out_accuracy(spark):
