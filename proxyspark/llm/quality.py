@@ -32,7 +32,6 @@ FEATURES = {
 _WHITE = b" \t\n\x0b\x0c\r"
 _COUNTS = "doc_id long, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long"
 _SCORED = f"{_COUNTS}, base_failed boolean, kept boolean, score double"
-_MIX = np.array([0x9E3779B97F4A7C15 * (2 * k + 1) * (k * k + 7) % (1 << 64) | 1 for k in range(REPEAT_WINDOW)], np.uint64)
 
 
 def repeated_words(ids: np.ndarray, window: int = REPEAT_WINDOW) -> int:
@@ -40,15 +39,17 @@ def repeated_words(ids: np.ndarray, window: int = REPEAT_WINDOW) -> int:
     n = len(ids) - window + 1
     if n < 2:
         return 0
-    mixed = np.zeros(n, np.uint64)
-    for k in range(window):
-        mixed += (ids[k:k + n].astype(np.uint64) + np.uint64(1)) * (_MIX[k] ^ (ids[k:k + n].astype(np.uint64) << np.uint64(32)))
-    order = np.sort(mixed)
-    twice = order[1:][order[1:] == order[:-1]]
-    if not len(twice):
+    # Equal windows get equal ranks: those of pairs of ranks of shorter windows.
+    ranks, length = np.unique(ids, return_inverse=True)[1].astype(np.int64), 1
+    while length < window:
+        step = min(length, window - length)
+        pairs = ranks[:-step] * len(ids) + ranks[step:]
+        ranks = np.unique(pairs, return_inverse=True)[1]
+        length += step
+    hit = np.flatnonzero(np.bincount(ranks)[ranks] > 1)
+    if not len(hit):
         return 0
     edge = np.zeros(len(ids) + 1, np.int64)
-    hit = np.flatnonzero(np.isin(mixed, twice))
     np.add.at(edge, hit, 1)
     np.add.at(edge, hit + window, -1)
     return int((np.cumsum(edge[:-1]) > 0).sum())

@@ -188,6 +188,14 @@ def test_quality_counts(text):
     assert quality.statistics(text.encode())[0] == plain_counts(text)
 
 
+def test_repeated_windows_of_few_distinct_words():
+    random = np.random.default_rng(7)
+    for distinct, n in ((10, 8_000), (10, 8_000), (10, 8_000), (5, 400), (16, 20_000), (2, 40)):
+        text = " ".join(f"w{k}" for k in random.integers(0, distinct, n))
+        assert quality.statistics(text.encode())[0] == plain_counts(text)
+    assert quality.repeated_words(np.array([5, 6, 5, 7]), 1) == 2 and quality.repeated_words(np.array([5, 6, 7, 5, 6, 7]), 3) == 6
+
+
 def test_op3_rows(spark, documents):
     got = {r["doc_id"]: r for r in registry.op3_quality(spark, SMALL).collect()}
     assert len(got) == len(documents)
