@@ -9,13 +9,16 @@ from proxyspark.llm import (
     decontaminate,
     extract,
     langid,
+    merkle,
     minhash,
     packing,
     quality,
     secret_scan,
     substrings,
     tokenfiles,
+    topk,
     warc,
+    whitening,
 )
 from proxyspark.llm.common import table
 
@@ -71,9 +74,22 @@ def op10_extract(spark, sf_dir):
     return extract.extract(table(spark, sf_dir, "pages"))
 
 
+def op11_merkle(spark, sf_dir):
+    return merkle.verify(table(spark, sf_dir, "documents"))
+
+
+def op12_whitening(spark, sf_dir):
+    return whitening.whiten(table(spark, sf_dir, "embeddings"))
+
+
+def op13_topk(spark, sf_dir):
+    vectors = table(spark, sf_dir, "embeddings")
+    return topk.top_k(vectors, vectors.where(F.col("vec_id") % 50 == 0)).select("query_id", "rank", "vec_id", "score")
+
+
 QUERIES = {f.__name__: f for f in (
     op1_minhash, op2_langid, op3_quality, op4_packing, op5_secrets, op6_substrings, op7_warc, op8_tokenfiles,
-    op9_decontaminate, op10_extract)}
+    op9_decontaminate, op10_extract, op11_merkle, op12_whitening, op13_topk)}
 
 SQL = {
     "op7_warc": """
@@ -84,4 +100,11 @@ SQL = {
                CASE WHEN last IS NULL OR last = page_id THEN 'response' ELSE 'revisit' END AS record_type,
                CASE WHEN last <> page_id THEN last END AS refers_to
         FROM p LEFT JOIN r USING (payload_digest)""",
+    "op13_topk": """
+        WITH v AS (SELECT vec_id, list_transform(embedding, lambda c: floor(256 * c::DOUBLE)) AS x FROM embeddings
+                   WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda c: c IS NULL OR NOT isfinite(c))) = 0),
+             s AS (SELECT q.vec_id AS query_id, c.vec_id, list_inner_product(q.x, c.x)::BIGINT AS score
+                   FROM v q JOIN v c ON q.vec_id % 50 = 0 AND c.vec_id <> q.vec_id),
+             r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INT AS rank FROM s)
+        SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 5""",
 }
