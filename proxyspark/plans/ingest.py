@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from proxyspark.operators.rollups import all_rollups, status_rollups
 from proxyspark.session import pin
-from proxyspark.sources import logs, tables
+from proxyspark.sources import logs, tables, versions
 
 
 _OWNER = ["upload_id", "org_id", "user_id"]
@@ -20,17 +20,16 @@ def with_owner(files: DataFrame, org_id: str, user_id: str) -> DataFrame:
 
 
 def ingest_lines(spark: SparkSession, lines: DataFrame, root: str, org_id: str, user_id: str, now: datetime,
-                 run: str, buckets: int = tables.BUCKETS) -> tuple[DataFrame, DataFrame]:
+                 run: str, buckets: int = tables.BUCKETS) -> tuple[DataFrame, DataFrame, str]:
     """Parse scanned lines into the tables under ``root``.
 
     The raw text is read once, into the archive; everything after reads the
     archive, so line numbers and retries see the same lines. Rows and rollups
-    are written before the manifest. Returns (upload ids, rejected files).
+    are written before the manifest. Returns (upload ids, rejected files, version).
 
-    Uploads are noted in ``begun`` before their first row is written. Old rows
-    are only looked for under uploads noted earlier, and the rows just written
-    are read back by their months and buckets: new uploads never make a batch
-    read the history.
+    All of it goes into one new version, which becomes visible in a single step:
+    readers of ``versions.read_committed`` see an upload's old rows until then and
+    its new ones after. New uploads never make a batch read the history.
     """
     pin(spark)
     archive, starts, listing, places = (
@@ -47,22 +46,33 @@ def ingest_lines(spark: SparkSession, lines: DataFrame, root: str, org_id: str,
     offsets = spark.read.parquet(places)
     accepted = headers.where(F.col("format").isNotNull())
     ids = accepted.select("upload_id")
-    again = f"{root}/archive_again/run={run}"
-    tables.noted_before(spark, f"{root}/begun", ids).write.mode("overwrite").parquet(again)
-    old = spark.read.schema("upload_id string").parquet(again)
-    ids.write.mode("append").parquet(f"{root}/begun")
     entries = logs.normalize_logs(logs.number_lines(raw, offsets), headers, now)
-    written = tables.replace_rows(entries, f"{root}/entries", "entries", "upload_id", old, buckets)
-
-    stored = tables.in_layout(spark.read.parquet(f"{root}/entries"), written).join(ids, "upload_id", "left_semi")
-    tables.upsert_rollups(all_rollups(stored), f"{root}/entry_rollups", "entry_rollups", old, buckets)
-    tables.upsert_rollups(status_rollups(stored), f"{root}/status_rollups", "status_rollups", old, buckets)
     named = accepted.select(
         *_OWNER, F.element_at(F.split("file", "/"), -1).alias("filename"), "byte_size", "format", stamp.alias("created_at"),
         logs.object_key(F.col("org_id"), F.col("user_id"), stamp, F.col("upload_id")).alias("object_key"))
-    manifest = logs.upload_manifest(stored, named)
-    tables.replace_rows(manifest, f"{root}/uploads", "uploads", "id", old.select(F.col("upload_id").alias("id")), buckets)
-    return ids, logs.rejected_files(headers)
+    version = store(spark, root, entries, named, versions.new_version(run), buckets)
+    return ids, logs.rejected_files(headers), version
+
+
+def store(spark: SparkSession, root: str, entries: DataFrame, files: DataFrame, version: str,
+          buckets: int = tables.BUCKETS) -> str:
+    """Entries of some uploads, their rollups and their manifest as one version.
+
+    ``files`` is what ``logs.upload_manifest`` takes, a row per upload. Uploads that
+    were there before are replaced in all tables at once.
+    """
+    versions.write_version(entries, root, "entries", version, buckets)
+    stored = versions.read_version(spark, root, "entries", version)
+    # Uploads without a single row still have a manifest row.
+    stored = entries.where(F.lit(False)) if stored is None else stored
+    versions.write_version(all_rollups(stored), root, "entry_rollups", version, buckets)
+    versions.write_version(status_rollups(stored), root, "status_rollups", version, buckets)
+    manifest = logs.upload_manifest(stored, files)
+    versions.write_version(manifest, root, "uploads", version, buckets)
+    written = versions.read_version(spark, root, "uploads", version)
+    if written is not None:
+        versions.publish(spark, root, written.select(F.col("id").alias("upload_id")), version, buckets)
+    return version
 
 
 def ingest_files(spark: SparkSession, source, root: str, org_id: str, user_id: str, now: datetime,

@@ -12,9 +12,8 @@ does that.
 
 from functools import reduce
 
-from py4j.protocol import Py4JJavaError
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, Observation, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -73,31 +72,6 @@ def _write(df: DataFrame, path: str, kind: str, mode: str, dynamic: bool = False
     out.partitionBy(*parts).parquet(path)
 
 
-def _append(df: DataFrame, path: str, kind: str) -> dict[str, list]:
-    """Appends, and notes in the same pass the partition values written: at
-    most one per month, grain or bucket. Nothing is noted where Spark finds the
-    rows empty while it plans."""
-    parts, seen = LAYOUT[kind][0], Observation()
-    _write(df.observe(seen, *[F.collect_set(F.col(p).cast("string")).alias(p) for p in parts]), path, kind, "append")
-    try:
-        return {p: sorted(v) for p, v in seen.get.items()}
-    except Py4JJavaError:  # an observation whose plan was dropped has no row
-        return {}
-
-
-def in_layout(stored: DataFrame, written: dict[str, list]) -> DataFrame:
-    """Only the folders a write touched; with nothing noted, all of them."""
-    for part, values in written.items():
-        stored = stored.where(F.col(part).isin([int(v) for v in values] if part == "bucket" else values))
-    return stored
-
-
-def noted_before(spark: SparkSession, path: str, ids: DataFrame) -> DataFrame:
-    """Those of ``ids`` that an earlier job noted under ``path``."""
-    noted = read_if_present(spark, path)
-    return ids.where(F.lit(False)) if noted is None else ids.join(noted.distinct(), ids.columns, "left_semi")
-
-
 def write_entries(entries: DataFrame, path: str, buckets: int = BUCKETS, mode: str = "append") -> None:
     """Append canonical entries; rows without a time go to month 'none'."""
     _write(with_layout(entries, "entries", buckets), path, "entries", mode)
@@ -210,22 +184,17 @@ def delete_keys(spark: SparkSession, path: str, kind: str, keys: DataFrame, buck
 
 
 def replace_rows(df: DataFrame, path: str, kind: str, key: str, keys: DataFrame | None = None,
-                 buckets: int = BUCKETS) -> dict[str, list]:
+                 buckets: int = BUCKETS) -> None:
     """Replace all stored rows of the keys in ``df``; other keys are kept.
 
     Old rows go first, then the new ones are appended, so partitions that only
     receive rows are not rewritten. Running it again changes nothing. ``keys``
     names the keys that may have old rows, where that is cheaper than deriving
-    them from ``df``. Returns the partition values written.
+    them from ``df``. Between the two writes a key shows no rows: tables that must
+    never do so are written as versions (``versions.publish``).
     """
     delete_keys(df.sparkSession, path, kind, (keys if keys is not None else df).select(key), buckets)
-    return _append(with_layout(df, kind, buckets), path, kind)
-
-
-def upsert_rollups(rollups: DataFrame, path: str, kind: str = "entry_rollups", keys: DataFrame | None = None,
-                   buckets: int = BUCKETS) -> None:
-    """Store rollups; an upload's earlier rollups are overwritten, not doubled."""
-    replace_rows(rollups, path, kind, "upload_id", keys, buckets)
+    _write(with_layout(df, kind, buckets), path, kind, "append")
 
 
 def save_findings(findings: DataFrame, path: str, buckets: int = BUCKETS) -> None:
@@ -243,36 +212,45 @@ def committed(df: DataFrame, manifest: DataFrame) -> DataFrame:
     return df.join(manifest.select(F.col("id").alias("upload_id")), "upload_id", "left_semi")
 
 
-def erase_uploads(spark: SparkSession, root: str, ids: DataFrame, org_id: str) -> DataFrame:
+def erase_uploads(spark: SparkSession, root: str, ids: DataFrame, org_id: str, buckets: int | None = None) -> DataFrame:
     """Remove uploads of one organization everywhere; counts per table.
 
     ``ids`` has upload_id. Ids of other organizations erase nothing. With the
     uploads go their entries, rollups, cited rows and grants, their runs with
     findings, vectors, timings and status (a run is named in ``analyses`` or by
-    the upload itself), and the archived text. Only the bare ids stay in
-    ``begun``. The tables that lead to others go after them and the manifest
-    goes last, so an interrupted erasure can simply be repeated.
+    the upload itself), and the archived text. The tables that lead to others go
+    after them and the manifest goes last, so an interrupted erasure can simply be
+    repeated. ``buckets``, the number the tables are written with, keeps the search
+    for rows out of other buckets' folders; versioned tables know theirs.
     """
+    from proxyspark.sources import versions  # builds on this module
+
     uploads = read_if_present(spark, f"{root}/uploads")
     if uploads is None:
         return spark.createDataFrame([], "table_name string, erased long")
     mine = (
         uploads.where(F.col("org_id") == F.lit(org_id)).select(F.col("id").alias("upload_id"))
-        .join(ids.select("upload_id").distinct(), "upload_id", "left_semi")
+        .join(ids.select("upload_id").distinct(), "upload_id", "left_semi").distinct()
     )
     analyses = read_if_present(spark, f"{root}/analyses")
     runs = mine.select(F.col("upload_id").alias("analysis_id"))
     if analyses is not None:
         runs = runs.unionByName(analyses.join(mine, "upload_id", "left_semi").select(F.col("id").alias("analysis_id")))
+    versioned = versions.VERSIONED if versions.pointer(spark, root) is not None else ()
     counts = [
-        (kind, delete_keys(spark, f"{root}/{kind}", kind, keys))
+        (kind, delete_keys(spark, f"{root}/{kind}", kind, keys, buckets))
         for keys, kinds in (
             (mine, ("entries", "entry_rollups", "status_rollups", "bridge", "grants")),
             (runs, ("findings", "vectors", "timings", "status")), (mine, ("analyses",)))
-        for kind in kinds
+        for kind in kinds if kind not in versioned
     ]
     counts += _erase_archived(spark, root, mine)
-    counts.append(("uploads", delete_keys(spark, f"{root}/uploads", "uploads", mine.select(F.col("upload_id").alias("id")))))
+    if versioned:
+        # Counted and named before the manifest, where ``mine`` comes from, is cut.
+        counts += versions.count_rows(spark, root, mine)
+        versions.retire(spark, root, spark.createDataFrame(mine.collect(), mine.schema), buckets)
+    else:
+        counts.append(("uploads", delete_keys(spark, f"{root}/uploads", "uploads", mine.select(F.col("upload_id").alias("id")), buckets)))
     return spark.createDataFrame(counts, "table_name string, erased long")
 
 

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from proxyspark.operators.detectors import detect_all
 from proxyspark.operators.findings import findings_from_candidates
 from proxyspark.plans.ingest import ingest_lines
-from proxyspark.sources import logs, tables
+from proxyspark.sources import logs, tables, versions
 
 
 def _utc_now() -> datetime:
@@ -35,16 +35,23 @@ def stream_ingest(spark: SparkSession, source: str, root: str, checkpoint: str,
 
     def batch(df: DataFrame, batch_id: int) -> None:
         placed = df.withColumn("pos", F.monotonically_increasing_id())
-        ids, _ = ingest_lines(df.sparkSession, placed, root, org_id, user_id, clock(), f"batch-{batch_id}", buckets=buckets)
+        ids, _, version = ingest_lines(df.sparkSession, placed, root, org_id, user_id, clock(), f"batch-{batch_id}", buckets=buckets)
         if analyse:
-            rescore(df.sparkSession, root, ids, buckets)
+            rescore(df.sparkSession, root, ids, buckets, version)
 
     return lines.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint)
 
 
-def rescore(spark: SparkSession, root: str, ids: DataFrame, buckets: int = tables.BUCKETS) -> None:
-    """Score the given uploads from stored entries and replace their findings."""
-    entries = spark.read.parquet(f"{root}/entries").join(ids, "upload_id", "left_semi")
-    found = findings_from_candidates(detect_all(entries)).withColumn("analysis_id", F.col("upload_id"))
+def rescore(spark: SparkSession, root: str, ids: DataFrame, buckets: int = tables.BUCKETS, version: str | None = None) -> None:
+    """Score the given uploads from stored entries and replace their findings.
+
+    Only the folders that the pointer names for these uploads are read; with
+    ``version``, that of the batch which wrote them, only its own.
+    """
+    entries = versions.read_committed(spark, root, "entries", ids) if version is None else versions.read_version(
+        spark, root, "entries", version)
+    if entries is None:
+        return
+    found = findings_from_candidates(detect_all(entries.join(ids, "upload_id", "left_semi"))).withColumn("analysis_id", F.col("upload_id"))
     tables.replace_rows(found, f"{root}/findings", "findings", "analysis_id",
                         ids.select(F.col("upload_id").alias("analysis_id")), buckets)
