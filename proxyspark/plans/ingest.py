@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from proxyspark.operators.rollups import all_rollups, status_rollups
 from proxyspark.session import pin
-from proxyspark.sources import logs, tables, versions
+from proxyspark.sources import logs, records, tables, versions
 
 
 _OWNER = ["upload_id", "org_id", "user_id"]
@@ -36,17 +36,24 @@ def ingest_lines(spark: SparkSession, lines: DataFrame, root: str, org_id: str,
         f"{root}/{t}/run={run}" for t in ("archive", "archive_starts", "archive_files", "archive_splits"))
     tables.archive_raw(lines, archive, "overwrite")
     raw = spark.read.parquet(archive)
+    text = raw.where(F.length("value") > 0)
     stamp = F.lit(str(now)).cast("timestamp")
     # One small row per file, written once: every later step starts from it.
-    logs.header_places(raw).write.mode("overwrite").parquet(starts)
-    found = logs.detect_format(logs.file_headers(raw, spark.read.parquet(starts)))
-    with_owner(found, org_id, user_id).write.mode("overwrite").parquet(listing)
+    logs.header_places(text).write.mode("overwrite").parquet(starts)
+    found = logs.detect_format(logs.file_headers(text, spark.read.parquet(starts)))
+    with_owner(found, org_id, user_id).withColumn("created_at", stamp).write.mode("overwrite").parquet(listing)
     headers = spark.read.parquet(listing)
-    logs.split_offsets(raw).write.mode("overwrite").parquet(places)
-    offsets = spark.read.parquet(places)
+    records.with_numbers(records.places(raw, headers)).write.mode("overwrite").parquet(places)
+
+    def interim(df: DataFrame, name: str) -> DataFrame:
+        path = f"{root}/interim/run={run}/{name}"
+        df.write.mode("overwrite").parquet(path)
+        return spark.read.schema(df.schema).parquet(path)
+
+    lined = records.records(raw, headers, spark.read.parquet(places), interim)
     accepted = headers.where(F.col("format").isNotNull())
     ids = accepted.select("upload_id")
-    entries = logs.normalize_logs(logs.number_lines(raw, offsets), headers, now)
+    entries = logs.normalize_logs(lined, headers, now)
     named = accepted.select(
         *_OWNER, F.element_at(F.split("file", "/"), -1).alias("filename"), "byte_size", "format", stamp.alias("created_at"),
         logs.object_key(F.col("org_id"), F.col("user_id"), stamp, F.col("upload_id")).alias("object_key"))
@@ -78,12 +85,41 @@ def store(spark: SparkSession, root: str, entries: DataFrame, files: DataFrame,
 def ingest_files(spark: SparkSession, source, root: str, org_id: str, user_id: str, now: datetime,
                  run: str, buckets: int = tables.BUCKETS) -> DataFrame:
     """Ingest every log file below ``source``; returns the rejected files."""
-    scanned = logs.scan_logs(spark, source)
+    scanned = logs.scan_logs(spark, source, blank=True)
     return ingest_lines(spark, scanned, root, org_id, user_id, now, run, buckets)[1]
 
 
 def reparse(spark: SparkSession, archive: str, now: datetime, owners: DataFrame | None = None) -> DataFrame:
     """Entries again, from archived raw lines."""
-    raw = spark.read.parquet(archive)
-    headers = logs.detect_format(logs.file_headers(raw))
-    return logs.normalize_logs(logs.number_lines(raw), headers, now, owners=owners)
+    return _parsed(spark.read.parquet(archive), now, owners)
+
+
+def _parsed(raw: DataFrame, now: datetime, owners: DataFrame | None) -> DataFrame:
+    headers = logs.detect_format(logs.file_headers(raw.where(F.length("value") > 0)))
+    found = records.with_numbers(records.places(raw, headers))
+    return logs.normalize_logs(records.records(raw, headers, found), headers, now, owners=owners)
+
+
+def archived_lines(spark: SparkSession, root: str, key: str) -> DataFrame:
+    """The raw lines stored for one upload, by the ``object_key`` of its manifest row.
+
+    The manifest names the upload, the archive's listing the run and the file; only
+    that run's folder is read, and only row groups that hold the file.
+    """
+    upload = versions.read_committed(spark, root, "uploads").where(F.col("object_key") == F.lit(key)).select(F.col("id").alias("upload_id"))
+    listing = spark.read.parquet(f"{root}/archive_files").withColumn("run", F.col("run").cast("string"))
+    # The newest run that brought the upload: one row.
+    at = listing.join(upload, "upload_id", "left_semi").groupBy("upload_id", "org_id", "user_id").agg(
+        F.max_by(F.struct("run", "file"), F.struct("created_at", "run")).alias("at")).first()
+    if at is None:
+        raise KeyError(f"no upload is stored as {key}")
+    lines = spark.read.parquet(f"{root}/archive/run={at['at']['run']}")
+    return lines.where(F.col("file") == F.lit(at["at"]["file"])).withColumns({
+        c: F.lit(at[c]) for c in _OWNER})
+
+
+def reparse_upload(spark: SparkSession, root: str, key: str, now: datetime) -> DataFrame:
+    """One upload's entries again, from what is archived under its ``object_key``."""
+    raw = archived_lines(spark, root, key)
+    owners = raw.select("file", *_OWNER).limit(1)
+    return _parsed(raw.drop(*_OWNER), now, owners)

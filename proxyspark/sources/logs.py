@@ -1,7 +1,7 @@
 """Delimited proxy logs to canonical entries, keeping every line.
 
 A file is split over many tasks, so nothing here assumes a task sees a whole
-file: lines are numbered from per-split counts, and each file's header becomes
+file: lines become records in ``records``, are numbered from per-split counts, and each file's header becomes
 one small row of column positions joined to its lines.
 """
 
@@ -18,8 +18,9 @@ _FIELDS = list(fixed.FIELD_ALIASES)
 _DELIMITERS = {",": ",", "\t": "\t", "|": r"\|"}
 
 
-def scan_logs(spark: SparkSession, path) -> DataFrame:
-    """Lines of every allowed file below ``path``, blank lines left out.
+def scan_logs(spark: SparkSession, path, blank: bool = False) -> DataFrame:
+    """Lines of every allowed file below ``path``, blank lines left out unless
+    ``blank`` asks for them, as ``records.records`` does.
 
     ``split_start`` and ``pos`` give a line's place: the byte where its input
     split begins and a number that grows by one within a split. They are only
@@ -27,8 +28,8 @@ def scan_logs(spark: SparkSession, path) -> DataFrame:
     numbering lines of large inputs.
     """
     lines = spark.read.option("recursiveFileLookup", "true").text(path)
-    kept = lines.where(allowed_name(F.col("_metadata.file_path")) & (F.length("value") > 0))
-    return kept.select(
+    allowed = allowed_name(F.col("_metadata.file_path"))
+    return lines.where(allowed if blank else allowed & (F.length("value") > 0)).select(
         F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_size").alias("file_size"),
         F.col("_metadata.file_block_start").alias("split_start"),
         F.monotonically_increasing_id().alias("pos"), "value",

@@ -28,7 +28,7 @@ def stream_ingest(spark: SparkSession, source: str, root: str, checkpoint: str,
     lines = (
         spark.readStream.option("recursiveFileLookup", "true").option("maxFilesPerTrigger", files_per_batch)
         .text(source)
-        .where(logs.allowed_name(F.col("_metadata.file_path")) & (F.length("value") > 0))
+        .where(logs.allowed_name(F.col("_metadata.file_path")))
         .select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_size").alias("file_size"),
                 F.col("_metadata.file_block_start").alias("split_start"), "value")
     )
