@@ -41,7 +41,12 @@ def entry_rollups(entries: DataFrame, grain: str) -> DataFrame:
     """Traffic per (owner, upload, host, minute or hour) with exact percentiles."""
     if grain not in fixed.GRAINS:
         raise ValueError(f"unknown grain {grain!r}")
-    cells = _cells(entries)
+    return rollups_of_cells(_cells(entries), grain)
+
+
+def rollups_of_cells(cells: DataFrame, grain: str) -> DataFrame:
+    """Rollups of minute cells split by latency value; cells of one key and value may
+    be spread over several rows, as different batches brought them."""
     if grain == "hour":
         cells = (
             cells.withColumn("bucket_start", F.date_trunc("hour", "bucket_start"))

@@ -1,8 +1,10 @@
 """Stateful streams: alert transitions, heartbeat timeouts, login throttling.
 
-State is per key and small (a flag, an instant, a counter). A micro-batch's
-rows of one key are put in time order before the state advances; bound the
-micro-batch with the source's per-trigger limits.
+Alerts and heartbeats are judged in event time: a key's rows wait in list state until
+the watermark has passed them, and a timer releases them in order, so the outcome does
+not depend on which micro-batch brought a row. What waits is bounded by the watermark's
+delay. Sign-ins are put in time order per micro-batch; bound it with the source's
+per-trigger limits.
 """
 
 import sys
@@ -48,74 +50,132 @@ def _reset_timer(handle, at_millis: int | None = None) -> None:
         handle.registerTimer(at_millis)
 
 
-class _AlertState(StatefulProcessor):
+class _InOrder(StatefulProcessor):
+    """Holds rows (at, and whatever a subclass reads) until the watermark passed them.
+
+    ``step`` takes a due row and gives output rows; ``idle`` is called when all due rows
+    are done and may ask for a later look, in microseconds.
+    """
+
+    held_schema: str
+    columns: list
+
     def init(self, handle):
-        self.firing = handle.getValueState("firing", "firing boolean")
+        self.handle = handle
+        self.held = handle.getListState("held", self.held_schema)
+        self.open_state(handle)
 
     def handleInputRows(self, key, rows, timerValues):
-        frame = _in_order(rows, "window_start")
-        firing = bool(self.firing.get()[0]) if self.firing.exists() else False
+        first = None
+        for frame in rows:
+            batch = self.rows_of(frame)
+            self.held.appendList(batch)
+            first = min([r[0] for r in batch] + ([first] if first is not None else []))
+        # A timer stands for the first row that waits; an earlier row moves it up.
+        known = [t[0] if isinstance(t, (tuple, list)) else t for t in self.handle.listTimers()]
+        due = _due_millis(first)
+        if not known or due < min(known):
+            _reset_timer(self.handle, due)
+        yield pd.DataFrame([], columns=self.columns)
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
+        now = timerValues.getCurrentWatermarkInMs() * 1000
+        rows = sorted(self.held.get()) if self.held.exists() else []
+        due, later = [r for r in rows if r[0] <= now], [r for r in rows if r[0] > now]
+        if later:
+            self.held.put(later)
+        else:
+            self.held.clear()
         out = []
-        for at, breached, value in zip(frame["window_start"], frame["breached"], frame["value"]):
-            if bool(breached) != firing:
-                firing = bool(breached)
-                out.append((at, key[0], "firing" if firing else "resolved", value))
-        self.firing.update((firing,))
-        yield pd.DataFrame(out, columns=["window_start", "alert", "state", "value"])
+        for row in due:
+            out += self.step(key, row)
+        more, look = self.idle(key, now)
+        waits = [_due_millis(later[0][0])] if later else []
+        _reset_timer(self.handle, min(waits + ([look // 1000] if look is not None else []), default=None))
+        yield pd.DataFrame(out + more, columns=self.columns)
 
     def close(self):
         pass
 
 
-def alert_transitions(checks: DataFrame) -> DataFrame:
+def _due_millis(at: int) -> int:
+    """Timers fire once the watermark is beyond them: this one when it reaches ``at``."""
+    return -(-at // 1000) - 1
+
+
+class _AlertState(_InOrder):
+    held_schema = "at long, breached boolean, value double"
+    columns = ["window_start", "alert", "state", "value"]
+
+    def open_state(self, handle):
+        self.firing = handle.getValueState("firing", "firing boolean")
+
+    def rows_of(self, frame):
+        return [(_micros(at), bool(b), float(v)) for at, b, v in zip(frame["window_start"], frame["breached"], frame["value"])]
+
+    def step(self, key, row):
+        at, breached, value = row
+        firing = bool(self.firing.get()[0]) if self.firing.exists() else False
+        if breached == firing:
+            return []
+        self.firing.update((breached,))
+        return [(_stamp(at), key[0], "firing" if breached else "resolved", value)]
+
+    def idle(self, key, now):
+        return [], None
+
+
+def alert_transitions(checks: DataFrame, watermark: str = "0 seconds") -> DataFrame:
     """Firing and resolved changes from a stream of threshold checks
-    (window_start, alert, value, breached)."""
-    return keep_state_on_disk(checks).groupBy("alert").transformWithStateInPandas(
+    (window_start, alert, value, breached), in the order of their windows.
+
+    A check is judged once the watermark has reached its window: checks may come up to
+    ``watermark`` later than the newest one, in any order and any micro-batch.
+    """
+    return keep_state_on_disk(checks).select("window_start", "alert", "value", "breached").withWatermark(
+        "window_start", watermark).groupBy("alert").transformWithStateInPandas(
         statefulProcessor=_AlertState(),
         outputStructType="window_start timestamp, alert string, state string, value double",
-        outputMode="Append", timeMode="None")
+        outputMode="Append", timeMode="EventTime")
+
 
+class _Heartbeat(_InOrder):
+    held_schema = "at long, status string"
+    columns = ["analysis_id", "last_seen", "status"]
 
-class _Heartbeat(StatefulProcessor):
     def __init__(self, seconds: int):
-        self.seconds = seconds
+        self.silence = seconds * 1_000_000
 
-    def init(self, handle):
-        self.handle = handle
+    def open_state(self, handle):
         self.last = handle.getValueState("last", "at long")
 
-    def handleInputRows(self, key, rows, timerValues):
+    def rows_of(self, frame):
+        return [(_micros(at), status) for at, status in zip(frame["ts"], frame["status"])]
+
+    def step(self, key, row):
+        at, status = row
         last = self.last.get()[0] if self.last.exists() else None
-        frame = _in_order(rows, "ts")
-        out = []
-        for ts, status in zip(frame["ts"], frame["status"]):
-            at = _micros(ts)
-            # A silence inside the batch counts like one between batches.
-            if last is not None and at - last > self.seconds * 1_000_000:
-                out.append((key[0], _stamp(last), "queued"))
-                last = None
-            last = max(at, last or at) if status == "running" else None
-        if last is not None:
-            self.last.update((last,))
-            _reset_timer(self.handle, last // 1000 + self.seconds * 1000)
+        if status == "running":
+            self.last.update((at,))
         else:
             self.last.clear()
-            _reset_timer(self.handle)
-        yield pd.DataFrame(out, columns=["analysis_id", "last_seen", "status"])
-
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
-        if self.last.exists():
-            yield pd.DataFrame(
-                [(key[0], _stamp(self.last.get()[0]), "queued")], columns=["analysis_id", "last_seen", "status"])
-            self.last.clear()
+        return [(key[0], _stamp(last), "queued")] if last is not None and at - last > self.silence else []
 
-    def close(self):
-        pass
+    def idle(self, key, now):
+        """Nothing waits that is due: has the run been silent for too long by now?"""
+        if not self.last.exists():
+            return [], None
+        last = self.last.get()[0]
+        if now - last <= self.silence:
+            return [], last + self.silence
+        self.last.clear()
+        return [(key[0], _stamp(last), "queued")], None
 
 
 def heartbeat_timeouts(beats: DataFrame, seconds: int = fixed.STALE_SECONDS, watermark: str = "1 minute") -> DataFrame:
     """Runs to queue again: running, and silent for longer than ``seconds`` of
-    event time. ``beats`` has analysis_id, ts, status."""
+    event time. ``beats`` has analysis_id, ts, status; they may come up to
+    ``watermark`` late, in any order and any micro-batch."""
     return keep_state_on_disk(beats).select("analysis_id", "ts", "status").withWatermark("ts", watermark).groupBy(
         "analysis_id").transformWithStateInPandas(
         statefulProcessor=_Heartbeat(seconds),
