@@ -8,6 +8,7 @@ traffic so that every detector has something to find. ``up1`` stays benign.
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from proxyspark.session import pin, shared_dir
 from proxyspark.sources import tables
@@ -206,10 +207,43 @@ def stored_entries(spark: SparkSession, sf_dir: str) -> DataFrame:
         load(spark, sf_dir, "log_entries"), path, buckets=4))
 
 
-def run_stream(spark: SparkSession, sf_dir: str, name: str, source: DataFrame, build) -> DataFrame:
+def stored_root(spark: SparkSession, sf_dir: str) -> str:
+    """``log_entries`` ingested as versioned tables; the root they lie under."""
+    from proxyspark.plans import ingest  # builds on the tables' module
+
+    key = (spark.sparkContext.applicationId, sf_dir, "root")
+    if key not in _STORED:
+        root = scratch(spark, "root")
+        entries = stored_entries(spark, sf_dir)
+        ingest.store(spark, root, entries, manifest_of(entries), "first", 4)
+        _STORED[key] = root
+    return _STORED[key]
+
+
+def manifest_of(entries: DataFrame) -> DataFrame:
+    """What a job knows of the files behind some entries."""
+    return entries.groupBy("upload_id", "org_id", "user_id").agg(
+        F.min("ts").alias("created_at"), F.sum(F.length("raw") + 1).alias("byte_size")).select(
+        "upload_id", "org_id", "user_id", F.concat("upload_id", F.lit(".log")).alias("filename"), "byte_size",
+        F.lit("nss_web").alias("format"), F.concat_ws("/", "org_id", "user_id", "upload_id").alias("object_key"), "created_at")
+
+
+def run_stream(spark: SparkSession, sf_dir: str, name: str, source: DataFrame, build,
+               batches: int = 0, closing: DataFrame | None = None) -> DataFrame:
     """Write ``source`` as files, run the stream ``build`` makes of them until
-    nothing is left, and read what it wrote."""
-    feed = stored(spark, sf_dir, f"{name}_feed", lambda path: source.write.parquet(path))
+    nothing is left, and read what it wrote.
+
+    With ``batches`` the rows are dealt at random over so many files, each a
+    micro-batch of its own, and ``closing`` comes last.
+    """
+    def fill(path):
+        if not batches:
+            source.write.parquet(path)
+            return
+        source.repartition(batches, F.rand(7)).write.parquet(path)
+        closing.coalesce(1).write.mode("append").parquet(path)
+
+    feed = stored(spark, sf_dir, f"{name}_feed", fill)
 
     def run(path):
         # One state store per shuffle partition, and no more than there are cores.
@@ -217,7 +251,8 @@ def run_stream(spark: SparkSession, sf_dir: str, name: str, source: DataFrame, b
         spark.conf.set("spark.sql.shuffle.partitions", str(min(int(usual), spark.sparkContext.defaultParallelism)))
         try:
             place = _STORED[(spark.sparkContext.applicationId, sf_dir, f"{name}_feed")]
-            files = spark.readStream.schema(feed.schema).parquet(place)
+            reader = spark.readStream.schema(feed.schema)
+            files = (reader.option("maxFilesPerTrigger", 1) if batches else reader).parquet(place)
             run_available(build(files), path, f"{path}_checkpoint")
         finally:
             spark.conf.set("spark.sql.shuffle.partitions", usual)

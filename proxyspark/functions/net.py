@@ -91,6 +91,21 @@ def ip_v6_key(ip: Column) -> Column:
     return F.when(F.contains(ip, F.lit(":")), F.unhex(padded))
 
 
+def ip_key(ip: Column) -> Column:
+    """One key for both families that sorts as addresses do, v4 first: the family's
+    number, then the address's bytes. A zone suffix has no part in it."""
+    v4 = F.concat(F.lit("04"), F.lpad(F.hex(_v4_number(ip)), 8, "0"))
+    return F.when(ip.rlike(rf"^{_V4}$"), F.unhex(v4)).when(
+        F.contains(ip, F.lit(":")), F.concat(F.unhex(F.lit("06")), ip_v6_key(ip)))
+
+
+def key_in_cidr(key: Column, cidr: str) -> Column:
+    """A range of ``ip_key`` values, which a stored key lets the scan test."""
+    net = ipaddress.ip_network(cidr, strict=False)
+    low, high = (bytearray(bytes([net.version]) + a.packed) for a in (net.network_address, net.broadcast_address))
+    return (key >= F.lit(low)) & (key <= F.lit(high))
+
+
 def ip_in_cidr(ip: Column, cidr: str) -> Column:
     """True when ``ip`` lies in ``cidr``; a range test on the sortable key."""
     net = ipaddress.ip_network(cidr, strict=False)

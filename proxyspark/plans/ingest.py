@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from proxyspark.operators.rollups import all_rollups, status_rollups
+from proxyspark.operators.sketches import latency_sketches
 from proxyspark.session import pin
 from proxyspark.sources import logs, records, tables, versions
 
@@ -74,6 +75,7 @@ def store(spark: SparkSession, root: str, entries: DataFrame, files: DataFrame,
     stored = entries.where(F.lit(False)) if stored is None else stored
     versions.write_version(all_rollups(stored), root, "entry_rollups", version, buckets)
     versions.write_version(status_rollups(stored), root, "status_rollups", version, buckets)
+    versions.write_version(latency_sketches(stored), root, "latency_sketches", version, buckets)
     manifest = logs.upload_manifest(stored, files)
     versions.write_version(manifest, root, "uploads", version, buckets)
     written = versions.read_version(spark, root, "uploads", version)

@@ -589,3 +589,44 @@ FROM (SELECT {_FILE} AS f, CASE user_id % 3 WHEN 0 THEN 61 WHEN 1 THEN 55 ELSE 6
     CASE WHEN k % 9 = 0 THEN '-' ELSE CAST(k * 10 - 50 AS VARCHAR) || '.75' END AS size_text
     FROM (SELECT *, {_K} AS k FROM events)))
 GROUP BY 1"""
+
+# --- event time, versions and stored tables -----------------------------------------------------
+SQL["alert_transitions_shuffled"] = SQL["alert_changes"]
+SQL["heartbeat_timeouts_shuffled"] = with_views(f"""
+SELECT account AS analysis_id, {_ts('ts', 'last_seen')}, 'queued' AS status FROM (
+  SELECT account, ts, success, lead(ts) OVER (PARTITION BY account ORDER BY ts, success DESC) AS following FROM auth_events)
+WHERE NOT success AND (following IS NULL OR following - ts > INTERVAL 300 SECOND)""", "auth_events")
+SQL["live_rollups"] = SQL["entry_rollups_minute"]
+_COUNTED = """
+SELECT upload_id, 'entries' AS table_name, count(*) AS rows FROM e GROUP BY 1
+UNION ALL SELECT upload_id, 'entry_rollups', count(DISTINCT (coalesce(host, ''), date_trunc('minute', ts))) + count(DISTINCT (coalesce(host, ''), date_trunc('hour', ts)))
+  FROM e WHERE ts IS NOT NULL GROUP BY 1
+UNION ALL SELECT upload_id, 'status_rollups', count(DISTINCT (resp_code, date_trunc('hour', ts))) FROM e WHERE ts IS NOT NULL AND resp_code IS NOT NULL GROUP BY 1
+UNION ALL SELECT upload_id, 'latency_sketches', count(DISTINCT date_trunc('hour', ts)) FROM e WHERE ts IS NOT NULL AND latency_ms IS NOT NULL GROUP BY 1
+UNION ALL SELECT upload_id, 'uploads', 1 FROM e GROUP BY 1"""
+SQL["ingest_tables"] = _with(_COUNTED, ["log_entries"], e="SELECT * FROM log_entries")
+SQL["reingest_tables"] = _with(_COUNTED, ["log_entries"], e="SELECT * FROM log_entries WHERE upload_id <> 'up0' OR action <> 'Blocked'")
+for _name in ("summary", "series_hour", "series_minute"):
+    SQL[f"stored_{_name}"] = SQL[f"dashboard_{_name}"]
+SQL["stored_status_breakdown"], SQL["stored_data_span"] = SQL["status_breakdown"], SQL["data_span"]
+SQL["stored_subnet"] = _entries(f"""
+SELECT upload_id, count(*) AS entries, count(DISTINCT client_ip) AS addresses FROM log_entries
+WHERE {_IN_SCOPE.format('ts')} AND regexp_matches(client_ip, '^10\\.12\\.(2|3)\\.') GROUP BY 1""")
+SQL["latency_sketch_error"] = _entries(f"""
+SELECT upload_id, count(*) AS observations, true AS latency_p50_close, true AS latency_p95_close, true AS latency_p99_close
+FROM log_entries WHERE {_IN_SCOPE.format('ts')} AND latency_ms IS NOT NULL GROUP BY 1""")
+SQL["history_baselines"] = _with(f"""
+SELECT id AS run_id, window_days, requests, errors, hosts, median_hourly_requests FROM runs JOIN (
+  SELECT own, since, CAST(coalesce(sum(requests), 0) AS BIGINT) AS requests, CAST(coalesce(sum(errors), 0) AS BIGINT) AS errors,
+    count(DISTINCT host) AS hosts, CAST(coalesce({_pct(0.5, 'requests')}, 0) AS DOUBLE) AS median_hourly_requests
+  FROM (SELECT DISTINCT own, since FROM runs) LEFT JOIN r ON upload_id <> own AND bucket_start >= since GROUP BY 1, 2) USING (own, since)
+""", ["log_entries", "analyses"], r=_rollup("hour"), runs="""
+SELECT id, CAST(id % 30 + 1 AS INT) AS window_days, CASE id % 3 WHEN 0 THEN 'up0' WHEN 1 THEN 'up1' ELSE 'other' END AS own,
+  TIMESTAMP '2024-01-05' + INTERVAL 1 DAY * CAST(id % 40 AS INT) + INTERVAL 1 HOUR * CAST(id % 24 AS INT) - INTERVAL 1 DAY * CAST(id % 30 + 1 AS INT) AS since
+FROM analyses""")
+SQL["quoted_records"] = f"""
+SELECT 'f' || CAST(user_id % 4 AS VARCHAR) AS upload_id, CAST(row_number() OVER (PARTITION BY user_id % 4 ORDER BY event_id) + 1 AS INT) AS line_no,
+  strftime(ts, '%Y-%m-%d %H:%M:%S') AS ts, '10.0.0.' || CAST({_K} AS VARCHAR) AS client_ip, 'user' || CAST(user_id AS VARCHAR) AS username,
+  CASE {_K} % 5 WHEN 0 THEN 'first ' || event_type || '//second, "k" ' || CAST({_K} AS VARCHAR) WHEN 1 THEN CAST({_K} AS VARCHAR)
+    WHEN 2 THEN '5" wide' ELSE event_type END AS reason, 200 AS resp_code
+FROM events"""

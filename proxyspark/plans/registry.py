@@ -11,11 +11,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from proxyspark import fixed
-from proxyspark.fixtures import load, run_stream, scratch, stored, stored_entries
+from proxyspark.fixtures import load, manifest_of, run_stream, scratch, stored, stored_entries, stored_root
 from proxyspark.functions import labels, net, text
-from proxyspark.operators import access, dashboard, detectors, findings, observability, order_stats, rollups, scope, search
+from proxyspark.operators import access, dashboard, detectors, findings, history, observability, order_stats, rollups, scope, search, sketches
 from proxyspark.operators.scope import Caller, Scope
-from proxyspark.sources import logs, tables
+from proxyspark.plans import ingest
+from proxyspark.plans.stored import StoredDashboards
+from proxyspark.sources import logs, records, tables, versions
 from proxyspark.streaming import rollups as stream_rolls
 from proxyspark.streaming import stateful
 
@@ -812,3 +814,162 @@ def heartbeat_timeouts(spark, sf):
 def login_throttle(spark, sf):
     out = run_stream(spark, sf, "login_throttle", load(spark, sf, "auth_events"), stateful.login_throttle)
     return out.withColumn("ts", _text("ts"))
+
+
+@query
+def alert_transitions_shuffled(spark, sf):
+    """The same changes when checks come at random in seven micro-batches."""
+    checks = _checks(spark, sf).select("window_start", "alert", "value", "breached")
+    end = spark.range(1).select(F.lit("2030-01-01").cast("timestamp").alias("window_start"), F.lit("end").alias("alert"),
+                                F.lit(0.0).alias("value"), F.lit(False).alias("breached"))
+    out = run_stream(spark, sf, "alert_transitions_shuffled", checks, lambda s: stateful.alert_transitions(s, "60 days"), 7, end)
+    return out.select(_text("window_start"), "alert", "state")
+
+
+@query
+def heartbeat_timeouts_shuffled(spark, sf):
+    beats = load(spark, sf, "auth_events").select(
+        F.col("account").alias("analysis_id"), "ts", F.when(F.col("success"), "done").otherwise("running").alias("status"))
+    end = spark.range(1).select(F.lit("end").alias("analysis_id"), F.lit("2030-01-01").cast("timestamp").alias("ts"), F.lit("done").alias("status"))
+    out = run_stream(spark, sf, "heartbeat_timeouts_shuffled", beats, lambda s: stateful.heartbeat_timeouts(s, watermark="60 days"), 7, end)
+    return out.select("analysis_id", _text("last_seen"), "status")
+
+
+@query
+def live_rollups(spark, sf):
+    """Rollups kept complete while rows come at random in four micro-batches."""
+    root, entries = scratch(spark, "live"), stored_entries(spark, sf).drop("month", "bucket")
+    entries.repartition(4, F.rand(3)).write.parquet(f"{root}/feed")
+    files = spark.readStream.schema(entries.schema).option("maxFilesPerTrigger", 1).parquet(f"{root}/feed")
+    stream_rolls.keep_rollups(files, root, f"{root}/checkpoint", buckets=2).trigger(availableNow=True).start().awaitTermination()
+    return _rollup_columns(spark.read.parquet(f"{root}/live_rollups").drop("day", "bucket"))
+
+
+# --- stored tables: written as versions, read back through the pointer -----------------------
+
+def _table_counts(spark, root):
+    parts = []
+    for kind in versions.VERSIONED:
+        of = F.col("id" if kind == "uploads" else "upload_id")
+        parts.append(versions.read_committed(spark, root, kind).groupBy(of.alias("upload_id")).agg(
+            F.lit(kind).alias("table_name"), F.count(F.lit(1)).alias("rows")))
+    return reduce(DataFrame.unionByName, parts)
+
+
+@query
+def ingest_tables(spark, sf):
+    """Rows per upload in every table after one ingest."""
+    return _table_counts(spark, stored_root(spark, sf))
+
+
+@query
+def reingest_tables(spark, sf):
+    """The same after one of two uploads, in a bucket they share, came again without
+    its blocked requests and the other stayed."""
+    root, entries = scratch(spark, "again"), stored_entries(spark, sf)
+    ingest.store(spark, root, entries, manifest_of(entries), "first", 1)
+    again = entries.where("upload_id = 'up0' AND action <> 'Blocked'")
+    ingest.store(spark, root, again, manifest_of(again), "second", 1)
+    return _table_counts(spark, root)
+
+
+@query
+def stored_summary(spark, sf):
+    out = StoredDashboards(spark, stored_root(spark, sf)).summary(SCOPE)
+    return out.withColumns({
+        "success_rate": _r("success_rate"), "cache_hit_rate": _r("cache_hit_rate"),
+        "data_start": _text("data_start"), "data_end": _text("data_end")})
+
+
+def _stored_series(spark, sf, grain):
+    out = StoredDashboards(spark, stored_root(spark, sf)).series(SCOPE, grain)
+    return out.withColumns({"bucket_start": _text("bucket_start"), "cache_hit_rate": _r("cache_hit_rate")})
+
+
+@query
+def stored_series_hour(spark, sf):
+    return _stored_series(spark, sf, "hour")
+
+
+@query
+def stored_series_minute(spark, sf):
+    return _stored_series(spark, sf, "minute")
+
+
+@query
+def stored_status_breakdown(spark, sf):
+    return StoredDashboards(spark, stored_root(spark, sf)).status(SCOPE).withColumn("share", _r("share"))
+
+
+@query
+def stored_data_span(spark, sf):
+    return StoredDashboards(spark, stored_root(spark, sf)).span(SCOPE).select(_text("data_start"), _text("data_end"))
+
+
+@query
+def stored_subnet(spark, sf):
+    """Entries of a subnet by the stored address key."""
+    found = StoredDashboards(spark, stored_root(spark, sf)).in_subnet(SCOPE, "10.12.2.0/23")
+    return found.groupBy("upload_id").agg(F.count(F.lit(1)).alias("entries"), F.count_distinct("client_ip").alias("addresses"))
+
+
+@query
+def latency_sketch_error(spark, sf):
+    """Whether merged hourly sketches keep every percentile's rank within 3 per cent."""
+    root = stored_root(spark, sf)
+    found = StoredDashboards(spark, root).sketched(SCOPE, ["upload_id"])
+    out = sketches.rank_errors(found, versions.read_committed(spark, root, "entries"), SCOPE, ["upload_id"])
+    return out.select("upload_id", "observations", *[(F.col(f"{n}_error") <= 0.03).alias(f"{n}_close") for n in sketches.FRACTIONS])
+
+
+def _history_runs(spark, sf):
+    """Every analysis as a run against history, of one of two uploads or a third."""
+    k = F.col("id").cast("int")
+    return load(spark, sf, "analyses").select(
+        "id", F.lit("org0").alias("org_id"), F.when(k % 3 == 0, "up0").when(k % 3 == 1, "up1").otherwise("other").alias("upload_id"),
+        (F.lit("2024-01-05").cast("timestamp") + F.make_dt_interval(k % 40, k % 24)).alias("created_at"), (k % 30 + 1).alias("baseline_window_days"))
+
+
+@query
+def history_baselines(spark, sf):
+    hours = StoredDashboards(spark, stored_root(spark, sf)).rollups("hour")
+
+    def write(df, name):
+        path = scratch(spark, name)
+        df.write.parquet(path)
+        return spark.read.schema(df.schema).parquet(path)
+    return history.history_baselines(hours, _history_runs(spark, sf), write)
+
+
+# --- records over line breaks ------------------------------------------------------------------
+
+def _quoted_files(spark, sf):
+    """Every event as a record whose reason spans lines, in four files of many splits."""
+    events = load(spark, sf, "events").withColumn("k", F.get_json_object("props", "$.k").cast("int"))
+    reason = (
+        F.when(F.col("k") % 5 == 0, F.concat(F.lit('"first '), F.col("event_type"), F.lit('\n\nsecond, ""k"" '), F.col("k").cast("string"), F.lit('"')))
+        .when(F.col("k") % 5 == 1, F.concat(F.lit('"\n'), F.col("k").cast("string"), F.lit('\n"')))
+        .when(F.col("k") % 5 == 2, F.lit('5" wide')).otherwise(F.col("event_type")))
+    line = F.concat_ws(",", F.date_format("ts", "yyyy-MM-dd HH:mm:ss"), F.format_string("10.0.0.%d", F.col("k")),
+                       F.format_string("user%d", F.col("user_id")), reason, F.lit("200"))
+    name = F.concat(F.lit("f"), (F.col("user_id") % 4).cast("string"))
+    body = events.select(name.alias("name"), F.col("event_id").alias("at"), line.alias("value"))
+    heads = body.select("name").distinct().select("name", F.lit(-1).cast("bigint").alias("at"), F.lit("datetime,ClientIP,login,reason,respcode").alias("value"))
+    path = scratch(spark, "quoted")
+    body.unionByName(heads).repartition("name").sortWithinPartitions("name", "at").select("name", "value").write.partitionBy("name").text(path)
+    return path
+
+
+@query
+def quoted_records(spark, sf):
+    usual = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "65536")
+    try:
+        raw = stored(spark, sf, "quoted_lines", lambda path: tables.archive_raw(logs.scan_logs(spark, _quoted_files(spark, sf), blank=True), path))
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", usual)
+    headers = logs.detect_format(logs.file_headers(raw.where(F.length("value") > 0)))
+    found = records.with_numbers(records.places(raw, headers))
+    owners = headers.select("file", F.regexp_extract("file", "name=(f[0-9])", 1).alias("upload_id"), F.lit("org0").alias("org_id"), F.lit("own").alias("user_id"))
+    out = logs.normalize_logs(records.records(raw, headers, found), headers, INGESTED, owners=owners)
+    return out.select("upload_id", "line_no", _text("ts"), "client_ip", "username", F.replace("reason", F.lit("\n"), F.lit("/")).alias("reason"), "resp_code")

@@ -17,6 +17,8 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from proxyspark.functions import net
+
 BUCKETS = 64
 NO_MONTH = "none"
 
@@ -32,8 +34,9 @@ def _month(column: str):
 def with_layout(df: DataFrame, kind: str, buckets: int = BUCKETS) -> DataFrame:
     """Adds the partition columns of a table kind."""
     if kind == "entries":
-        return df.withColumns({"month": _month("ts"), "bucket": _bucket("upload_id", buckets)})
-    if kind in ("entry_rollups", "status_rollups", "analyses", "grants", "bridge"):
+        keyed = df.withColumn("ip_key", net.ip_key(F.col("client_ip"))) if "client_ip" in df.columns else df
+        return keyed.withColumns({"month": _month("ts"), "bucket": _bucket("upload_id", buckets)})
+    if kind in ("entry_rollups", "status_rollups", "latency_sketches", "analyses", "grants", "bridge"):
         return df.withColumns({"bucket": _bucket("upload_id", buckets)})
     if kind in ("findings", "vectors", "timings", "status"):
         return df.withColumns({"bucket": _bucket("analysis_id", buckets)})
@@ -48,6 +51,7 @@ LAYOUT = {
     "entries": (["month", "bucket"], ["org_id", "ts"]),
     "entry_rollups": (["grain", "bucket"], ["org_id", "bucket_start"]),
     "status_rollups": (["bucket"], ["org_id", "bucket_start"]),
+    "latency_sketches": (["bucket"], ["org_id", "bucket_start"]),
     "uploads": (["bucket"], ["org_id", "created_at"]),
     "findings": (["bucket"], ["analysis_id"]),
     "vectors": (["bucket"], ["analysis_id"]),

@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 
 from proxyspark.sources import tables
 
-VERSIONED = ("entries", "entry_rollups", "status_rollups", "uploads")
+VERSIONED = ("entries", "entry_rollups", "status_rollups", "latency_sketches", "uploads")
 _POINTER = "upload_id string, bucket int, version string"
 #: Generations kept besides the newest, for readers that began before it.
 KEPT = 1

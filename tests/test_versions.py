@@ -25,7 +25,7 @@ def seen(spark, root):
     for kind in versions.VERSIONED:
         df = versions.read_committed(spark, root, kind)
         if df is not None:
-            label = {"uploads": "filename", "status_rollups": "resp_code"}.get(kind, "host")
+            label = {"uploads": "filename", "status_rollups": "resp_code", "latency_sketches": "org_id"}.get(kind, "host")
             total = F.sum("requests") if kind.endswith("rollups") else F.sum("line_count") if kind == "uploads" else F.count("*")
             out[kind] = {str(r[0]): r[1] for r in df.groupBy(label).agg(total).collect()}
     return out
@@ -59,7 +59,7 @@ def test_a_reader_sees_old_or_new_rows_between_any_two_writes(spark, tmp_path, r
     drop(tmp_path / "in", "a.csv", 7, "new.io")
     ingest_files(spark, str(tmp_path / "in" / "a.csv"), root, "o1", "own", NOW, "r2", buckets=1)
     at = [n for n, _ in views].index("_commit")
-    assert len(views) == 10 and {n for n, _ in views[:at]} == {"write_version", "_copy"}
+    assert len(views) == 12 and {n for n, _ in views[:at]} == {"write_version", "_copy"}
     for i, (_, view) in enumerate(views):
         want = BEFORE if i < at else AFTER
         assert view["entries"] == want
