@@ -184,7 +184,9 @@ def components(edges: DataFrame) -> DataFrame:
         return out.where("a != b").distinct()
 
     def mark(links: DataFrame):
-        r = links.agg(F.count("*").alias("n"), F.sum("a").alias("a"), F.sum("b").alias("b"),
+        # Ids may lie near either end of 64 bits: their sums do not fit.
+        whole = lambda c: F.sum(F.col(c).cast("decimal(38,0)")).alias(c)
+        r = links.agg(F.count("*").alias("n"), whole("a"), whole("b"),
                       F.bit_xor(F.xxhash64("a", "b")).alias("x")).first()
         return r["n"], r["a"], r["b"], r["x"]
 
