@@ -164,7 +164,7 @@ def parse(data: bytes) -> tuple:
         payload = block.partition(b"\r\n\r\n")[2]
         if hashlib.sha1(payload).hexdigest() != digest or len(payload) != size:
             raise ValueError(f"record of page {page}: payload and headers differ")
-        html = payload.decode()
+        html = payload.decode(errors="replace")
     return (page and int(page), size, digest, kind, refers_to and int(refers_to),
             fields["WARC-Target-URI"] if "Has-URL" in fields else None, html)
 
@@ -172,7 +172,8 @@ def parse(data: bytes) -> tuple:
 def read_archives(spark: SparkSession, folder: str) -> DataFrame:
     """A row per record: ``page_id, payload_bytes, payload_digest, record_type,
     refers_to, url, html``; the html of a revisit is that of the page referred to
-    and is left null."""
+    and is left null. Length and digest are of the bytes as they were given; where these
+    are no UTF-8, html has a replacement character."""
     parts = read_parts(spark, folder)
     n = max(1, parts.count())
 
