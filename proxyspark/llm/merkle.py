@@ -228,15 +228,16 @@ def _leaf_paths(blocks: DataFrame) -> DataFrame:
     return blocks.groupBy("grp", "block").applyInArrow(_hand_down, _PATH)
 
 
-def _lowest_blocks(tiers: list[DataFrame], above: DataFrame, name: str) -> DataFrame:
+def _lowest_blocks(tiers: list[DataFrame], above: DataFrame | None, name: str) -> DataFrame:
     """The blocks of the lowest tier with the path from their root and their subroot.
 
-    A group's last block takes what ``above`` (grp, path, subroot) says of the group;
-    any other is a leaf one tier up and takes the path from there.
+    A group's last block takes what ``above`` (grp, path, subroot) says of the group,
+    nothing where its root is the root of everything; any other is a leaf one tier up and takes the path from there.
     """
     down = None
     for t in range(len(tiers) - 1, -1, -1):
-        blocks = tiers[t].where(F.col("total") <= CAPACITY).join(above, "grp")
+        blocks = tiers[t].where(F.col("total") <= CAPACITY)
+        blocks = blocks.withColumns({"path": F.lit(b""), "subroot": F.lit(b"")}) if above is None else blocks.join(above, "grp")
         if down is not None:
             inner = tiers[t].where(F.col("total") > CAPACITY).join(down.withColumnRenamed("slot", "block"), ["grp", "block"])
             blocks = blocks.unionByName(inner)
@@ -265,9 +266,7 @@ def _prove(leaves: pa.Table, blocks: pa.Table) -> pa.Table:
 def prove(found: Manifest) -> DataFrame:
     """A row per leaf: doc_id, leaf, subroot, the root that its block leads to, the
     hash of its proof, and ``folded``, the root that ``other`` in its place gives."""
-    nothing = found.groups.sparkSession.range(1).select(
-        F.lit("").alias("grp"), F.lit(b"").alias("path"), F.lit(b"").alias("subroot"))
-    over = cut(_leaf_paths(_lowest_blocks(found.top, nothing, "top_paths")), "group_paths")
+    over = cut(_leaf_paths(_lowest_blocks(found.top, None, "top_paths")), "group_paths")
     above = found.groups.join(over.select(F.col("slot").alias("place"), "path"), "place").select("grp", "path", "subroot")
     blocks = _lowest_blocks(found.tiers, above, "paths")
     leaves = found.leaves.withColumn("block", F.floor(F.col("pos") / CAPACITY))
