@@ -83,6 +83,14 @@ def rows_batch(ddl: str, columns: list) -> pa.RecordBatch:
     return pa.record_batch([pa.array(c, f.type) for c, f in zip(columns, schema)], schema=schema)
 
 
+def carried(docs: DataFrame, columns: list[str]) -> tuple[list, str]:
+    """For an operator that hands ``columns`` of a row on beside its result: what to
+    read after doc_id and text, and what to add to the result's schema."""
+    kinds = {n: {"bigint": "long"}.get(t, t) for n, t in docs.dtypes}
+    read = [F.col("doc_id").cast("long"), F.col("text").cast("string"), *[c for c in columns if c != "text"]]
+    return read, "".join(f", {c} {kinds[c]}" for c in columns)
+
+
 def sha256_join(items: Column) -> Column:
     """Lowercase hex SHA-256 of an array of strings, comma-joined."""
     return F.sha2(F.array_join(items, ",").cast("binary"), 256)

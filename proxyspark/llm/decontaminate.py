@@ -16,7 +16,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from proxyspark.llm.common import as_bytes, rows_batch
+from proxyspark.llm.common import as_bytes, carried, rows_batch
 
 WINDOW = 10
 #: Words of a shard; a longer document is cut into overlapping parts.
@@ -251,18 +251,22 @@ def merged(spans: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
     return all_spans[new, 0], reach[np.append(np.flatnonzero(new)[1:] - 1, len(reach) - 1)]
 
 
-def find(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, shard_words: int = SHARD_WORDS) -> DataFrame:
+def find(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, shard_words: int = SHARD_WORDS,
+         carry: list[str] = ()) -> DataFrame:
     """Hits of benchmark windows in every row's whole text.
 
     ``n_hit`` words lie in an occurrence of a window; ``items`` are the ids of
     items with one, as strings in order, and ``span_start``/``span_end`` the
     merged removal spans in words. Null text has no words. Rows that repeat an
-    id are searched each on their own; extra columns are ignored.
+    id are searched each on their own; extra columns are ignored, but for those that
+    ``carry`` names, which a row hands on.
 
     The windows go to the tasks in blocks of about ``BLOCK_PAIRS`` pairs, so
-    neither the driver nor a task holds more than one block at a time.
+    neither the driver nor a task holds more than one block at a time; all blocks are
+    broadcast, so their sum must fit beside a task, as a benchmark's does.
     """
     spark = docs.sparkSession
+    read, more = carried(docs, carry)
     pairs = windows_of(benchmark, window).persist()
     n_blocks = max(1, -(-pairs.count() // BLOCK_PAIRS))
     numbered = pairs.withColumn("_block", F.pmod(F.xxhash64("words", "item"), F.lit(n_blocks)))
@@ -286,14 +290,15 @@ def find(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, shard_word
             for column, v in zip(out, [row["doc_id"], row["n"], hit, len(row["items"]),
                                        hashlib.sha256(names.encode()).hexdigest(), hit > 0, start, end, names]):
                 column.append(v)
-        return rows_batch(_FOUND, out)
+        return rows_batch(_FOUND + more, out + [[row["carried"][c] for row in rows] for c in carry])
 
     def run(batches):
         rows, group, vocabulary, size = [], [], {}, 0
         for batch in batches:
-            for doc_id, text in zip(batch.column(0).to_pylist(), as_bytes(batch.column(1))):
+            handed_on = batch.select(list(carry)).to_pylist() if carry else [None] * batch.num_rows
+            for doc_id, text, more_of in zip(batch.column(0).to_pylist(), as_bytes(batch.column(1)), handed_on):
                 words = words_of(text)
-                row = {"doc_id": doc_id, "n": len(words), "spans": [], "items": set()}
+                row = {"doc_id": doc_id, "n": len(words), "spans": [], "items": set(), "carried": more_of}
                 rows.append(row)
                 for lo in range(0, len(words), shard_words - window + 1):
                     part = words[lo:lo + shard_words]
@@ -317,4 +322,4 @@ def find(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, shard_word
         if rows:
             yield emit(rows)
 
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, _FOUND)
+    return docs.select(*read).mapInArrow(run, _FOUND + more)

@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from proxyspark.llm.common import kept, rows_batch
+from proxyspark.llm.common import carried, kept, rows_batch
 
 #: Ranks kept of a language and of a document.
 PROFILE = 400
@@ -160,17 +160,20 @@ class Profiles:
         return names, scores
 
 
-def predict(docs: DataFrame, profiles: dict[str, list[int]], top: int = PROFILE) -> DataFrame:
+def predict(docs: DataFrame, profiles: dict[str, list[int]], top: int = PROFILE, carry: list[str] = ()) -> DataFrame:
     """``doc_id, lang_pred, score`` of every row, from the whole text alone.
 
     Null text, and text without a letter, is ``und`` with score 0, as is every
-    text where nothing was learnt.
+    text where nothing was learnt. A tie goes to the first language by name. Rows
+    that repeat an id are judged each on their own; an empty table gives no rows.
+    ``carry`` names columns of a row to hand on.
     """
     shared = docs.sparkSession.sparkContext.broadcast(profiles)  # languages times ``top`` numbers
+    read, more = carried(docs, carry)
 
     def run(batches):
         model = Profiles(shared.value, top)
         for rows in portions(batches):
-            yield rows_batch(_PREDICTED, [rows["doc_id"], *model.predict(rows["text"])])
+            yield rows_batch(_PREDICTED + more, [rows["doc_id"], *model.predict(rows["text"]), *[rows[c] for c in carry]])
 
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, _PREDICTED)
+    return docs.select(*read).mapInArrow(run, _PREDICTED + more)

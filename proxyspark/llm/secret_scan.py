@@ -19,7 +19,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from proxyspark.llm.common import rows_batch
+from proxyspark.llm.common import carried, rows_batch
 
 # The pattern kinds, in the order in which they are listed.
 ASSIGN = re.compile(
@@ -181,13 +181,16 @@ def redact(text: str, spans, mark: str) -> str:
     return "".join(out) + text[at:]
 
 
-def scan(docs: DataFrame, threshold: float = NOVELTY, identifiers: str = IDENTIFIERS, mark: str = "<secret>") -> DataFrame:
+def scan(docs: DataFrame, threshold: float = NOVELTY, identifiers: str = IDENTIFIERS, mark: str = "<secret>",
+         carry: list[str] = ()) -> DataFrame:
     """Secrets of every whole text: counts per kind, the digest of the fixed
     kinds, all spans, and the text with its secrets replaced by ``mark``.
 
-    One row per row of ``docs``; null text counts as empty and stays null in
-    ``redacted``. Extra columns are ignored.
+    One row per row of ``docs``, also where ids repeat; null text counts as empty and
+    stays null in ``redacted``; an empty table gives no rows. Extra columns are ignored,
+    but for those that ``carry`` names, which a row hands on.
     """
+    read, more = carried(docs, carry)
 
     def run(batches):
         for batch in batches:
@@ -202,6 +205,6 @@ def scan(docs: DataFrame, threshold: float = NOVELTY, identifiers: str = IDENTIF
                        redact(text, spans, mark) if spans else text]
                 for column, value in zip(out, row):
                     column.append(value)
-            yield rows_batch(_FOUND, out)
+            yield rows_batch(_FOUND + more, out + [batch.column(batch.schema.get_field_index(c)).to_pylist() for c in carry])
 
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, _FOUND)
+    return docs.select(*read).mapInArrow(run, _FOUND + more)
