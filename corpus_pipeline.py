@@ -23,31 +23,33 @@ _COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 
 def language(spark, docs, sf_dir):
-    """Rejects what is ``und``; profiles come from the labelled documents themselves."""
+    """Rejects what is ``und``; profiles come from the labelled documents themselves.
+
+    Every row is judged by its own text, whatever its id; NULL and letterless texts go.
+    """
     profiles = langid.learn(docs.select("doc_id", "text", "lang"))
-    known = langid.predict(docs, profiles).where(F.col("lang_pred") != langid.UNKNOWN).select("doc_id").distinct()
-    return docs.join(known, "doc_id", "left_semi").where(F.col("text").isNotNull()).select(_COLUMNS)
+    told = langid.predict(docs.where("text IS NOT NULL"), profiles, carry=_COLUMNS[1:])
+    return told.where(F.col("lang_pred") != langid.UNKNOWN).select(_COLUMNS)
 
 
 def near_duplicates(spark, docs, sf_dir):
-    """Keeps the smallest id of each component; rows that repeat an id are one document."""
+    """Keeps the smallest id of each component; rows that repeat an id are one document
+    and stay together. A row without an id is in no component and goes."""
     kept = minhash.link(docs).where("kept").select("doc_id").distinct()
     return docs.join(kept, "doc_id", "left_semi").select(_COLUMNS)
 
 
 def decontaminate_(spark, docs, sf_dir):
-    """Drops the documents that hold a benchmark window."""
-    hit = decontaminate.find(docs, table(spark, sf_dir, "benchmark")).where("contaminated").select("doc_id").distinct()
-    return docs.join(hit, "doc_id", "left_anti").select(_COLUMNS)
+    """Drops the rows whose text holds a benchmark window, whatever their id."""
+    found = decontaminate.find(docs, table(spark, sf_dir, "benchmark"), carry=_COLUMNS[1:])
+    return found.where("NOT contaminated").select(_COLUMNS)
 
 
 def secrets(spark, docs, sf_dir):
-    """Replaces the secrets of a text and counts its characters anew."""
-    found = secret_scan.scan(docs).where("spans != ''").groupBy("doc_id").agg(F.min("redacted").alias("clean"))
-    text = F.coalesce("clean", "text")
-    return docs.join(found, "doc_id", "left").select(
-        "doc_id", text.alias("text"), "lang", "source",
-        F.when(F.col("clean").isNull(), F.col("n_chars")).otherwise(F.length(text)).cast("long").alias("n_chars"))
+    """Replaces the secrets of each row's own text and counts its characters anew."""
+    found = secret_scan.scan(docs, carry=["lang", "source", "n_chars"])
+    n_chars = F.when(F.col("spans") == "", F.col("n_chars")).otherwise(F.length("redacted"))
+    return found.select("doc_id", F.col("redacted").alias("text"), "lang", "source", n_chars.cast("long").alias("n_chars"))
 
 
 def pack(spark, docs, sf_dir):
