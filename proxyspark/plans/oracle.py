@@ -630,3 +630,30 @@ SELECT 'f' || CAST(user_id % 4 AS VARCHAR) AS upload_id, CAST(row_number() OVER
   CASE {_K} % 5 WHEN 0 THEN 'first ' || event_type || '//second, "k" ' || CAST({_K} AS VARCHAR) WHEN 1 THEN CAST({_K} AS VARCHAR)
     WHEN 2 THEN '5" wide' ELSE event_type END AS reason, 200 AS resp_code
 FROM events"""
+
+# One attempt after the other: the recursion carries every key's counter, window and lock.
+_SET = "list_transform({0}, lambda x, j: CASE WHEN j = e.{1} THEN {2} ELSE x END)"
+SQL["throttle_attempts"] = with_views(f"""SELECT id, ip, account, decision, ip_failures, account_failures FROM (
+  WITH RECURSIVE e AS (
+    SELECT row_number() OVER (ORDER BY t, id) AS k, *, dense_rank() OVER (ORDER BY ip) AS i, dense_rank() OVER (ORDER BY account) AS a
+    FROM (SELECT id, '10.0.0.' || CAST(id % 20 AS VARCHAR) AS ip, account, success,
+                 (epoch_us(ts) - epoch_us(TIMESTAMP '2024-01-01')) // 500 AS t FROM auth_events)),
+  none AS (SELECT list_transform(range(max(i)), lambda x: 0::BIGINT) AS no_ip, (SELECT list_transform(range(max(a)), lambda x: 0::BIGINT) FROM e) AS no_account FROM e),
+  s AS (
+    SELECT 0::BIGINT AS k, 0::BIGINT AS id, '' AS ip, '' AS account, '' AS decision, 0::BIGINT AS ip_failures, 0::BIGINT AS account_failures,
+           no_ip AS ipn, no_ip AS ipt, no_account AS acn, no_account AS act, no_account AS acl FROM none
+    UNION ALL
+    SELECT e.k, e.id, e.ip, e.account, CASE WHEN e.ipf >= 20 THEN 'throttled' WHEN e.t < e.lock_end THEN 'locked' ELSE 'allowed' END,
+           e.new_ipn, e.new_acn, {_SET.format("e.ipn", "i", "e.new_ipn")}, {_SET.format("e.ipt", "i", "e.new_ipt")},
+           {_SET.format("e.acn", "a", "e.new_acn")}, {_SET.format("e.act", "a", "e.new_act")}, {_SET.format("e.acl", "a", "e.new_acl")}
+    FROM (
+      SELECT *, CASE WHEN counts THEN ipf + 1 ELSE ipf END AS new_ipn, CASE WHEN counts AND ipf = 0 THEN t ELSE ip_anchor END AS new_ipt,
+             CASE WHEN counts THEN acf + 1 WHEN open AND success THEN 0 ELSE acf END AS new_acn,
+             CASE WHEN counts AND acf = 0 THEN t ELSE account_anchor END AS new_act,
+             CASE WHEN counts AND acf + 1 >= 10 THEN t + 900000000 WHEN open AND success THEN 0 ELSE lock_end END AS new_acl
+      FROM (SELECT *, ipf < 20 AND t >= lock_end AS open, ipf < 20 AND t >= lock_end AND NOT success AS counts FROM (
+        SELECT e.*, s.ipn, s.ipt, s.acn, s.act, s.acl, s.ipt[e.i] AS ip_anchor, s.act[e.a] AS account_anchor, s.acl[e.a] AS lock_end,
+               CASE WHEN e.t >= s.ipt[e.i] + 300000000 THEN 0 ELSE s.ipn[e.i] END AS ipf,
+               CASE WHEN e.t >= s.act[e.a] + 1800000000 THEN 0 ELSE s.acn[e.a] END AS acf
+        FROM s JOIN e ON e.k = s.k + 1))) e)
+  SELECT * FROM s WHERE k > 0)""", "auth_events")

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from proxyspark import fixed
 from proxyspark.fixtures import load, manifest_of, run_stream, scratch, stored, stored_entries, stored_root
 from proxyspark.functions import labels, net, text
-from proxyspark.operators import access, dashboard, detectors, findings, history, observability, order_stats, rollups, scope, search, sketches
+from proxyspark.operators import access, dashboard, detectors, findings, history, observability, order_stats, rollups, scope, search, sketches, throttle
 from proxyspark.operators.scope import Caller, Scope
 from proxyspark.plans import ingest
 from proxyspark.plans.stored import StoredDashboards
@@ -816,6 +816,16 @@ def login_throttle(spark, sf):
     return out.withColumn("ts", _text("ts"))
 
 
+@query
+def throttle_attempts(spark, sf):
+    """Both dimensions in one order: a burst of sign-ins in which each address tries each account."""
+    auth = load(spark, sf, "auth_events").withColumn("ip", F.concat(F.lit("10.0.0."), (F.col("id") % 20).cast("string")))
+    start = F.unix_micros(F.lit("2024-01-01").cast("timestamp"))
+    burst = auth.withColumn("ts", F.timestamp_micros(start + F.floor((F.unix_micros("ts") - start) / 500)))
+    out = throttle.throttle_attempts(burst, scratch(spark, "throttle"))
+    return out.select("id", "ip", "account", "decision", "ip_failures", "account_failures")
+
+
 @query
 def alert_transitions_shuffled(spark, sf):
     """The same changes when checks come at random in seven micro-batches."""
