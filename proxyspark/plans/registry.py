@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from proxyspark import fixed
 from proxyspark.fixtures import load, manifest_of, run_stream, scratch, stored, stored_entries, stored_root
 from proxyspark.functions import labels, net, text
-from proxyspark.operators import access, dashboard, detectors, findings, history, observability, order_stats, rollups, scope, search, sketches, throttle
+from proxyspark.operators import access, dashboard, detectors, findings, history, observability, order_stats, rollups, scope, search, sketches, throttle, vector_index
 from proxyspark.operators.scope import Caller, Scope
 from proxyspark.plans import ingest
 from proxyspark.plans.stored import StoredDashboards
@@ -569,6 +569,14 @@ def search_many(spark, sf):
     return search.search_many(vectors, probes, 10, "vec_id").select("vec_id", "query", "place", _r("rank"))
 
 
+@query
+def search_vector_index(spark, sf):
+    """The nearest vectors of every fiftieth one, by the approximate index over all rows."""
+    vectors, path = load(spark, sf, "embeddings").select("vec_id", "embedding"), scratch(spark, "vector_index")
+    vector_index.build_index(vectors, path, "vec_id")
+    return vector_index.search_each(spark, path, vectors.where(F.col("vec_id") % 50 == 0), 10, "vec_id").withColumn("rank", _r("rank"))
+
+
 def _of_runs(df, id_col):
     """Gives documents or vectors a run, as findings have one."""
     return df.withColumn("analysis_id", (F.col(id_col) % 1000 + 1) * 10 + 1)
