@@ -40,6 +40,8 @@ SAME = {
     "tr": (("tr", "td", "th"), ("table", "tbody", "thead", "tfoot")), "td": (("td", "th"), ("tr", "table")),
     "th": (("td", "th"), ("tr", "table")), "option": (("option",), ("select",)),
 }
+# Elements that name what comes after them.
+LABELS = frozenset("h1 h2 h3 h4 h5 h6 hgroup dt th caption summary".split())
 # Elements whose content is never main text, and words of classes, ids and roles
 # that name such parts.
 NOT_MAIN = frozenset("nav footer aside form dialog menu search".split()) | RAW
@@ -188,15 +190,32 @@ def named_aside(node: Node, inside: bool) -> bool:
     return bool(node.names) and (NAMES.search(node.names) is not None or not inside and HEADERS.search(node.names) is not None)
 
 
-def text_below(node: Node) -> str:
-    out, stack = [], [node]
+_PRIME = (1 << 127) - 1
+
+
+def text_hashes(root: Node) -> dict[Node, tuple[int, int]]:
+    """Per element the hash and length of the text below it, white space left out; one
+    pass from the leaves up, as the hash of a whole follows from those of its parts."""
+    found: dict[Node, tuple[int, int]] = {}
+    stack = [(root, False)]
     while stack:
-        x = stack.pop()
-        if isinstance(x, str):
-            out.append(x)
-        elif x.tag not in RAW:
-            stack.extend(reversed(x.children))
-    return _SPACE.sub(" ", "".join(out)).strip()
+        node, done = stack.pop()
+        if node.tag in RAW:
+            found[node] = (0, 0)
+        elif not done:
+            stack.append((node, True))
+            stack.extend((c, False) for c in node.children if not isinstance(c, str))
+        else:
+            value = size = 0
+            for child in node.children:
+                if isinstance(child, str):
+                    data = "".join(child.split()).encode("utf-8", "replace")
+                    part, length = int.from_bytes(data, "big") % _PRIME, len(data)
+                else:
+                    part, length = found[child]
+                value, size = (value * pow(256, length, _PRIME) + part) % _PRIME, size + length
+            found[node] = (value, size)
+    return found
 
 
 def host_of(url):
@@ -213,13 +232,14 @@ _STYLED = frozenset("article aside blockquote dd details div dl dt fieldset figu
 def styles(page: str) -> dict[int, tuple[int, int]]:
     """Per style node of a page: hashes of its layout (child elements) and of its text."""
     found: dict[int, list] = {}
-    stack = [tree_of(page)]
+    root = tree_of(page)
+    texts, stack = text_hashes(root), [root]
     while stack:
         node = stack.pop()
         kids = [c for c in node.children if not isinstance(c, str)]
         if node.tag in _STYLED:
             layout = ">".join(dict.fromkeys(c.tag for c in kids))
-            found.setdefault(node.path, []).append((layout, text_below(node)))
+            found.setdefault(node.path, []).append((layout, "%x:%d" % texts[node]))
         if node.tag not in RAW:
             stack.extend(kids)
     return {path: (hash_of("|".join(dict.fromkeys(a for a, _ in seen))), hash_of("\n".join(b for _, b in seen)))
@@ -269,8 +289,8 @@ def unimportant(tree: DataFrame, enough: int = ENOUGH_PAGES, low: float = LOW, m
 def main_text(page: str, removed: frozenset[int] | set[int]) -> str:
     """Blocks of a page's main text in order, one per line.
 
-    The style nodes ``removed`` go, and what is named as something else, inside
-    an article or main part and outside. Where nothing would stay (the host
+    The style nodes ``removed`` go, but for headings of what stays (``labels``), and
+    what is named as something else, inside an article or main part and outside. Where nothing would stay (the host
     repeats whole pages), such a part is judged by names alone.
     """
     root = tree_of(page)
@@ -287,6 +307,53 @@ def main_text(page: str, removed: frozenset[int] | set[int]) -> str:
     return "\n".join(blocks)
 
 
+def labels(top: Node, removed: frozenset[int] | set[int]) -> set[Node]:
+    """Headings among the nodes ``removed`` that stay: what they name stays.
+
+    A heading with the same words on every page ("Ingredients") tells pages apart as
+    little as a menu does, but belongs to the text that follows it up to the next heading
+    of its rank. Outside an article or main part some text must stay before a heading of
+    the ranks h1 to h6 too, so that a site's own title above the text goes.
+    """
+    kept, label, stack, found = set(), set(), [(top, False)], set()
+    while stack:
+        node, done = stack.pop()
+        inner = [c for c in node.children if not isinstance(c, str)]
+        if not done:
+            if node is top or not named_aside(node, node.parent.marked):
+                stack.append((node, True))
+                stack.extend((c, False) for c in inner)
+            continue
+        words = any(isinstance(c, str) and not c.isspace() for c in node.children)
+        if node.tag in LABELS or inner and not words and all(c in label for c in inner):
+            label.add(node)
+        if (node is top or node.path not in removed) and (words or any(c in kept for c in inner)):
+            kept.add(node)
+        wanting = [c for c in inner if c in label and (c.path in removed or c.tag not in LABELS)]
+        if not wanting:
+            continue
+        first = next((i for i, c in enumerate(inner) if c in kept), len(inner))
+        named = [False] * 8  # per rank: does kept text follow before the next heading of that rank or above?
+        for i in range(len(inner) - 1, -1, -1):
+            child = inner[i]
+            rank = _rank(child) if child in label else 7
+            if child in wanting and named[rank] and (node.marked or first < i or rank == 7):
+                found.add(child)
+            if child in label:
+                # A run of headings of the same kind (cells of a table's head) names one thing.
+                named[rank:] = [named[rank] and rank == 7] * (8 - rank)
+            if child in kept and child not in label:
+                named = [True] * 8
+    return found
+
+
+def _rank(label: Node) -> int:
+    """1 to 6 for headings, the first one's in a wrapper; 7 for other labels."""
+    while label.tag not in LABELS:
+        label = next(c for c in label.children if not isinstance(c, str))
+    return int(label.tag[1]) if label.tag[1:].isdigit() else 7
+
+
 def _blocks(tops: list[Node], removed: frozenset[int] | set[int]) -> list[str]:
     blocks, now = [], []
 
@@ -297,14 +364,16 @@ def _blocks(tops: list[Node], removed: frozenset[int] | set[int]) -> list[str]:
         now.clear()
 
     for top in tops:
-        stack = [top]
+        stack, stays = [top], labels(top, removed) if removed else ()
         while stack:
             x = stack.pop()
             if x is None:
                 close()
             elif isinstance(x, str):
                 now.append(x)
-            elif x is top or not named_aside(x, x.parent.marked) and x.path not in removed:
+            elif x is top or not named_aside(x, x.parent.marked) and (x.path not in removed or x in stays or x.parent in stays):
+                if x.parent in stays:  # a heading stays with all that it holds
+                    stays.add(x)
                 if x.tag == "br":
                     now.append(" ")
                 elif x.tag in BLOCK:
