@@ -34,7 +34,10 @@ SENSITIVE = re.compile(
     r"(?i:password|passwd|pwd|secret|token|api[_-]?key|access[_-]?key|private[_-]?key|credential|bearer|authorization)",
     re.ASCII)
 _WORDS = ("pass", "pwd", "secret", "token", "key", "credential", "bearer", "authorization")
-CANDIDATE = re.compile(r"[A-Za-z0-9+/_.=-]{16,}")
+#: Least length of a candidate and the symbols of one: what keys and passwords are made
+#: of, so anything printable but quotes, brackets and separators of lists.
+LEAST = 16
+CANDIDATE = re.compile(rf"[A-Za-z0-9+/_.=!#$%&*?@^~:-]{{{LEAST},}}")
 
 #: How far behind a sensitive word a candidate may start, and how much text
 #: before and after it primes the dictionary, in characters.
@@ -48,8 +51,6 @@ SYMBOLS = 24
 #: Bits per letter from which a string of letters only is no word or name, given
 #: how letters follow each other around it: random ones take 8, words 3 to 5.
 LETTERS = 5.6
-#: Up to how many characters a candidate is worth the compressor's slowest level.
-LONG = 4_096
 
 IDENTIFIERS = (
     "password passwd pwd secret token api_key apikey access_key private_key client_id client_secret credential "
@@ -84,7 +85,7 @@ def novelty(candidate: str, around: str, identifiers: str = IDENTIFIERS) -> floa
     string of its length and number of symbols adds."""
     known = zstandard.ZstdCompressionDict(f"{identifiers} {around}".encode(errors="replace"),
                                           dict_type=zstandard.DICT_TYPE_RAWCONTENT)
-    packer = zstandard.ZstdCompressor(level=19 if len(candidate) <= LONG else 3, dict_data=known, write_content_size=False, write_dict_id=False)
+    packer = zstandard.ZstdCompressor(level=19, dict_data=known, write_content_size=False, write_dict_id=False)
     random = min(len(candidate), len(candidate) * math.log2(max(2, len(set(candidate)))) / 8 + SYMBOLS)
     return (len(packer.compress(candidate.encode())) - len(packer.compress(b""))) / random
 
@@ -106,8 +107,8 @@ def surroundings(text: str, start: int, end: int) -> str:
     """The text around a candidate, in which its other occurrences are blank: a
     secret that is written twice is no less of one."""
     candidate = text[start:end]
-    parts = {candidate, candidate.strip("+/_.=-"), *re.split("[=.]+", candidate)}
-    parts = sorted((p for p in parts if len(p) >= 16), key=len, reverse=True)
+    parts = {candidate, candidate.strip("+/_.=!#$%&*?@^~:-"), *re.split("[=.:]+", candidate)}
+    parts = sorted((p for p in parts if len(p) >= LEAST), key=len, reverse=True)
     room = AROUND + end - start  # a copy may lie across the edge
     before, after = text[max(0, start - room):start], text[end:end + room]
     for part in parts:
@@ -135,13 +136,13 @@ def novel_spans(text: str, taken: list[tuple[int, int, int]], threshold: float =
             start = max(start, word.end())
             if start > word.end() + REACH:
                 break
-            if start in seen or end in done or end - start < 16:
+            if start in seen or end in done or end - start < LEAST:
                 continue
             seen.add(start)
             stop = min(end, following) if end in judged else end
             judged.add(end)
             candidate = "".join(text[a:b] for a, b in _outside(start, stop, taken))
-            if len(candidate) < 16:
+            if len(candidate) < LEAST:
                 continue
             around = surroundings(text, start, stop)
             if novelty(candidate, around, identifiers) >= threshold and (
