@@ -22,6 +22,8 @@ PROFILE = 400
 #: Profiles are learnt from at most so many labelled documents of a language,
 #: those with the smallest hash of their id.
 SAMPLE_PER_LANGUAGE = 1_000
+#: Parts in which a language's rows are sampled first, so that no task sees them all.
+PARTS = 1_000
 UNKNOWN = "und"
 
 _GRAMS = "lang string, gram long, n long"
@@ -102,12 +104,16 @@ def learn(labelled: DataFrame, sample: int = SAMPLE_PER_LANGUAGE, top: int = PRO
 
     Rows without text or language teach nothing. The sample is the ``sample``
     rows of a language with the smallest hash of their id, so it does not
-    depend on how the table is stored. The result is languages times ``top``
-    numbers.
+    depend on how the table is stored. The first of a whole are among the first of
+    its parts, so a language is sampled part by part, then over what is left. The
+    result is languages times ``top`` numbers; an empty table gives no profile.
     """
-    ids = labelled.where("lang IS NOT NULL AND text IS NOT NULL").select("doc_id", "lang")
-    order = W.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
-    chosen = ids.withColumn("_n", F.row_number().over(order)).where(F.col("_n") <= sample).select("doc_id").distinct()
+    least = labelled.where("lang IS NOT NULL AND text IS NOT NULL").select(
+        "doc_id", "lang", F.pmod(F.spark_partition_id(), F.lit(PARTS)).alias("part"))
+    for group in (["lang", "part"], ["lang"]):
+        order = W.partitionBy(*group).orderBy(F.xxhash64("doc_id"), "doc_id")
+        least = least.withColumn("_n", F.row_number().over(order)).where(F.col("_n") <= sample).drop("_n")
+    chosen = least.select("doc_id").distinct()
     texts = labelled.where("lang IS NOT NULL").select("doc_id", "lang", "text").join(chosen, "doc_id", "left_semi").select("lang", "text")
 
     def count(batches):
