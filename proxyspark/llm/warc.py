@@ -26,6 +26,8 @@ from proxyspark.llm.tokenfiles import WholeFile, filesystem
 
 #: Payloads of fewer bytes are always stored in full.
 SMALL_PAYLOAD = 1000
+#: Pages of one payload, the empty one too, are looked up in so many parts.
+SALTS = 32
 #: The dictionary of a file is built from at most so many of its first records
 #: and bytes, and has at most so many bytes itself.
 SAMPLE_RECORDS, SAMPLE_BYTES, DICTIONARY_BYTES = 400, 4 << 20, 64 << 10
@@ -43,15 +45,18 @@ def with_revisits(pages: DataFrame, small: int = SMALL_PAYLOAD) -> DataFrame:
 
     Payloads count as equal if their SHA-1 and length are. ``refers_to`` is the
     largest page id with that payload, null for that page itself, for payloads
-    of under ``small`` bytes, and for rows that repeat that page's id.
+    of under ``small`` bytes, and for rows that repeat that page's id. Only payloads
+    that several rows have are looked up, and copies are dealt by their page's id.
     """
     rows = pages.select(
         F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"),
         F.coalesce(F.col("html").cast("string"), F.lit("")).cast("binary").alias("payload"))
     rows = rows.withColumn("payload_digest", F.sha1("payload")).withColumn("n_bytes", F.octet_length("payload"))
+    rows = rows.withColumn("salt", F.pmod(F.xxhash64("page_id"), F.lit(SALTS)).cast("int"))
     last = (rows.where(F.col("n_bytes") >= small).groupBy("payload_digest", "n_bytes")
-            .agg(F.max("page_id").alias("last")))
-    return (rows.join(last, ["payload_digest", "n_bytes"], "left")
+            .agg(F.max("page_id").alias("last"), F.count(F.lit(1)).alias("copies")).where("copies > 1").drop("copies")
+            .withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))))
+    return (rows.join(last, ["payload_digest", "n_bytes", "salt"], "left")
             .withColumn("refers_to", F.when(F.col("last") != F.coalesce("page_id", F.col("last") - 1), F.col("last")))
             .select("page_id", "url", "payload", "payload_digest", "refers_to"))
 
