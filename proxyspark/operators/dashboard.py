@@ -188,9 +188,21 @@ def entry_counts(entries: DataFrame) -> DataFrame:
 
 
 def entry_page(entries: DataFrame, flagged: DataFrame, upload_id, limit: int = fixed.PAGE_SIZE,
-               offset: int = 0, flagged_only: bool = False) -> DataFrame:
-    """One page of an upload in line order, with a marker for cited rows."""
+               offset: int = 0, flagged_only: bool = False, after: tuple | None = None) -> DataFrame:
+    """One page of an upload in line order, with a marker for cited rows.
+
+    ``after`` is the (line_no, id) of the last row of the page before: a filter that is
+    pushed down to the scan, so a late page costs what the first does, where ``offset``
+    sorts all rows before it. Rows without a line number come before those with one.
+    """
     mine = entries.where(F.col("upload_id") == F.lit(upload_id))
+    if after is not None:
+        line, row = after
+        if line is None:
+            mine = mine.where(F.col("line_no").isNotNull() | (F.col("id") > F.lit(row)))
+        else:
+            # The plain bound is what row groups are skipped by.
+            mine = mine.where((F.col("line_no") >= line) & ((F.col("line_no") > line) | (F.col("id") > F.lit(row))))
     ids = flagged.where(F.col("upload_id") == F.lit(upload_id)).select(F.col("entry_id").alias("id")).distinct()
     if flagged_only:
         page = mine.join(ids, "id", "left_semi").withColumn("anomalous", F.lit(True))

@@ -152,6 +152,9 @@ SELECT id, line_no, {_ts('ts')}, client_ip, username, host, url, category, actio
 SQL["entry_page_flagged"] = _entries("""
 SELECT id, line_no, threat_name, true AS anomalous FROM log_entries
 WHERE upload_id = 'up0' AND threat_name IS NOT NULL ORDER BY line_no, id LIMIT 25""")
+SQL["entry_page_after"] = _entries("""
+SELECT id, line_no, client_ip, host, threat_name IS NOT NULL AS anomalous FROM log_entries
+WHERE upload_id = 'up0' ORDER BY line_no, id LIMIT 25 OFFSET 25""")
 SQL["scope_violations"] = with_views("""
 SELECT scope, count(*) AS runs, count(*) FILTER (WHERE (scope = 'file') <> (baseline_window_days IS NULL)) AS violations
 FROM analyses GROUP BY 1""", "analyses")

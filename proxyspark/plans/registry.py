@@ -198,6 +198,16 @@ def entry_page_flagged(spark, sf):
     return dashboard.entry_page(entries, flagged, "up0", flagged_only=True).select("id", "line_no", "threat_name", "anomalous")
 
 
+@query
+def entry_page_after(spark, sf):
+    """The second page, from the key of the first one's last row."""
+    entries = stored_entries(spark, sf)
+    flagged = entries.where(F.col("threat_name").isNotNull()).select("upload_id", F.col("id").alias("entry_id"))
+    last = dashboard.entry_page(entries, flagged, "up0").agg(F.max(F.struct("line_no", "id")).alias("key")).first()["key"]
+    page = dashboard.entry_page(entries, flagged, "up0", after=tuple(last) if last else None)
+    return page.select("id", "line_no", "client_ip", "host", "anomalous")
+
+
 @query
 def scope_violations(spark, sf):
     runs = load(spark, sf, "analyses")

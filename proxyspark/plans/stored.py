@@ -18,7 +18,8 @@ class StoredDashboards:
     """
 
     def __init__(self, spark: SparkSession, root: str):
-        self._read = lambda kind: versions.read_committed(spark, root, kind)
+        self._read = lambda kind, uploads=None: versions.read_committed(spark, root, kind, uploads)
+        self._spark = spark
 
     def rollups(self, grain: str) -> DataFrame:
         return self._read("entry_rollups").where(F.col("grain") == grain)
@@ -44,3 +45,9 @@ class StoredDashboards:
     def in_subnet(self, scope: Scope, cidr: str) -> DataFrame:
         """Entries from a subnet: a range of the stored address key."""
         return apply_scope(self._read("entries"), scope).where(net.key_in_cidr(F.col("ip_key"), cidr))
+
+    def page(self, upload_id: str, flagged: DataFrame, **paging) -> DataFrame:
+        """A page of one upload (see ``dashboard.entry_page``), from the folders of its
+        bucket and version only. ``flagged`` (upload_id, entry_id) names the cited rows."""
+        mine = self._spark.createDataFrame([(upload_id,)], "upload_id string")
+        return dashboard.entry_page(self._read("entries", mine), flagged, upload_id, **paging)

@@ -99,3 +99,26 @@ def test_baselines_of_many_runs_equal_one_at_a_time(spark):
     one = rollups.org_baseline(hours, "o1", 7, "u1", start).collect()[0]
     same = history.history_baselines(hours, spark.createDataFrame([("x", "o1", "u1", start, 7)], "id string, org_id string, upload_id string, created_at timestamp, baseline_window_days int")).collect()[0]
     assert tuple(one) == tuple(same)[1:]
+
+
+def test_pages_after_a_key_are_the_pages_by_offset(spark, tmp_path, whole_plans):
+    root = str(tmp_path / "root")
+    rows = [entry(100 + k, k, line_no=k // 3 + 1) for k in range(23)] + [entry(900 + k, k, line_no=None) for k in range(4)]
+    df = entries(spark, rows + [entry(9000, 1, upload_id="u2")])
+    ingest.store(spark, root, df, manifest_of(df), "v1", 2)
+    stored, mine = StoredDashboards(spark, root), "u1"
+    flagged = df.where("line_no = 3 OR line_no IS NULL").select("upload_id", F.col("id").alias("entry_id"))
+    for flagged_only in (False, True):
+        got, after = [], None
+        while True:
+            page = stored.page(mine, flagged, limit=4, flagged_only=flagged_only, after=after).collect()
+            want = dashboard.entry_page(df, flagged, mine, limit=4, offset=len(got), flagged_only=flagged_only).collect()
+            assert [(r["line_no"], r["id"], r["anomalous"]) for r in page] == [(r["line_no"], r["id"], r["anomalous"]) for r in want]
+            if not page:
+                break
+            got += page
+            after = (page[-1]["line_no"], page[-1]["id"])
+        assert len(got) == (7 if flagged_only else 27)
+    scan = [s for s in scans(stored.page(mine, flagged, after=(5, 100))) if "/entries" in s]
+    assert scan and all("bucket" in s.split("PartitionFilters: [")[1].split("]")[0] and "GreaterThanOrEqual(line_no,5)" in s for s in scan)
+    assert stored.page("nowhere", flagged).count() == 0
