@@ -88,4 +88,4 @@ def iso8601(ts: Column) -> Column:
 
 def split_words(text: Column) -> Column:
     """Lower-case alphanumeric runs, in order."""
-    return F.filter(F.split(F.lower(text), "[^a-z0-9]+"), lambda w: w != "")
+    return F.array_remove(F.split(F.lower(text), "[^a-z0-9]+"), "")

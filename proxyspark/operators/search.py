@@ -62,14 +62,19 @@ def build_finding_index(findings: DataFrame, id_col: str = "id") -> DataFrame:
         F.struct(F.lit(f).alias("field"), F.lit(w).alias("weight"), F.coalesce(F.col(f), F.lit("")).alias("text"))
         for f, w in fixed.SEARCH_WEIGHTS.items() if f in fields
     ])).alias("p")
-    words = findings.select(F.col(id_col).alias("finding_id"), parts).select(
-        "finding_id", "p.field", "p.weight", F.posexplode(split_words(F.col("p.text"))).alias("pos", "word"))
-    stemmed = with_stems(words.where(~F.col("word").isin(fixed.STOP_WORDS)), "word").select(
-        "finding_id", F.lit(STEMMED).alias("form"), "field", "pos", F.col("word").alias("token"), "weight")
-    split = words.select(
-        "finding_id", F.lit(SPLIT).alias("form"), "field", "pos", F.col("word").alias("token"),
-        F.lit(fixed.SPLIT_WEIGHT).alias("weight"))
-    return stemmed.unionByName(split)
+    # Words are a column before they are exploded: a field beside its words in one
+    # expression would be copied, with its whole text, into every word's row.
+    listed = findings.select(F.col(id_col).alias("finding_id"), parts).select(
+        "finding_id", "p.field", "p.weight", split_words(F.col("p.text")).alias("words"))
+    # An inner explode would have every text split once more, to tell which have words.
+    words = listed.select("finding_id", "field", "weight", F.posexplode_outer("words").alias("pos", "token")).where("token IS NOT NULL")
+    stop = F.col("token").isin(fixed.STOP_WORDS)
+    forms = F.explode(F.when(stop, F.array(F.lit(SPLIT))).otherwise(F.array(F.lit(STEMMED), F.lit(SPLIT)))).alias("form")
+    stems = with_stems(words.withColumn("_stem", F.col("token")), "_stem").select("*", forms)
+    stemmed = F.col("form") == STEMMED
+    return stems.select(
+        "finding_id", "form", "field", "pos", F.when(stemmed, F.col("_stem")).otherwise(F.col("token")).alias("token"),
+        F.when(stemmed, F.col("weight")).otherwise(F.lit(fixed.SPLIT_WEIGHT)).alias("weight"))
 
 
 @dataclass
