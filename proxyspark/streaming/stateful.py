@@ -10,6 +10,7 @@ per-trigger limits.
 import sys
 
 import pandas as pd
+import pyarrow as pa
 from pyspark import cloudpickle
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -30,6 +31,22 @@ def _stamp(micros: int):
     return pd.Timestamp(micros, unit="us")
 
 
+def _all_micros(times: pd.Series) -> pd.Series:
+    return times.astype("datetime64[us]").astype("int64")
+
+
+def _packed(frame: pd.DataFrame) -> bytes:
+    sink = pa.BufferOutputStream()
+    table = pa.Table.from_pandas(frame, preserve_index=False).replace_schema_metadata()
+    with pa.ipc.new_stream(sink, table.schema) as out:
+        out.write_table(table)
+    return sink.getvalue().to_pybytes()
+
+
+def _unpacked(block: bytes) -> pd.DataFrame:
+    return pa.ipc.open_stream(block).read_pandas()
+
+
 def _in_order(rows, column: str) -> pd.DataFrame:
     return pd.concat(list(rows)).sort_values([column], kind="stable")
 
@@ -53,24 +70,26 @@ def _reset_timer(handle, at_millis: int | None = None) -> None:
 class _InOrder(StatefulProcessor):
     """Holds rows (at, and whatever a subclass reads) until the watermark passed them.
 
-    ``step`` takes a due row and gives output rows; ``idle`` is called when all due rows
-    are done and may ask for a later look, in microseconds.
+    ``columns_of`` names the held columns of a batch, ``at`` in microseconds first;
+    ``steps`` takes all due rows in order and gives output rows; ``idle`` is called when
+    they are done and may ask for a later look, in microseconds. Rows are held as one
+    Arrow block per batch and state is read and written once per call: going to the
+    state store for every row costs more than all else.
     """
 
-    held_schema: str
     columns: list
 
     def init(self, handle):
         self.handle = handle
-        self.held = handle.getListState("held", self.held_schema)
+        self.held = handle.getListState("held", "block binary")
         self.open_state(handle)
 
     def handleInputRows(self, key, rows, timerValues):
         first = None
         for frame in rows:
-            batch = self.rows_of(frame)
-            self.held.appendList(batch)
-            first = min([r[0] for r in batch] + ([first] if first is not None else []))
+            batch = self.columns_of(frame)
+            self.held.appendValue((_packed(batch),))
+            first = min([int(batch["at"].min())] + ([first] if first is not None else []))
         # A timer stands for the first row that waits; an earlier row moves it up.
         known = [t[0] if isinstance(t, (tuple, list)) else t for t in self.handle.listTimers()]
         due = _due_millis(first)
@@ -80,17 +99,17 @@ class _InOrder(StatefulProcessor):
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
         now = timerValues.getCurrentWatermarkInMs() * 1000
-        rows = sorted(self.held.get()) if self.held.exists() else []
-        due, later = [r for r in rows if r[0] <= now], [r for r in rows if r[0] > now]
-        if later:
-            self.held.put(later)
+        blocks = [_unpacked(r[0]) for r in self.held.get()] if self.held.exists() else []
+        rows = pd.concat(blocks) if blocks else pd.DataFrame({"at": pd.Series([], dtype="int64")})
+        late = rows["at"] > now
+        due, later = rows[~late], rows[late]
+        if len(later):
+            self.held.put([(_packed(later),)])
         else:
             self.held.clear()
-        out = []
-        for row in due:
-            out += self.step(key, row)
+        out = self.steps(key, due.sort_values(list(due.columns))) if len(due) else []
         more, look = self.idle(key, now)
-        waits = [_due_millis(later[0][0])] if later else []
+        waits = [_due_millis(int(later["at"].min()))] if len(later) else []
         _reset_timer(self.handle, min(waits + ([look // 1000] if look is not None else []), default=None))
         yield pd.DataFrame(out + more, columns=self.columns)
 
@@ -104,22 +123,24 @@ def _due_millis(at: int) -> int:
 
 
 class _AlertState(_InOrder):
-    held_schema = "at long, breached boolean, value double"
     columns = ["window_start", "alert", "state", "value"]
 
     def open_state(self, handle):
         self.firing = handle.getValueState("firing", "firing boolean")
 
-    def rows_of(self, frame):
-        return [(_micros(at), bool(b), float(v)) for at, b, v in zip(frame["window_start"], frame["breached"], frame["value"])]
+    def columns_of(self, frame):
+        return pd.DataFrame({"at": _all_micros(frame["window_start"]), "breached": frame["breached"].astype(bool), "value": frame["value"].astype(float)})
 
-    def step(self, key, row):
-        at, breached, value = row
-        firing = bool(self.firing.get()[0]) if self.firing.exists() else False
-        if breached == firing:
-            return []
-        self.firing.update((breached,))
-        return [(_stamp(at), key[0], "firing" if breached else "resolved", value)]
+    def steps(self, key, due):
+        before = firing = bool(self.firing.get()[0]) if self.firing.exists() else False
+        out = []
+        for at, breached, value in zip(due["at"].tolist(), due["breached"].tolist(), due["value"].tolist()):
+            if breached != firing:
+                firing = breached
+                out.append((_stamp(at), key[0], "firing" if breached else "resolved", value))
+        if firing != before:
+            self.firing.update((firing,))
+        return out
 
     def idle(self, key, now):
         return [], None
@@ -140,7 +161,6 @@ def alert_transitions(checks: DataFrame, watermark: str = "0 seconds") -> DataFr
 
 
 class _Heartbeat(_InOrder):
-    held_schema = "at long, status string"
     columns = ["analysis_id", "last_seen", "status"]
 
     def __init__(self, seconds: int):
@@ -149,17 +169,22 @@ class _Heartbeat(_InOrder):
     def open_state(self, handle):
         self.last = handle.getValueState("last", "at long")
 
-    def rows_of(self, frame):
-        return [(_micros(at), status) for at, status in zip(frame["ts"], frame["status"])]
+    def columns_of(self, frame):
+        return pd.DataFrame({"at": _all_micros(frame["ts"]), "running": frame["status"] == "running"})
 
-    def step(self, key, row):
-        at, status = row
+    def steps(self, key, due):
+        """Rows of one instant: those that are not running come first."""
         last = self.last.get()[0] if self.last.exists() else None
-        if status == "running":
-            self.last.update((at,))
-        else:
+        running, at = due["running"], due["at"]
+        before = at.shift().where(running.shift(fill_value=False))
+        if last is not None:
+            before.iloc[0] = last
+        gone = before[(at - before) > self.silence].astype("int64").tolist()
+        if running.iloc[-1]:
+            self.last.update((int(at.iloc[-1]),))
+        elif last is not None:
             self.last.clear()
-        return [(key[0], _stamp(last), "queued")] if last is not None and at - last > self.silence else []
+        return [(key[0], _stamp(x), "queued") for x in gone]
 
     def idle(self, key, now):
         """Nothing waits that is due: has the run been silent for too long by now?"""
