@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 from proxyspark import fixed
 from proxyspark.functions import labels
 from proxyspark.operators.detectors import BY
+from proxyspark.session import PARTITIONS
 
 
 def fallback_report(candidates: DataFrame, uploads: DataFrame, by=BY) -> DataFrame:
@@ -188,18 +189,26 @@ def evidence_packets(candidates: DataFrame, overview: DataFrame, samples: DataFr
 def latest_status(events: DataFrame) -> DataFrame:
     """Current state per run from append-only status events.
 
-    A claim counts only for a run that has not finished; errors are shortened.
+    A claim counts only for a run that has not finished; errors are shortened, and are
+    so before they travel. An event after the first end counts if it ends the run again,
+    so the last one that counts is the last end, or without any the last event: one
+    aggregate tells. Runs are dealt over a fixed number of parts, as adaptive execution
+    would join parts by their compressed bytes, which texts as alike as errors hide in.
     """
+    parts = max(PARTITIONS, int(events.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    dealt = events.where(F.col("analysis_id").isNotNull()).select(
+        "analysis_id", "event_ts", "status", F.left("error", F.lit(fixed.ERROR_CHARS)).alias("error")).repartition(parts, "analysis_id")
     terminal = F.col("status").isin("done", "failed")
-    ended = events.groupBy("analysis_id").agg(F.min(F.when(terminal, F.col("event_ts"))).alias("_ended"))
-    valid = events.join(ended, "analysis_id").where(
-        terminal | F.col("_ended").isNull() | (F.col("event_ts") <= F.col("_ended")))
-    return valid.groupBy("analysis_id").agg(
-        F.max_by("status", "event_ts").alias("status"), F.max("event_ts").alias("updated_at"),
-        F.left(F.max_by("error", "event_ts"), F.lit(fixed.ERROR_CHARS)).alias("error"),
-        F.min(F.when(F.col("status") == "running", F.col("event_ts"))).alias("started_at"),
-        F.max(F.when(terminal, F.col("event_ts"))).alias("finished_at"),
-    )
+    end = F.when(terminal, F.col("event_ts"))
+    last = dealt.groupBy("analysis_id").agg(
+        F.min(end).alias("_ended"), F.max(end).alias("finished_at"), F.max("event_ts").alias("_latest"),
+        F.max_by(F.struct("status", "error"), end).alias("_end"), F.max_by(F.struct("status", "error"), "event_ts").alias("_last"),
+        F.min(F.when(F.col("status") == "running", F.col("event_ts"))).alias("_claimed"))
+    ended = F.col("_ended").isNotNull()
+    return last.withColumn("_now", F.when(ended, F.col("_end")).otherwise(F.col("_last"))).select(
+        "analysis_id", F.col("_now.status").alias("status"), F.coalesce("finished_at", "_latest").alias("updated_at"),
+        F.col("_now.error").alias("error"), F.when(~ended | (F.col("_claimed") <= F.col("_ended")), F.col("_claimed")).alias("started_at"),
+        "finished_at")
 
 
 def evaluate(candidates: DataFrame, suspicious, benign, expected: DataFrame) -> DataFrame:

@@ -2,6 +2,12 @@
 
 from pyspark.sql import SparkSession
 
+#: Partitions a shuffle starts with where the session names fewer; adaptive execution
+#: joins the small ones. Up to 200 Spark writes them without a sort in memory.
+PARTITIONS = 200
+#: Bytes of files a task reads at most: its aggregates combine what it has read.
+SPLIT_BYTES = 32 << 20
+
 
 def pin(spark: SparkSession) -> SparkSession:
     """Settings every job here relies on.
@@ -9,10 +15,17 @@ def pin(spark: SparkSession) -> SparkSession:
     Times are UTC everywhere, so buckets and hours agree. Generated methods are
     kept below the size the JVM stops compiling at (8000 bytes of bytecode):
     parsing one log line is a wide projection that would otherwise run
-    interpreted, at half the speed.
+    interpreted, at half the speed. What one task sorts or aggregates follows the size
+    of its split and its share of a shuffle: splits are bounded, and shuffles start
+    with many parts whatever the number of cores.
     """
     spark.conf.set("spark.sql.session.timeZone", "UTC")
     spark.conf.set("spark.sql.codegen.hugeMethodLimit", "8000")
+    conf = spark._jsparkSession.sessionState().conf()
+    if conf.numShufflePartitions() < PARTITIONS:
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.initialPartitionNum", str(PARTITIONS))
+    if conf.filesMaxPartitionBytes() > SPLIT_BYTES:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", str(SPLIT_BYTES))
     return spark
 
 
