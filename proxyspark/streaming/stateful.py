@@ -32,7 +32,7 @@ def _stamp(micros: int):
 
 
 def _all_micros(times: pd.Series) -> pd.Series:
-    return times.astype("datetime64[us]").astype("int64")
+    return times.astype("datetime64[ns]").astype("int64") // 1000
 
 
 def _packed(frame: pd.DataFrame) -> bytes:
@@ -175,13 +175,13 @@ class _Heartbeat(_InOrder):
     def steps(self, key, due):
         """Rows of one instant: those that are not running come first."""
         last = self.last.get()[0] if self.last.exists() else None
-        running, at = due["running"], due["at"]
-        before = at.shift().where(running.shift(fill_value=False))
-        if last is not None:
-            before.iloc[0] = last
-        gone = before[(at - before) > self.silence].astype("int64").tolist()
-        if running.iloc[-1]:
-            self.last.update((int(at.iloc[-1]),))
+        at, running = due["at"].to_numpy(), due["running"].to_numpy()
+        seen, then = at[:-1][running[:-1]], at[1:][running[:-1]]
+        gone = seen[then - seen > self.silence].tolist()
+        if last is not None and at[0] - last > self.silence:
+            gone.insert(0, last)
+        if running[-1]:
+            self.last.update((int(at[-1]),))
         elif last is not None:
             self.last.clear()
         return [(key[0], _stamp(x), "queued") for x in gone]

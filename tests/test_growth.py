@@ -139,3 +139,12 @@ def test_heartbeats_touch_state_per_call_not_per_row(n):
     out = pd.concat(list(beat.handleExpiredTimer(("run",), watermark, None)))
     assert [tuple(r) for r in out.itertuples(index=False)] == [("run", times[-1], "queued")]
     assert sum(s.calls for s in handle.states.values()) < 10 and len(handle.timers) == 1
+
+
+def test_a_beat_without_a_time_is_the_earliest(spark):
+    import pandas as pd
+
+    times = pd.Series(pd.to_datetime(["2024-01-01 00:00:00.000001", None]))
+    assert stateful._all_micros(times).tolist() == [stateful._micros(t) for t in times]
+    packed = pd.DataFrame({"at": stateful._all_micros(times), "running": [True, False]})
+    assert stateful._unpacked(stateful._packed(packed)).equals(packed)
