@@ -7,6 +7,9 @@ from pyspark.sql import SparkSession
 PARTITIONS = 200
 #: Bytes of files a task reads at most: its aggregates combine what it has read.
 SPLIT_BYTES = 32 << 20
+#: Compressed bytes up to which adaptive execution joins parts of a shuffle. Rows of keys,
+#: times and short codes take 20 times that and more where they are sorted or aggregated.
+JOINED_BYTES = 8 << 20
 
 
 def pin(spark: SparkSession) -> SparkSession:
@@ -17,7 +20,7 @@ def pin(spark: SparkSession) -> SparkSession:
     parsing one log line is a wide projection that would otherwise run
     interpreted, at half the speed. What one task sorts or aggregates follows the size
     of its split and its share of a shuffle: splits are bounded, and shuffles start
-    with many parts whatever the number of cores.
+    with many parts whatever the number of cores, of which only small ones are joined.
     """
     spark.conf.set("spark.sql.session.timeZone", "UTC")
     spark.conf.set("spark.sql.codegen.hugeMethodLimit", "8000")
@@ -26,6 +29,9 @@ def pin(spark: SparkSession) -> SparkSession:
         spark.conf.set("spark.sql.adaptive.coalescePartitions.initialPartitionNum", str(PARTITIONS))
     if conf.filesMaxPartitionBytes() > SPLIT_BYTES:
         spark.conf.set("spark.sql.files.maxPartitionBytes", str(SPLIT_BYTES))
+    joined = "spark.sql.adaptive.advisoryPartitionSizeInBytes"
+    if spark._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(spark.conf.get(joined)) > JOINED_BYTES:
+        spark.conf.set(joined, str(JOINED_BYTES))
     return spark
 
 

@@ -4,9 +4,10 @@ from datetime import timedelta
 
 import pytest
 from conftest import BASE
+from pyspark.sql import functions as F
 
 from proxyspark.operators import findings, history, search
-from proxyspark.session import PARTITIONS, SPLIT_BYTES, pin
+from proxyspark.session import JOINED_BYTES, PARTITIONS, SPLIT_BYTES, pin
 from proxyspark.streaming import stateful
 
 _RUNS = "id string, org_id string, upload_id string, created_at timestamp, baseline_window_days int"
@@ -68,6 +69,23 @@ def test_shuffles_and_splits_do_not_follow_the_cores(spark):
     assert spark._jsparkSession.sessionState().conf().filesMaxPartitionBytes() <= SPLIT_BYTES
 
 
+def test_adaptive_execution_joins_small_parts_only(spark):
+    name = "spark.sql.adaptive.advisoryPartitionSizeInBytes"
+    usual = spark.conf.get(name)
+    try:
+        for given, kept in (("64MB", str(JOINED_BYTES)), ("1g", str(JOINED_BYTES)), ("2m", "2m")):
+            spark.conf.set(name, given)
+            pin(spark)
+            assert spark.conf.get(name) == kept
+        spark.conf.set(name, "64MB")
+        pin(spark)
+        # 48 MB that do not compress: four cores alone would be given 12 MB each.
+        dealt = spark.range(3_000_000).select(F.xxhash64("id").alias("a"), F.xxhash64(-F.col("id")).alias("b")).repartition("a")
+        assert dealt.groupBy(F.spark_partition_id()).count().count() > 4
+    finally:
+        spark.conf.set(name, usual)
+
+
 class _State:
     """A state variable that counts the calls that would go to the state store."""
 
