@@ -227,19 +227,30 @@ def erase_uploads(spark: SparkSession, root: str, ids: DataFrame, org_id: str, b
     repeated. ``buckets``, the number the tables are written with, keeps the search
     for rows out of other buckets' folders; versioned tables know theirs.
     """
-    from proxyspark.sources import versions  # builds on this module
-
     uploads = read_if_present(spark, f"{root}/uploads")
     if uploads is None:
         return spark.createDataFrame([], "table_name string, erased long")
     mine = (
         uploads.where(F.col("org_id") == F.lit(org_id)).select(F.col("id").alias("upload_id"))
-        .join(ids.select("upload_id").distinct(), "upload_id", "left_semi").distinct()
+        .join(ids.select("upload_id").distinct(), "upload_id", "left_semi").distinct().persist()
     )
     analyses = read_if_present(spark, f"{root}/analyses")
     runs = mine.select(F.col("upload_id").alias("analysis_id"))
     if analyses is not None:
         runs = runs.unionByName(analyses.join(mine, "upload_id", "left_semi").select(F.col("id").alias("analysis_id")))
+    # Each table is searched and then rewritten by these keys: they are looked up once.
+    runs = runs.distinct().persist()
+    try:
+        return _erase_keys(spark, root, mine, runs, buckets)
+    finally:
+        runs.unpersist()
+        mine.unpersist()
+
+
+def _erase_keys(spark: SparkSession, root: str, mine: DataFrame, runs: DataFrame, buckets: int | None) -> DataFrame:
+    """Remove some uploads and their runs from every table, the manifest last."""
+    from proxyspark.sources import versions  # builds on this module
+
     versioned = versions.VERSIONED if versions.pointer(spark, root) is not None else ()
     counts = [
         (kind, delete_keys(spark, f"{root}/{kind}", kind, keys, buckets))
