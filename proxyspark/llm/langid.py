@@ -86,8 +86,9 @@ def ranks_of(owner: np.ndarray, gram: np.ndarray, count: np.ndarray, top: int):
     return owner[keep], gram[keep], rank[keep]
 
 
-def portions(batches, limit: int = 1_000_000):
-    """Arrow batches in portions of about ``limit`` characters, a long text alone."""
+def portions(batches, limit: int = 250_000):
+    """Arrow batches in portions of about ``limit`` characters, a long text alone: the
+    arrays of a portion's n-grams take some 200 bytes a character."""
     for batch in batches:
         rows = batch.to_pydict()
         names = list(rows)
@@ -117,7 +118,7 @@ def learn(labelled: DataFrame, sample: int = SAMPLE_PER_LANGUAGE, top: int = PRO
     texts = labelled.where("lang IS NOT NULL").select("doc_id", "lang", "text").join(chosen, "doc_id", "left_semi").select("lang", "text")
 
     def count(batches):
-        for rows in portions(batches, 4_000_000):
+        for rows in portions(batches):
             names = sorted(set(rows["lang"]))
             owner, gram, n = grams_of(rows["text"])
             of = np.array([names.index(x) for x in rows["lang"]], np.int64)[owner]

@@ -68,3 +68,16 @@ def test_copies_of_one_page_and_empty_pages(spark):
     assert sorted(got, key=repr) == sorted(want, key=repr)
     for rows in ([], [(1, None, None)]):
         assert warc.archive(spark, spark.createDataFrame(rows, pages.schema)).count() == len(rows)
+
+
+def test_language_portions_stay_small():
+    import pyarrow as pa
+
+    from proxyspark.llm import langid
+
+    texts = ["word " * 2_000 for _ in range(90)] + [None, "x " * 400_000, "end"]
+    batch = pa.record_batch([pa.array(range(len(texts))), pa.array(texts)], names=["doc_id", "text"])
+    parts = [p["text"] for p in langid.portions([batch])]
+    assert [t for p in parts for t in p] == texts
+    # A portion ends with the text that fills it; of those before it none is long.
+    assert max(sum(len(t or "") for t in p[:-1]) for p in parts) < 250_000
