@@ -91,15 +91,16 @@ def ingest_files(spark: SparkSession, source, root: str, org_id: str, user_id: s
     return ingest_lines(spark, scanned, root, org_id, user_id, now, run, buckets)[1]
 
 
-def reparse(spark: SparkSession, archive: str, now: datetime, owners: DataFrame | None = None) -> DataFrame:
-    """Entries again, from archived raw lines."""
-    return _parsed(spark.read.parquet(archive), now, owners)
+def reparse(spark: SparkSession, archive: str, now: datetime, owners: DataFrame | None = None, write=lambda df, name: df) -> DataFrame:
+    """Entries again, from archived raw lines. ``write`` as in ``records.records``: large
+    archives want one, as Spark then knows how few rows files and splits have."""
+    return _parsed(spark.read.parquet(archive), now, owners, write)
 
 
-def _parsed(raw: DataFrame, now: datetime, owners: DataFrame | None) -> DataFrame:
-    headers = logs.detect_format(logs.file_headers(raw.where(F.length("value") > 0)))
-    found = records.with_numbers(records.places(raw, headers))
-    return logs.normalize_logs(records.records(raw, headers, found), headers, now, owners=owners)
+def _parsed(raw: DataFrame, now: datetime, owners: DataFrame | None, write) -> DataFrame:
+    headers = write(logs.detect_format(logs.file_headers(raw.where(F.length("value") > 0))), "headers")
+    found = write(records.with_numbers(records.places(raw, headers)), "places")
+    return logs.normalize_logs(records.records(raw, headers, found, write), headers, now, owners=owners)
 
 
 def archived_lines(spark: SparkSession, root: str, key: str) -> DataFrame:
@@ -120,8 +121,9 @@ def archived_lines(spark: SparkSession, root: str, key: str) -> DataFrame:
         c: F.lit(at[c]) for c in _OWNER})
 
 
-def reparse_upload(spark: SparkSession, root: str, key: str, now: datetime) -> DataFrame:
-    """One upload's entries again, from what is archived under its ``object_key``."""
+def reparse_upload(spark: SparkSession, root: str, key: str, now: datetime, write=lambda df, name: df) -> DataFrame:
+    """One upload's entries again, from what is archived under its ``object_key``;
+    ``write`` as in ``reparse``."""
     raw = archived_lines(spark, root, key)
     owners = raw.select("file", *_OWNER).limit(1)
-    return _parsed(raw.drop(*_OWNER), now, owners)
+    return _parsed(raw.drop(*_OWNER), now, owners, write)

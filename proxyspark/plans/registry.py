@@ -41,6 +41,15 @@ def query(fn):
     return fn
 
 
+def _interim(spark):
+    """``write(df, name)``: an interim table in the shared folder, read back."""
+    def write(df, name):
+        path = scratch(spark, name)
+        df.write.parquet(path)
+        return spark.read.schema(df.schema).parquet(path)
+    return write
+
+
 def _r(name: str, digits: int = 6):
     return F.round(name, digits).alias(name)
 
@@ -961,12 +970,7 @@ def _history_runs(spark, sf):
 @query
 def history_baselines(spark, sf):
     hours = StoredDashboards(spark, stored_root(spark, sf)).rollups("hour")
-
-    def write(df, name):
-        path = scratch(spark, name)
-        df.write.parquet(path)
-        return spark.read.schema(df.schema).parquet(path)
-    return history.history_baselines(hours, _history_runs(spark, sf), write)
+    return history.history_baselines(hours, _history_runs(spark, sf), _interim(spark))
 
 
 # --- records over line breaks ------------------------------------------------------------------
@@ -990,14 +994,17 @@ def _quoted_files(spark, sf):
 
 @query
 def quoted_records(spark, sf):
-    usual = spark.conf.get("spark.sql.files.maxPartitionBytes")
-    spark.conf.set("spark.sql.files.maxPartitionBytes", "65536")
-    try:
-        raw = stored(spark, sf, "quoted_lines", lambda path: tables.archive_raw(logs.scan_logs(spark, _quoted_files(spark, sf), blank=True), path))
-    finally:
-        spark.conf.set("spark.sql.files.maxPartitionBytes", usual)
-    headers = logs.detect_format(logs.file_headers(raw.where(F.length("value") > 0)))
-    found = records.with_numbers(records.places(raw, headers))
+    def archive(path):
+        files, usual = _quoted_files(spark, sf), spark.conf.get("spark.sql.files.maxPartitionBytes")
+        spark.conf.set("spark.sql.files.maxPartitionBytes", "65536")
+        try:
+            tables.archive_raw(logs.scan_logs(spark, files, blank=True), path)
+        finally:
+            spark.conf.set("spark.sql.files.maxPartitionBytes", usual)
+
+    raw, write = stored(spark, sf, "quoted_lines", archive), _interim(spark)
+    headers = write(logs.detect_format(logs.file_headers(raw.where(F.length("value") > 0))), "quoted_headers")
+    found = write(records.with_numbers(records.places(raw, headers)), "quoted_places")
     owners = headers.select("file", F.regexp_extract("file", "name=(f[0-9])", 1).alias("upload_id"), F.lit("org0").alias("org_id"), F.lit("own").alias("user_id"))
-    out = logs.normalize_logs(records.records(raw, headers, found), headers, INGESTED, owners=owners)
+    out = logs.normalize_logs(records.records(raw, headers, found, write), headers, INGESTED, owners=owners)
     return out.select("upload_id", "line_no", _text("ts"), "client_ip", "username", F.replace("reason", F.lit("\n"), F.lit("/")).alias("reason"), "resp_code")

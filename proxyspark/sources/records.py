@@ -128,9 +128,12 @@ def records(lines: DataFrame, headers: DataFrame, found: DataFrame, write=lambda
     ordered = write(_ordered(rows), "ordered")
     # A cell that is open where its file ends: its first line, and all behind it, stand alone.
     begins = (F.col("_inside") == 0) & (F.col("_ends") == 1)
-    tail = ordered.where("_quoted").groupBy("file").agg(
-        F.max_by("_ends", F.struct(*_SPLIT[1:], "pos")).alias("_open"), F.max(F.when(begins, F.struct("split_start", "pos"))).alias("_from"))
-    tail = tail.where("_open = 1").select("file", "_from")
+    # Per split first, then one row per file: written, so that Spark sees how small it is
+    # and the lines stay dealt by split, not by file.
+    ends = ordered.where("_quoted").groupBy(*_SPLIT).agg(F.max_by("_ends", "pos").alias("_last"), F.max(F.when(begins, F.col("pos"))).alias("pos"))
+    tail = ends.groupBy("file").agg(
+        F.max_by("_last", "split_start").alias("_open"), F.max(F.when(F.col("pos").isNotNull(), F.struct("split_start", "pos"))).alias("_from"))
+    tail = write(tail.where("_open = 1").select("file", "_from"), "tail")
     at = F.struct("split_start", "pos")
     settled = ordered.join(tail, "file", "left").withColumn("_alone", F.coalesce(at >= F.col("_from"), F.lit(False))).withColumns({
         "_inside": F.when(F.col("_alone"), 0).otherwise(F.col("_inside")), "_ends": F.when(F.col("_alone"), 0).otherwise(F.col("_ends"))})

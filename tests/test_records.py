@@ -1,6 +1,7 @@
 """Records over line breaks, against a single pass over the whole text."""
 
 import random
+import re
 from datetime import datetime
 
 import pytest
@@ -114,3 +115,20 @@ def test_ingest_and_reparse_of_one_upload(spark, tmp_path):
     assert archived_lines(spark, root, first["object_key"]).count() == 6
     with pytest.raises(KeyError):
         archived_lines(spark, root, "o1/own/none")
+
+
+def test_lines_of_quoted_files_are_dealt_by_split(spark, tmp_path, small_splits):
+    (tmp_path / "in").mkdir()
+    text = odd_text(5, 250) + 'a,"never closed\nb,c\n'
+    (tmp_path / "in" / "a.csv").write_text(text)
+
+    def write(df, name):
+        df.write.parquet(str(tmp_path / name))
+        return spark.read.schema(df.schema).parquet(str(tmp_path / name))
+    raw = write(logs.scan_logs(spark, str(tmp_path / "in"), blank=True), "archive")
+    headers = write(logs.detect_format(logs.file_headers(raw.where("value != ''"))), "headers")
+    found = write(records.with_numbers(records.places(raw, headers)), "places")
+    got = records.records(raw, headers, found, write)
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert "split_start" in plan and not re.search(r"hashpartitioning\(file#\d+, \d+", plan)
+    assert sorted((r["line_no"], r["value"]) for r in got.collect()) == plain_records(text)
