@@ -7,6 +7,7 @@ every occurrence. The ids are those of encoding the text in one go.
 
 from __future__ import annotations
 
+import os
 import re
 from itertools import islice
 
@@ -26,6 +27,8 @@ _WORD_PIECES = (r"'[sS]|'[tT]|'[rR][eE]|'[vV][eE]|'[mM]|'[lL][lL]|'[dD]"
                 r"|\p{L}+|\p{N}|[^\s\p{L}\p{N}]+")
 _LETTERS = "[a-zA-ZÀ-ÖØ-öø-ÿ]"
 _LONE_SPACE = re.compile("(?<! ) (?! )")
+# A line break between printable ASCII characters is a piece of its own.
+_LONE_BREAK = re.compile("\n(?<=[!-~]\n)(?=[!-~])")
 _MARK = "\x01"
 
 
@@ -38,6 +41,7 @@ class CachedEncoder:
     """
 
     def __init__(self, path: str, limit: int = 800_000):
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # a task has one core
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
@@ -55,12 +59,16 @@ class CachedEncoder:
     def _packed(self, ids: list[int]) -> bytes:
         return np.array(ids, f"<u{self.width}").tobytes()
 
+    def batch(self, texts: list[str]) -> list[list[int]]:
+        """The library's ids of each text, without the offsets it otherwise keeps."""
+        return [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
     def library(self, text: str) -> bytes:
-        return self._packed(self.tokenizer.encode(text, add_special_tokens=False).ids)
+        return self._packed(self.batch([text])[0])
 
     def together(self, words: list[str]) -> dict[str, bytes]:
         """Ids of simple words, encoded in one call and parted at the borders."""
-        ids = self.tokenizer.encode((" " if self.by_words else "").join(words), add_special_tokens=False).ids
+        ids = self.batch([(" " if self.by_words else "").join(words)])[0]
         data, width, borders = self._packed(ids), self.width, self.borders
         ends = [k + 1 for k, i in enumerate(ids) if i in borders] if self.by_words else \
             [k for k, i in enumerate(ids) if i in borders][1:] + [len(ids)]
@@ -72,37 +80,42 @@ class CachedEncoder:
         if _MARK in text:
             return [text]
         marked = _LONE_SPACE.sub(f"{_MARK} ", text) if "  " in text else text.replace(" ", f"{_MARK} ")
-        return marked.split(_MARK)
-
-    def chunk(self, chunk: str) -> bytes:
-        """Ids of a chunk that is not a simple word."""
-        if "<|" in chunk or not _PLAIN.fullmatch(chunk):
-            return self.library(chunk)
-        out = []
-        for piece in self.pieces.findall(chunk):
-            ids = self.ids.get(piece)
-            if ids is None:
-                ids = self.ids[piece] = self.library(piece)
-            out.append(ids)
-        return b"".join(out)
+        return _LONE_BREAK.sub(f"{_MARK}\n{_MARK}", marked).split(_MARK)
+
+    def chunked(self, chunks: list[str]) -> dict[str, bytes]:
+        """Ids of chunks that are not simple words; their new pieces, and chunks that
+        can't be cut, go to the library in one call."""
+        cut = {c: [c] if "<|" in c or not _PLAIN.fullmatch(c) else self.pieces.findall(c) for c in chunks}
+        whole = {c for c, pieces in cut.items() if pieces == [c]}
+        known, ids = {}, self.ids.get
+        for pieces in cut.values():
+            known.update((p, ids(p)) for p in pieces)
+        new = [p for p, found in known.items() if found is None]
+        if new:
+            known.update((p, self._packed(found)) for p, found in zip(new, self.batch(new)))
+            self.ids.update((p, known[p]) for p in new if p not in whole)
+        return {c: b"".join([known[p] for p in pieces]) for c, pieces in cut.items()}
 
     def learn(self, chunks: set[str]) -> dict[str, bytes]:
         """Ids of chunks that the cache lacks; it keeps those that are short."""
-        found, words, later = {}, {}, []
+        found, words, later, others = {}, {}, [], []
         known, simple, tails = self.ids.get, self.simple.fullmatch, self.tails
         for c in chunks:
             tail = tails.get(c[-1:])
             word = c if tail is None else c[:-1]
+            if not simple(word):
+                others.append(c)
+                continue
             ids = known(word)
-            if ids is None and simple(word):
+            if ids is None:
                 words[word] = None
                 later.append((c, word, tail or b""))
-            elif ids is not None and simple(word):
-                found[c] = self.ids[c] = ids + (tail or b"")
             else:
-                found[c] = ids = self.chunk(c)
-                if len(c) <= 64:
-                    self.ids[c] = ids
+                found[c] = self.ids[c] = ids + (tail or b"")
+        if others:
+            others = self.chunked(others)
+            found.update(others)
+            self.ids.update((c, ids) for c, ids in others.items() if len(c) <= 64)
         if words:
             words = self.together(list(words))
             self.ids.update((w, ids) for w, ids in words.items() if len(w) <= 64)

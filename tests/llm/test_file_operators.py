@@ -34,6 +34,23 @@ def test_cached_ids_equal_the_library(text):
         assert got == TOKENIZERS[path].encode(text, add_special_tokens=False).ids, (path, text)
 
 
+def test_a_text_takes_few_calls_of_the_library():
+    text = "\n".join(f"Line{'abcdefghij'[k % 10] * (k // 10 + 1)}x ends{chr(97 + k % 26) * 3}.\t({k})" for k in range(60)) + "\r\nlast\n\n"
+    for path in (BYTE, WORD):
+        enc, calls = CachedEncoder(path), []
+
+        class Counting:
+            def __getattr__(self, name):
+                calls.append(name)
+                return getattr(TOKENIZERS[path], name)
+        enc.tokenizer = Counting()
+        got = np.frombuffer(enc.encode(text), "<u2").tolist()
+        assert got == TOKENIZERS[path].encode(text, add_special_tokens=False).ids
+        assert len(calls) <= 2
+        # A line break is no part of what is remembered beside words.
+        assert path == WORD or not [c for c in enc.ids if "\nLine" in c]
+
+
 def crc(ids):
     return zlib.crc32(np.array(ids, "<u4").tobytes())
 
