@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import ctypes
+import functools
 import gc
 import sys
 import types
@@ -54,14 +56,43 @@ def worker_store() -> dict:
     return home.__dict__.setdefault("values", {})
 
 
-def kept(key, make):
-    """``make()``, once per Python worker."""
+#: Where the store says which of its values is the large one.
+_LARGE = "_large"
+
+
+def kept(key, make, large: bool = False):
+    """``make()``, once per Python worker. A ``large`` value goes as soon as any other is
+    asked for: workers outlive their step, and what a step kept would lie beside the next."""
     store = worker_store()
+    if store.get(_LARGE, key) != key:
+        store.pop(store.pop(_LARGE), None)
     if key not in store:
         store[key] = make()
+    if large:
+        store[_LARGE] = key
     return store[key]
 
 
+def give_back() -> None:
+    """Return memory that is free to the system: allocators hold on to it, and a worker
+    would carry the peak of every step to the end of the application."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # GNU only
+    if trim is not None:
+        trim(0)
+
+
+def lean(run):
+    """``run``, a function for ``mapInArrow``, whose worker gives back free memory at its end."""
+    @functools.wraps(run)
+    def whole(batches):
+        try:
+            yield from run(batches)
+        finally:
+            give_back()
+    return whole
+
+
 def as_bytes(column: pa.Array) -> list[bytes | None]:
     """A string column's values as UTF-8 bytes, without decoding them."""
     return column.cast(pa.binary() if column.type == pa.string() else pa.large_binary()).to_pylist()

@@ -16,7 +16,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from proxyspark.llm.common import as_bytes, carried, rows_batch
+from proxyspark.llm.common import as_bytes, carried, lean, rows_batch
 
 WINDOW = 10
 #: Words of a shard; a longer document is cut into overlapping parts.
@@ -322,4 +322,4 @@ def find(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, shard_word
         if rows:
             yield emit(rows)
 
-    return docs.select(*read).mapInArrow(run, _FOUND + more)
+    return docs.select(*read).mapInArrow(lean(run), _FOUND + more)

@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from proxyspark.llm.common import carried, kept, rows_batch
+from proxyspark.llm.common import carried, kept, lean, rows_batch
 
 #: Ranks kept of a language and of a document.
 PROFILE = 400
@@ -128,7 +128,7 @@ def learn(labelled: DataFrame, sample: int = SAMPLE_PER_LANGUAGE, top: int = PRO
             if len(new):
                 yield rows_batch(_GRAMS, [[names[i] for i in of[new]], gram[new], np.add.reduceat(n, new)])
 
-    counted = texts.mapInArrow(count, _GRAMS).groupBy("lang", "gram").agg(F.sum("n").alias("n"))
+    counted = texts.mapInArrow(lean(count), _GRAMS).groupBy("lang", "gram").agg(F.sum("n").alias("n"))
     best = W.partitionBy("lang").orderBy(F.desc("n"), "gram")
     profiles: dict[str, list[int]] = {}
     for r in (counted.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= top)
@@ -183,4 +183,4 @@ def predict(docs: DataFrame, profiles: dict[str, list[int]], top: int = PROFILE,
         for rows in portions(batches):
             yield rows_batch(_PREDICTED + more, [rows["doc_id"], *model.predict(rows["text"]), *[rows[c] for c in carry]])
 
-    return docs.select(*read).mapInArrow(run, _PREDICTED + more)
+    return docs.select(*read).mapInArrow(lean(run), _PREDICTED + more)

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from proxyspark.llm.common import as_bytes, cut, rows_batch
+from proxyspark.llm.common import as_bytes, cut, lean, rows_batch
 
 #: At 80 % similarity a pair misses all bands with a chance of (1 - 0.8^6)^42 = 3e-6.
 BANDS, ROWS = 42, 6
@@ -122,7 +122,7 @@ def sketches(docs: DataFrame, size: int = SHINGLE, bands: int = BANDS, rows: int
             if out:
                 yield rows_batch(_SKETCH, [batch.column(0), *zip(*out)])
 
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, _SKETCH)
+    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(lean(run), _SKETCH)
 
 
 def band_rows(nodes: DataFrame, bands: int) -> DataFrame:
@@ -157,10 +157,10 @@ def confirmed(pairs: DataFrame, nodes: DataFrame, texts: DataFrame, size: int, p
         return of.select(F.col("id").alias(name), F.col(value).alias(f"{value}_{name}"))
 
     likely = (pairs.join(side(nodes, "a", "marks"), "a").join(side(nodes, "b", "marks"), "b")
-              .select("a", "b", "marks_a", "marks_b").mapInArrow(alike, _PAIR))
+              .select("a", "b", "marks_a", "marks_b").mapInArrow(lean(alike), _PAIR))
     likely = cut(likely.distinct(), "likely")
     return (likely.join(side(texts, "b", "text"), "b").join(side(texts, "a", "text"), "a")
-            .select("a", "b", "text_a", "text_b").mapInArrow(similar, _PAIR).distinct())
+            .select("a", "b", "text_a", "text_b").mapInArrow(lean(similar), _PAIR).distinct())
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -293,9 +293,9 @@ def residual_links(buckets: DataFrame, labels: DataFrame, nodes: DataFrame, text
             if found:
                 yield rows_batch(_PAIR, list(zip(*found)))
 
-    likely = cut(grouped(met).mapInArrow(partnered, _MET), "partnered")
+    likely = cut(grouped(met).mapInArrow(lean(partnered), _MET), "partnered")
     told = likely.join(texts.select("id", F.col("text").cast("binary").alias("text")), "id")
-    return grouped(told, "text").mapInArrow(links, _PAIR).distinct()
+    return grouped(told, "text").mapInArrow(lean(links), _PAIR).distinct()
 
 
 def link(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT, bands: int = BANDS, rows: int = ROWS,

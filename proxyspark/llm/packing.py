@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from proxyspark.llm.common import cut, rows_batch
+from proxyspark.llm.common import cut, lean, rows_batch
 from proxyspark.llm.tokens import encoder
 
 _PIECE = "doc_id long, piece int, start long, length long, ids_crc32 long"
@@ -51,7 +51,7 @@ def pieces(docs: DataFrame, tokenizer: str, end_id: int, capacity: int = 4096, w
                         column.append(value)
             yield rows_batch(ddl, out)
 
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, ddl)
+    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(lean(run), ddl)
 
 
 def plan(histogram: dict[int, int], capacity: int = 4096) -> list[tuple[int, int, int, int, int]]:

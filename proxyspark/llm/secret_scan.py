@@ -19,7 +19,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from proxyspark.llm.common import carried, rows_batch
+from proxyspark.llm.common import carried, lean, rows_batch
 
 # The pattern kinds, in the order in which they are listed.
 ASSIGN = re.compile(
@@ -208,4 +208,4 @@ def scan(docs: DataFrame, threshold: float = NOVELTY, identifiers: str = IDENTIF
                     column.append(value)
             yield rows_batch(_FOUND + more, out + [batch.column(batch.schema.get_field_index(c)).to_pylist() for c in carry])
 
-    return docs.select(*read).mapInArrow(run, _FOUND + more)
+    return docs.select(*read).mapInArrow(lean(run), _FOUND + more)

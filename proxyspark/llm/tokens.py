@@ -135,5 +135,5 @@ class CachedEncoder:
 
 
 def encoder(path: str) -> CachedEncoder:
-    """One encoder per Python worker and file."""
-    return kept(("encoder", path), lambda: CachedEncoder(path))
+    """One encoder per Python worker and file; a full cache takes some 200 MB."""
+    return kept(("encoder", path), lambda: CachedEncoder(path), large=True)
