@@ -9,6 +9,7 @@ from proxyspark import fixed
 from proxyspark.functions import labels
 from proxyspark.operators.order_stats import counted_percentiles, percentiles_of_counts, value_counts
 from proxyspark.operators.scope import Scope, apply_scope, apply_tenancy, clamp
+from proxyspark.session import pin
 
 _LATENCY = {"latency_p50": 0.50, "latency_p95": 0.95, "latency_p99": 0.99}
 _SUMS = ["requests", "errors", "bytes_in", "bytes_out", "cache_hits", "cache_total"]
@@ -195,6 +196,7 @@ def entry_page(entries: DataFrame, flagged: DataFrame, upload_id, limit: int = f
     pushed down to the scan, so a late page costs what the first does, where ``offset``
     sorts all rows before it. Rows without a line number come before those with one.
     """
+    pin(entries.sparkSession)  # the order of a page rests on it
     mine = entries.where(F.col("upload_id") == F.lit(upload_id))
     if after is not None:
         line, row = after

@@ -10,6 +10,9 @@ SPLIT_BYTES = 32 << 20
 #: Compressed bytes up to which adaptive execution joins parts of a shuffle. Rows of keys,
 #: times and short codes take 20 times that and more where they are sorted or aggregated.
 JOINED_BYTES = 8 << 20
+#: Adaptive execution's rule that drops the last sort of a page cut by offset once the
+#: page's marks are joined (Spark 4.1).
+UNSAFE_RULE = "org.apache.spark.sql.catalyst.optimizer.OptimizeOneRowPlan"
 
 
 def pin(spark: SparkSession) -> SparkSession:
@@ -21,6 +24,7 @@ def pin(spark: SparkSession) -> SparkSession:
     interpreted, at half the speed. What one task sorts or aggregates follows the size
     of its split and its share of a shuffle: splits are bounded, and shuffles start
     with many parts whatever the number of cores, of which only small ones are joined.
+    Rows come in the order asked for: a rule that loses it is left out.
     """
     spark.conf.set("spark.sql.session.timeZone", "UTC")
     spark.conf.set("spark.sql.codegen.hugeMethodLimit", "8000")
@@ -32,6 +36,10 @@ def pin(spark: SparkSession) -> SparkSession:
     joined = "spark.sql.adaptive.advisoryPartitionSizeInBytes"
     if spark._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(spark.conf.get(joined)) > JOINED_BYTES:
         spark.conf.set(joined, str(JOINED_BYTES))
+    left_out = "spark.sql.adaptive.optimizer.excludedRules"
+    rules = [r for r in spark.conf.get(left_out, "").split(",") if r]
+    if UNSAFE_RULE not in rules:
+        spark.conf.set(left_out, ",".join([*rules, UNSAFE_RULE]))
     return spark
 
 

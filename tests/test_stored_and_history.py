@@ -122,3 +122,11 @@ def test_pages_after_a_key_are_the_pages_by_offset(spark, tmp_path, whole_plans)
     scan = [s for s in scans(stored.page(mine, flagged, after=(5, 100))) if "/entries" in s]
     assert scan and all("bucket" in s.split("PartitionFilters: [")[1].split("]")[0] and "GreaterThanOrEqual(line_no,5)" in s for s in scan)
     assert stored.page("nowhere", flagged).count() == 0
+
+
+def test_a_page_cut_by_offset_is_in_line_order(spark):
+    df = entries(spark, [entry(100 + k, k, line_no=k // 3 + 1) for k in range(23)])
+    flagged = df.where("line_no = 3").select("upload_id", F.col("id").alias("entry_id"))
+    for offset in (4, 8, 12):
+        page = dashboard.entry_page(df, flagged, "u1", limit=4, offset=offset).collect()
+        assert [r["id"] for r in page] == list(range(100 + offset, 104 + offset))
