@@ -222,7 +222,8 @@ def rare_destination(entries: DataFrame, by=BY, per_detector: int | None = fixed
     """Hosts reached by exactly one user, at most three times.
 
     Counts per (host, user) come first: plain counters that combine map-side.
-    The user's name and sample addresses are looked up for kept hosts only.
+    A kept host has a single user: its counts are read once more as they are, with
+    their sum, so that Spark makes them once. Addresses are looked up for kept hosts only.
     """
     by = list(by)
     keys = [*by, "host"]
@@ -238,9 +239,11 @@ def rare_destination(entries: DataFrame, by=BY, per_detector: int | None = fixed
         .withColumn("title", _title("rare_destination", "host"))
     )
     top = _capped(scored, by, per_detector)
-    name = users.where(F.col("username").isNotNull()).select(*keys, "username")
+    rest = [c for c in top.columns if c != "entry_count"]
+    named = top.select(*rest).join(users, keys).groupBy(*rest).agg(
+        F.max("username").alias("username"), F.sum("n").alias("entry_count"))
     cited = seen.select(*keys, "url").join(top.select(*keys), keys, "left_semi")
-    full = top.join(name, keys).join(
+    full = named.join(
         _distinct_list(cited, keys, "url", "urls", fixed.RARE_EVIDENCE_URLS), keys, "left")
     return _shape(full, by, "rare_destination", {"host": "host", "username": "username"}, [
         "host", F.col("entry_count").alias("hit_count"), F.lit(1).alias("distinct_users"), "username",
@@ -251,7 +254,9 @@ def rare_destination(entries: DataFrame, by=BY, per_detector: int | None = fixed
 # --- off_hours ---------------------------------------------------------------------
 
 def _actor_hours(entries: DataFrame, by) -> DataFrame:
-    return entries.where(F.col("ts").isNotNull()).groupBy(
+    """Entries per hour of the day and actor. That the hour is there is said here: a join
+    by it would add this filter on one side only, and Spark would make the counts twice."""
+    return entries.where(F.col("ts").isNotNull() & F.hour("ts").isNotNull()).groupBy(
         *by, F.hour("ts").alias("hour"), labels.actor(F.col("username"), F.col("client_ip")).alias("actor"),
     ).agg(F.count(F.lit(1)).alias("hits"))
 

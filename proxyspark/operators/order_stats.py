@@ -68,7 +68,9 @@ def select_ranks(counts: DataFrame, by: list[str], value: str, ranks: dict[str,
 
     ``ranks`` maps a name to an expression over ``total`` (the key's weight).
     """
-    keyed = counts.where(F.col(value).isNotNull()).withColumn("_b", _bucket(F.col(value)))
+    # No value is without a bucket. Said here, or the join by it would filter one of two
+    # readers and ``counts`` would be made twice.
+    keyed = counts.where(F.col(value).isNotNull()).withColumn("_b", _bucket(F.col(value))).where(F.col("_b").isNotNull())
     keys = [F.col(k) for k in by] or [F.lit(0)]
     order = Window.partitionBy(*keys).orderBy("_b")
     whole = Window.partitionBy(*keys)

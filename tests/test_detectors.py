@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from proxyspark import fixed
 from proxyspark.fixtures import stored_entries
-from proxyspark.operators import detectors, findings
+from proxyspark.operators import detectors, findings, order_stats
 
 
 def titles(df):
@@ -194,3 +194,18 @@ def test_quiet_hours_need_sustained_activity(spark):
     ten = [entry(9100 + i, -6 * 3600 + i, username="late") for i in range(10)]
     row = detectors.off_hours(entries(spark, day + ten)).collect()[0]
     assert row["actor"] == "late" and row["evidence"]["hours"] == [3]
+
+
+def test_counts_are_made_once(spark, tmp_path):
+    path = str(tmp_path / "entries")
+    entries(spark, background()).write.parquet(path)
+    rows = spark.read.parquet(path)
+    spark.conf.set("spark.sql.adaptive.enabled", "false")  # the plan as a whole, before it runs
+    try:
+        for df, scans in (
+                (detectors.rare_destination(rows), 2), (detectors.off_hours(rows), 2),  # the counts, and what is cited
+                (order_stats.percentiles(rows, [], "latency_ms", {"p50": 0.5}), 1)):
+            plan = df._jdf.queryExecution().executedPlan().toString()
+            assert plan.count("FileScan parquet") == scans
+    finally:
+        spark.conf.unset("spark.sql.adaptive.enabled")
